@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, decontaminate, language_id, license_scan, quality_rda, warc_chunks
+from . import bpe_prefix, decision_list, decontaminate, hilbert_shards, language_id, license_scan, quality_rda, warc_chunks
 from .durable import workers_find_package
 
 
@@ -32,6 +32,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hilbert_shards.shard_documents(table(spark, sf_dir, "documents"), 40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
+
+
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decision_list.apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op7_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe_prefix.bpe_encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -57,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rda": op1_quality_rda,
         "op2_decontamination": op2_decontamination,
+        "op3_hilbert_shards": op3_hilbert_shards,
+        "op5_decision_list": op5_decision_list,
         "op7_bpe_prefix": op7_bpe_prefix,
         "op8_warc_chunks": op8_warc_chunks,
         "op9_license_scan": op9_license_scan,
