@@ -72,7 +72,8 @@ def write_archives(
     ).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long"), "part": F.pmod(F.xxhash64("page_id"), F.lit(PARTS)).cast("int")})
     kept = rows.select("digest", "size", F.struct("page_id", "url").alias("page")).where(F.col("size") >= min_revisit_bytes)
     kept = kept.groupBy("digest").agg(F.count("*").alias("copies"), F.max("page").alias("keeper")).where("copies > 1")
-    kept = kept.select("digest", "keeper", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    # written first: where few payloads have copies, Spark sees that and moves no payload to find them
+    kept = durable(kept, "warc-copies").select("digest", "keeper", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     rows = rows.join(kept, ["digest", "part"], "left").select("page_id", "url", "payload", "keeper.page_id", "keeper.url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
