@@ -38,6 +38,6 @@ def sum_slots(df: DataFrame, size: int) -> np.ndarray:
     Integer sums do not depend on the order of the rows, so a rerun gives the same array.
     """
     out = np.zeros(size, dtype=np.int64)
-    for row in df.groupBy("slot").agg(F.sum("value").alias("value")).toLocalIterator():
-        out[row["slot"]] = row["value"]
+    got = df.groupBy("slot").agg(F.sum("value").alias("value")).toArrow()
+    out[got["slot"].to_numpy()] = got["value"].to_numpy()
     return out

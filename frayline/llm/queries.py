@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, decision_list, decontaminate, hilbert_shards, language_id, license_scan, quality_rda, warc_chunks
+from . import bpe_prefix, decision_list, decontaminate, hilbert_shards, jaccard_join, language_id, license_scan, quality_rda, warc_chunks
 from .durable import workers_find_package
 
 
@@ -42,6 +42,10 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe_prefix.bpe_encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_hilbert_shards": op3_hilbert_shards,
         "op5_decision_list": op5_decision_list,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_bpe_prefix": op7_bpe_prefix,
         "op8_warc_chunks": op8_warc_chunks,
         "op9_license_scan": op9_license_scan,
