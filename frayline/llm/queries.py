@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, decision_list, decontaminate, hilbert_shards, jaccard_join, language_id, license_scan, quality_rda, warc_chunks
+from . import bpe_prefix, decision_list, decontaminate, hilbert_shards, jaccard_join, language_id, license_scan, pseudo_likelihood, quality_rda, warc_chunks
 from .durable import workers_find_package
 
 
@@ -37,6 +37,10 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score_pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decision_list.apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rda": op1_quality_rda,
         "op2_decontamination": op2_decontamination,
         "op3_hilbert_shards": op3_hilbert_shards,
+        "op4_pseudo_likelihood": op4_pseudo_likelihood,
         "op5_decision_list": op5_decision_list,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_bpe_prefix": op7_bpe_prefix,
