@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages of the training-data operators, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages of the training-data operators, each written as Parquet and read again by the next.
+
+Filtering stages drop the ids of rejected rows, so rows without an id stay, and repeated
+rows of one id go or stay together.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +12,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frayline.llm import bpe_prefix, decontaminate, language_id
+from frayline.llm import bpe_prefix, decision_list, decontaminate, jaccard_join, language_id
 from frayline.llm.durable import shared_folder, workers_find_package
 from frayline.llm.queries import id_remainder, table
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ``ids``; repeated rows stay repeated."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return docs.join(rejected.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +26,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     workers_find_package(spark)
     model = language_id.fit_language_model(docs, id_remainder(4) != 2)
     found = language_id.identify_languages(docs, model)
-    return _keep(docs, found.where(F.col("lang_pred") != language_id.UNKNOWN))
+    return _without(docs, found.where(F.col("lang_pred") == language_id.UNKNOWN))
+
+
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the base rule or a learnt rule rejects."""
+    return _without(docs, decision_list.apply_quality_rules(docs, table(spark, sf_dir, "labels")).where("not kept"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each component, once if its row is repeated."""
+    workers_find_package(spark)
+    placed = jaccard_join.jaccard_components(docs)
+    kept = _without(docs, placed.where("doc_id <> component_id"))
+    repeated = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
+    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    nameless = kept.where("doc_id is null").dropDuplicates(["text"])
+    once = _without(kept.where("doc_id is not null"), repeated)
+    return once.unionByName(again.dropDuplicates(["doc_id"])).unionByName(nameless)
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return _without(docs, decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +60,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_stage),
+    ("quality rules", rules_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
     ("benchmark decontamination", contamination_stage),
     ("byte-level BPE", token_stage),
 ]
