@@ -28,14 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .durable import durable, sum_slots
+from .durable import durable
 from .textblocks import NOT_BLANK, PLACE, blocks, hash_spans, mix, text_shingles, words
 
 SHINGLE = 5
 #: Linked: 100 * shared >= PERCENT * united.
 PERCENT = 80
 #: Slots of the table of token counts: 2 to this power, whatever the size of the corpus.
-COUNT_BITS = 17
+COUNT_BITS = 22
+#: The table travels in pieces of so many slots.
+PIECE = 1 << 13
 #: Lists of token pairs are first dealt with in so many parts.
 PARTS = 32
 
@@ -77,6 +79,7 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: int, perce
     count = counts[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
     is_frequent = count >= frequent_from
     rare = tokens[~is_frequent]
+    rare = rare[np.lexsort((rare, count[~is_frequent]))]
     if n < 2:  # a similar set would be equal
         return tokens[:0], np.empty(0, np.int64), np.empty(0, bool)
     if len(rare) > missing:
@@ -153,7 +156,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     spark = docs.sparkSession
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        counts = np.zeros(1 << COUNT_BITS, dtype=np.int32)
         seen: set[int] = set()
         for batch in batches:
             keys, sizes = [], []
@@ -163,17 +166,18 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
                 sizes.append(len(tokens))
                 if key not in seen:
                     seen.add(key)
-                    counts += np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
+                    np.add.at(counts, (tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
             yield _described(batch.column(0), keys, sizes, batch.column(2), [None] * len(keys), [None] * len(keys))
-        slots = np.flatnonzero(counts)
-        none = [None] * len(slots)
-        yield _described(none, none, none, none, slots, counts[slots])
+        pieces = [(i, counts[i * PIECE : (i + 1) * PIECE]) for i in range(len(counts) // PIECE)]
+        pieces = [(i, c.tobytes()) for i, c in pieces if c.any()]
+        none = [None] * len(pieces)
+        yield _described(none, none, none, none, [i for i, _ in pieces], [c for _, c in pieces])
 
-    facts = durable(keyed.mapInArrow(describe, "doc_id long, node long, n int, text_key long, slot int, value long"), "shingle-sets")
-    counts = sum_slots(facts.where("slot is not null").select("slot", "value"), 1 << COUNT_BITS)
+    facts = durable(keyed.mapInArrow(describe, "doc_id long, node long, n int, text_key long, piece int, counts binary"), "shingle-sets")
+    counts = _total_counts(facts.where("piece is not null").select("piece", "counts"))
     usual = float(np.median(counts))
     frequent_from = int(usual + max(32, 8 * np.sqrt(usual)))
-    counts_ = spark.sparkContext.broadcast(counts.astype(np.int32) if counts.max() < 2**31 else counts)
+    counts_ = spark.sparkContext.broadcast(counts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -213,7 +217,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
     # one row of each text that is to be compared
     nodes = members.select("node").distinct()
-    chosen = facts.where("slot is null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    chosen = facts.where("piece is null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
     chosen = chosen.select("node", F.coalesce("row.doc_id", F.lit(-1)).alias("doc_id"), "row.text_key")
     rows = keyed.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_key", "text")
     texts = durable(rows.join(chosen, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "shingle-texts")
@@ -231,16 +235,39 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     links = links.unionByName(_verify(rest, texts, k, percent))
     whole = durable(connected_components(links), "shingle-components")
 
-    placed = facts.where("slot is null").join(whole, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("label"))
+    placed = facts.where("piece is null").join(whole, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("label"))
     least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "label", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _described(ids, keys, sizes, text_keys, slots, values) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-    columns = [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip((ids, keys, sizes, text_keys, slots, values), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "text_key", "slot", "value"])
+def _total_counts(pieces: DataFrame) -> np.ndarray:
+    """Add up the tasks' tables piece by piece, in passing; the result is one table of fixed size (capped at 2**31)."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, total = None, np.zeros(PIECE, dtype=np.int64)
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()])], ["piece", "counts"])
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if number != piece:
+                    if piece is not None:
+                        yield give()
+                    piece, total = number, np.zeros(PIECE, dtype=np.int64)
+                total += np.frombuffer(raw.as_buffer(), dtype=np.int32)
+        if piece is not None:
+            yield give()
+
+    out = np.zeros(1 << COUNT_BITS, dtype=np.int32)
+    summed = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "piece int, counts binary")
+    for row in summed.toLocalIterator():
+        out[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(row["counts"], dtype=np.int32)
+    return out
+
+
+def _described(ids, keys, sizes, text_keys, pieces, counts) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    columns = [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip((ids, keys, sizes, text_keys, pieces, counts), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "text_key", "piece", "counts"])
 
 
 def _signed(out: list[tuple]) -> pa.RecordBatch:

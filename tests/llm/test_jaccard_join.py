@@ -92,7 +92,7 @@ def test_similar_sets_share_a_signature_with_room():
         n = int(rng.integers(2, 200))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
         if rng.random() < 0.5:
-            a = a[(a >> np.uint64(47)) % 3 == 0] if rng.random() < 0.5 else a
+            a = a[(a >> np.uint64(64 - jaccard_join.COUNT_BITS)) % 3 == 0] if rng.random() < 0.5 else a
         cut, more = rng.integers(0, 1 + len(a) // 5, 2)
         b = np.unique(np.concatenate([rng.permutation(a)[cut:], rng.integers(0, 2**63, more).astype(np.uint64) * np.uint64(2)]))
         shared = len(np.intersect1d(a, b))
