@@ -207,16 +207,17 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     heads = lists.where("paired").select("sig", "a", "na", "pa").distinct()
     central = F.first(F.struct("a", "na", "pa")).over(Window.partitionBy("sig").orderBy("pa", "na", "a"))
     heads = heads.withColumn("c", central).where("a <> c.a")
-    heads = heads.select("sig", F.col("c.a").alias("a"), F.col("c.na").alias("na"), F.col("c.pa").alias("pa"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb"))
-    stars = durable(lists.where("a <> b").drop("paired").unionByName(heads), "shingle-stars")
+    heads = heads.select("sig", F.lit(True).alias("paired"), F.col("c.a").alias("a"), F.col("c.na").alias("na"), F.col("c.pa").alias("pa"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb"))
+    stars = durable(lists.where("a <> b").unionByName(heads), "shingle-stars")
 
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = durable(ordered(stars.where(similar_enough("a", "b", percent))), "shingle-pairs")
-    members = stars.select("sig", F.col("a").alias("node"), F.col("na").alias("n"), F.col("pa").alias("p"))
+    # a list of single tokens has compared its central text with all others, so only these are left to compare with each other
+    members = stars.where("paired").select("sig", F.col("a").alias("node"), F.col("na").alias("n"), F.col("pa").alias("p"))
     members = durable(members.unionByName(stars.select("sig", F.col("b").alias("node"), F.col("nb").alias("n"), F.col("pb").alias("p"))).distinct(), "shingle-members")
 
     # one row of each text that is to be compared
-    nodes = members.select("node").distinct()
+    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
     chosen = facts.where("piece is null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
     chosen = chosen.select("node", F.coalesce("row.doc_id", F.lit(-1)).alias("doc_id"), "row.text_key")
     rows = keyed.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_key", "text")
