@@ -13,8 +13,10 @@ token that falls in with others is at worst indexed as a pair, which is exact as
 
 Candidates in a list are not paired with each other at first: all are compared with the
 list's most central text.  Only texts of different components that still share a list are
-then compared pair by pair, so that a large group of near copies costs about as many
-comparisons as it has members, and no link that could join two components is missed.
+then paired, and of these pairs only those are compared whose sketches (parities of their
+tokens on a fixed number of bits) leave room for the similarity, so that a large group of
+near copies costs about as many comparisons as it has members, and no link that could join
+two components is missed.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ COUNT_BITS = 22
 PIECE = 1 << 13
 #: Lists of token pairs are first dealt with in so many parts.
 PARTS = 32
+#: Words of 64 bits in the sketch of a set.
+SKETCH = 8
+#: A text of a list knows so many lists before it of its own, by which a pair that has met before is told.
+BEFORE = 8
 
 
 def text_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -116,6 +122,31 @@ def similar_enough(a: str, b: str, percent: int = PERCENT) -> str:
     return f"100 * least(n{a}, n{b}) >= {percent} * greatest(n{a}, n{b}) and {100 + percent} * {room} >= {percent} * (n{a} + n{b})"
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the tokens that fall on each of 64 * SKETCH bits."""
+    bits = np.bincount((mix(tokens ^ PLACE[2]) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def sketches_allow(a: str, b: str, percent: int = PERCENT) -> str:
+    """SQL: the sketches sa, sb leave room for the similarity.
+
+    Every bit in which they differ stands for at least one token of only one of the sets.
+    """
+    differ = " + ".join(f"bit_count(s{a}[{i}] ^ s{b}[{i}])" for i in range(SKETCH))
+    return f"{100 + percent} * (n{a} + n{b} - ({differ})) >= {2 * percent} * (n{a} + n{b})"
+
+
+def _sketches(texts: DataFrame, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [sketch(tokens) for _, tokens in text_sets(batch.column(1), k)]
+            flat = pa.array(np.concatenate([np.empty(0, np.int64), *rows]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, SKETCH * len(rows) + 1, SKETCH, dtype=np.int32), flat)], ["node", "s"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, s array<long>")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` of set keys whose texts meet the threshold, by their whole sets."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -213,8 +244,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = durable(ordered(stars.where(similar_enough("a", "b", percent))), "shingle-pairs")
     # a list of single tokens has compared its central text with all others, so only these are left to compare with each other
-    members = stars.where("paired").select("sig", F.col("a").alias("node"), F.col("na").alias("n"), F.col("pa").alias("p"))
-    members = durable(members.unionByName(stars.select("sig", F.col("b").alias("node"), F.col("nb").alias("n"), F.col("pb").alias("p"))).distinct(), "shingle-members")
+    members = stars.where("paired").select("sig", F.col("a").alias("node"), F.col("na").alias("n"))
+    members = durable(members.unionByName(stars.select("sig", F.col("b").alias("node"), F.col("nb").alias("n"))).distinct(), "shingle-members")
 
     # one row of each text that is to be compared
     nodes = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
@@ -228,10 +259,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     placed = members.join(part, "node", "left").withColumn("label", F.coalesce("component", "node"))
     per_list = Window.partitionBy("sig")
     placed = placed.withColumns({"low": F.min("label").over(per_list), "high": F.max("label").over(per_list)}).where("low <> high")
-    placed = durable(placed.select("sig", "node", "n", "p", "label"), "shingle-open")
-    one = placed.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("label").alias("la"))
-    two = placed.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("label").alias("lb"))
-    rest = one.join(two, "sig").where("a < b and la <> lb").where(similar_enough("a", "b", percent)).select("a", "b").distinct()
+    placed = durable(placed.select("sig", "node", "n", "label"), "shingle-open")
+    drawn = durable(_sketches(texts.join(placed.select("node").distinct(), "node", "left_semi"), k), "shingle-sketches")
+    before = F.collect_list("sig").over(Window.partitionBy("node").orderBy("sig").rowsBetween(-BEFORE, -1))
+    placed = placed.join(drawn, "node").withColumn("before", before)
+    one, two = (placed.select("sig", *[F.col(c).alias(name + x) for c, name in (("node", ""), ("n", "n"), ("label", "l"), ("s", "s"), ("before", "before_"))]) for x in "ab")
+    met = one.join(two, "sig").where("a < b and la <> lb").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(sketches_allow("a", "b", percent))
+    # all filters are the pair's own, so it is the same in every list: it counts in the first one, and where that is out of sight
+    rest = met.where("not arrays_overlap(before_a, before_b)").select("a", "b").distinct()
     rest = durable(rest.join(first, ["a", "b"], "left_anti"), "shingle-rest")
     links = links.unionByName(_verify(rest, texts, k, percent))
     whole = durable(connected_components(links), "shingle-components")
