@@ -55,18 +55,22 @@ def features(block: Block) -> np.ndarray:
 
 
 def fit_linear_svm(x: np.ndarray, positive: np.ndarray, cost: float = 10.0, passes: int = 15) -> np.ndarray:
-    """Weights and bias (last) of an L2-loss support vector machine, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    """Weights and bias (last) of an L2-loss support vector machine, by dual coordinate descent.
+
+    ``x`` stays in half precision; one row at a time is widened.
+    """
     y = np.where(positive, 1.0, -1.0)
     weight = cost * len(y) / (2 * np.maximum(1, np.where(positive, positive.sum(), (~positive).sum())))
-    diagonal = (x * x).sum(axis=1) + 0.5 / weight
-    alpha, w, rng = np.zeros(len(y)), np.zeros(x.shape[1]), np.random.default_rng(0)
+    wide = lambda i: np.append(x[i].astype(np.float64), 1.0)
+    diagonal = np.array([wide(i) @ wide(i) for i in range(len(y))]) + 0.5 / weight
+    alpha, w, rng = np.zeros(len(y)), np.zeros(x.shape[1] + 1), np.random.default_rng(0)
     for _ in range(passes):
         for i in rng.permutation(len(y)):
-            step = max(0.0, alpha[i] - (y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / weight[i]) / diagonal[i]) - alpha[i]
+            row = wide(i)
+            step = max(0.0, alpha[i] - (y[i] * (row @ w) - 1 + alpha[i] * 0.5 / weight[i]) / diagonal[i]) - alpha[i]
             if step:
                 alpha[i] += step
-                w += step * y[i] * x[i]
+                w += step * y[i] * row
     return w
 
 
@@ -149,8 +153,10 @@ def fit_language_model(docs: DataFrame, learn: Column, id_col: str = "doc_id", t
     got = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(run, "lang string, x binary").toLocalIterator())
     if not got:
         return None
-    x = np.array([np.frombuffer(r[1], dtype=np.float16) for r in got], dtype=np.float32)
-    return LanguageModel(x, np.array([r[0] for r in got], dtype=object))
+    x = np.frombuffer(b"".join(r[1] for r in got), dtype=np.float16).reshape(len(got), N_FEATURES)
+    lang = np.array([r[0] for r in got], dtype=object)
+    del got
+    return LanguageModel(x, lang)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
