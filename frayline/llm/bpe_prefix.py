@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries kept in a worker's table of encoded pieces and of token pairs before it starts anew.
+#: Entries kept in each of a worker's tables of encoded pieces or spans, and of token pairs, before it starts anew.
 PIECE_CACHE, PAIR_CACHE = 400_000, 1_000_000
 
 
@@ -36,6 +38,10 @@ class PrefixEncoder:
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=1)
         self.by_rank = {v: k for k, v in ranks.items()}
+        self._found = ahocorasick.Automaton()  # all tokens that end at a byte, in one pass
+        for raw, rank in ranks.items():
+            self._found.add_word(raw.decode("latin-1"), (rank, len(raw)))
+        self._found.make_automaton()
         self._pairs: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
 
@@ -72,24 +78,27 @@ class PrefixEncoder:
 
     def extend(self, raw: bytes, last: list[int]) -> list[int]:
         """Append to ``last`` (the last tokens of the prefixes already done) those of the longer prefixes of ``raw``."""
-        get, pairs, longest = self.ranks.get, self._pairs, self.longest
-        for end in range(len(last) + 1, len(raw) + 1):
-            for start in range(max(0, end - longest), end):
-                token = get(raw[start:end])
-                if token is None:
-                    continue
-                if start:
-                    before = last[start - 1]
-                    fits = pairs.get((before, token))
-                    if fits is None:
-                        fits = self._stands(token) and self.follows(before, token)
-                else:
-                    fits = self._stands(token)
-                if fits:
-                    last.append(token)
-                    break
+        pairs, done = self._pairs, len(last)
+        begin = max(0, done + 1 - self.longest)
+        for at, (token, size) in self._found.iter(raw[begin:].decode("latin-1")):
+            end = begin + at + 1
+            if end <= done:
+                continue
+            if end > done + 1:
+                break
+            start = end - size
+            if start:
+                before = last[start - 1]
+                fits = pairs.get((before, token))
+                if fits is None:
+                    fits = self._stands(token) and self.follows(before, token)
             else:
-                raise ValueError(f"no token ends at byte {end}: the ranks lack single bytes")
+                fits = self._stands(token)
+            if fits:
+                last.append(token)
+                done += 1
+        if done < len(raw):
+            raise ValueError(f"no token ends at byte {done + 1}: the ranks lack single bytes")
         return last
 
     def tokens(self, last: list[int]) -> list[int]:
@@ -124,15 +133,70 @@ class PrefixEncoder:
         return b"".join(map(self.by_rank.__getitem__, ids))
 
 
-_encoders: dict[str, tuple[PrefixEncoder, dict[str, bytes]]] = {}
+class PieceTables:
+    """An encoder with bounded tables of what it has encoded: pieces, and spans between blanks.
+
+    A pattern's match has a blank only at its front or among other white space.  So where
+    a blank follows a character that is not white space, a match starts, and the span up to
+    the next such place can be matched, and its encoding kept, by itself.
+    """
+
+    def __init__(self, encoder: PrefixEncoder, pattern: str):
+        self.encoder = encoder
+        self._find = regex.compile(pattern).findall
+        self._pieces: dict[str, bytes] = {}
+        self._spans: dict[str, bytes] = {}
+
+    def _encode(self, span: str) -> bytes:
+        out = []
+        for piece in self._find(span):
+            part = self._pieces.get(piece)
+            if part is None:
+                ids = self.encoder.encode(piece.encode())
+                part = struct.pack(f"<{len(ids)}I", *ids)
+                _keep(self._pieces, piece, part)
+            out.append(part)
+        return b"".join(out)
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a whole text as little-endian unsigned 32-bit integers."""
+        spans = text.split(" ")
+        parts = list(map(self._spans.get, spans))
+        parts[0] = None
+        at = 0
+        while True:
+            try:
+                at = parts.index(None, at)
+            except ValueError:
+                return b"".join(parts)
+            span, stop = spans[at], at
+            if at and span and not span[-1].isspace():
+                parts[at] = self._encode(" " + span)
+                _keep(self._spans, span, parts[at])
+            else:
+                while stop + 1 < len(spans) and (not spans[stop] or spans[stop][-1].isspace()):  # no match need start after it
+                    stop += 1
+                parts[at] = self._encode((" " if at else "") + " ".join(spans[at : stop + 1]))
+                parts[at + 1 : stop + 1] = [b""] * (stop - at)
+            at = stop + 1
+
+
+def _keep(table: dict[str, bytes], key: str, value: bytes) -> None:
+    if len(key) <= 64:
+        if len(table) >= PIECE_CACHE:
+            table.clear()
+        table[key] = value
+
+
+_tables: dict[tuple[str, str], PieceTables] = {}
 
 
-def _worker_encoder(raw: bytes) -> tuple[PrefixEncoder, dict[str, bytes]]:
-    """One encoder and table of encoded pieces for each rank file and worker process."""
-    key = hashlib.sha256(raw).hexdigest()
-    if key not in _encoders:
-        _encoders[key] = PrefixEncoder(parse_ranks(raw)), {}
-    return _encoders[key]
+def _worker_pieces(raw: bytes, pattern: str) -> PieceTables:
+    """The tables of a worker process, one for each rank file and pattern."""
+    key = hashlib.sha256(raw).hexdigest(), pattern
+    if key not in _tables:
+        _tables[key] = PieceTables(PrefixEncoder(parse_ranks(raw)), pattern)
+    return _tables[key]
 
 
 def bpe_encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,28 +212,13 @@ def bpe_encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: st
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = _worker_encoder(ranks.value)
-        find = regex.compile(pattern).findall
-        table = encoder.by_rank
+        pieces = _worker_pieces(ranks.value, pattern)
+        table = pieces.encoder.by_rank
         for batch in batches:
             rows, held = [], 0
             for at, text in enumerate(batch.column(1)):
-                packed = b""
-                if text := text.as_py():
-                    pieces = find(text)
-                    parts = list(map(cache.get, pieces))
-                    for i, part in enumerate(parts):
-                        if part is None:
-                            piece = pieces[i]
-                            part = cache.get(piece)
-                            if part is None:
-                                part = np.array(encoder.encode(piece.encode()), dtype="<u4").tobytes()
-                                if len(piece) <= 64:
-                                    if len(cache) >= PIECE_CACHE:
-                                        cache.clear()
-                                    cache[piece] = part
-                            parts[i] = part
-                    packed = b"".join(parts)
+                text = text.as_py()
+                packed = pieces.packed(text) if text else b""
                 decoded = b"".join(map(table.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
                 rows.append((at, packed, decoded))
                 held += len(packed) + len(decoded)
