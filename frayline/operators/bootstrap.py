@@ -34,6 +34,21 @@ def hierarchical_draws(values: DataFrame, group: list[str], n_boot: int) -> Data
     return means.groupBy(*group, "boot").agg(F.avg("m").alias("mean"))
 
 
+def _means(counts: pd.DataFrame, n_boot: int, rng: np.random.Generator) -> np.ndarray:
+    """Means of ``n_boot`` two-level resamples of one cell, given as ``seed, value, n``."""
+    seeds = [(g["value"].to_numpy(), g["n"].to_numpy()) for _, g in counts.sort_values(["seed", "value"]).groupby("seed")]
+    picks = rng.integers(0, len(seeds), (n_boot, len(seeds)))
+    total = np.zeros(n_boot)
+    for k, (v, n) in enumerate(seeds):
+        times = (picks == k).sum(axis=1)
+        for at in range(0, n_boot, 512):
+            part = times[at : at + 512]
+            draws = rng.multinomial(n.sum(), n / n.sum(), size=int(part.sum())) @ v / n.sum()
+            owner = np.repeat(np.arange(len(part)), part)
+            total[at : at + 512] += np.bincount(owner, weights=draws, minlength=len(part))
+    return total / len(seeds)
+
+
 def hierarchical_interval(values: DataFrame, group: list[str], n_boot: int = 10_000, ci: float = 0.95, rng_seed: int = 0) -> DataFrame:
     """``point, lo, hi`` of each group for real sizes.
 
@@ -44,18 +59,7 @@ def hierarchical_interval(values: DataFrame, group: list[str], n_boot: int = 10_
     counts = values.where("value is not null").groupBy(*group, "seed", "value").agg(F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(rng_seed)
-        seeds = [(g["value"].to_numpy(), g["n"].to_numpy()) for _, g in pdf.sort_values(["seed", "value"]).groupby("seed")]
-        picks = rng.integers(0, len(seeds), (n_boot, len(seeds)))
-        total = np.zeros(n_boot)
-        for k, (v, n) in enumerate(seeds):
-            times = (picks == k).sum(axis=1)
-            for at in range(0, n_boot, 512):
-                part = times[at : at + 512]
-                draws = rng.multinomial(n.sum(), n / n.sum(), size=int(part.sum())) @ v / n.sum()
-                owner = np.repeat(np.arange(len(part)), part)
-                total[at : at + 512] += np.bincount(owner, weights=draws, minlength=len(part))
-        boots = total / len(seeds)
+        boots = _means(pdf, n_boot, np.random.default_rng(rng_seed))
         lo, hi = np.quantile(boots, [(1 - ci) / 2, (1 + ci) / 2])
         point = (pdf["value"] * pdf["n"]).sum() / pdf["n"].sum()
         return pd.DataFrame([[*pdf[group].iloc[0], point, lo, hi]], columns=[*group, "point", "lo", "hi"])
@@ -64,6 +68,27 @@ def hierarchical_interval(values: DataFrame, group: list[str], n_boot: int = 10_
     return counts.groupBy(*group).applyInPandas(run, ", ".join([*(f"{g} {kinds[g]}" for g in group), "point double, lo double, hi double"]))
 
 
+def unpaired_difference(values: DataFrame, group: list[str], n_boot: int = 10_000, ci: float = 0.95, rng_seed: int = 0) -> DataFrame:
+    """``point, lo, hi`` of the difference of two independent arms (``arm`` true minus false), each resampled by itself.
+
+    Arms may have different seeds, pairs and sizes.  A group without one of them has nulls.
+    """
+    counts = values.where("value is not null and arm is not null").groupBy(*group, "arm", "seed", "value").agg(F.count("*").alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(rng_seed)
+        one, two = pdf[pdf["arm"]], pdf[~pdf["arm"]]
+        point = lo = hi = None
+        if len(one) and len(two):
+            boots = _means(one, n_boot, rng) - _means(two, n_boot, rng)
+            lo, hi = np.quantile(boots, [(1 - ci) / 2, (1 + ci) / 2])
+            point = np.average(one["value"], weights=one["n"]) - np.average(two["value"], weights=two["n"])
+        return pd.DataFrame([[*pdf[group].iloc[0], point, lo, hi]], columns=[*group, "point", "lo", "hi"])
+
+    kinds = dict(values.dtypes)
+    return counts.groupBy(*group).applyInPandas(run, ", ".join([*(f"{g} {kinds[g]}" for g in group), "point double, lo double, hi double"]))
+
+
 def percentile_interval(draws: DataFrame, group: list[str], ci: float = 0.95) -> DataFrame:
     edges = F.percentile("mean", F.array(F.lit((1 - ci) / 2), F.lit((1 + ci) / 2)))
     return draws.groupBy(*group).agg(edges.alias("e")).select(*group, F.get("e", F.lit(0)).alias("lo"), F.get("e", F.lit(1)).alias("hi"))

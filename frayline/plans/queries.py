@@ -279,6 +279,35 @@ def recall_at_k(spark, sf):
     return _better(spark, sf).agg(F.count("*").alias("n"), *[r6(F.avg((F.col("better") < k).cast("double")), f"r{k}") for k in (1, 5, 10)])
 
 
+#: Queries: every tenth vector; positives: the next five vectors, none for every thirtieth; candidates: the other vectors.
+_POSITIVE = """q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 0), c AS (SELECT vec_id AS cand, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 <> 0),
+sims AS (SELECT id, cand, list_cosine_similarity(q.v, c.v) AS s, id % 30 <> 0 AND cand > id AND cand <= id + 5 AS pos FROM q, c),
+best AS (SELECT id, max(s) FILTER (WHERE pos) AS top FROM sims GROUP BY 1),
+ranks AS (SELECT sims.id AS id, CASE WHEN any_value(top) IS NULL THEN NULL ELSE count(*) FILTER (WHERE s > top + 1e-12) END AS better FROM sims JOIN best ON sims.id = best.id GROUP BY 1)"""
+
+
+@query(f"WITH {_POSITIVE} SELECT id, coalesce(better, -1) AS better, coalesce(better < 1, false) AS hit1, coalesce(better < 5, false) AS hit5, coalesce(better < 10, false) AS hit10 FROM ranks")
+def recall_multi_positive(spark, sf):
+    """Hits of queries with several right answers; ``better`` is -1 for a query without any."""
+    rows = read(spark, sf, "embeddings")
+    queries = rows.where("vec_id % 10 = 0").selectExpr("vec_id as id", "embedding as vector")
+    positives = queries.where("id % 30 <> 0").select("id", F.explode(F.sequence(F.col("id") + 1, F.col("id") + 5)).alias("candidate"))
+    ranks = vectors.multi_positive_ranks(queries, positives, rows.where("vec_id % 10 <> 0").selectExpr("vec_id as candidate", "embedding as vector"))
+    return ranks.select("id", F.coalesce("better", F.lit(-1)).alias("better"), *[F.coalesce(F.col("better") < k, F.lit(False)).alias(f"hit{k}") for k in (1, 5, 10)])
+
+
+@query(
+    "WITH p AS (SELECT a.label AS label, list_cosine_similarity(a.embedding[1 + 16 * i : 16 * i + 16]::DOUBLE[], b.embedding[1 + 16 * i : 16 * i + 16]::DOUBLE[]) AS c "
+    "FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id, (SELECT unnest(range(4)) AS i)) SELECT label, round(avg(c), 6) AS fidelity, count(*) AS patches FROM p GROUP BY 1"
+)
+def patch_fidelity(spark, sf):
+    """Vectors as four patches; the label stands for the depth, the next vector for the corrupted item."""
+    patches = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
+    rows = read(spark, sf, "embeddings").select("vec_id", "label", patches.alias("clean"))
+    pairs = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("clean").alias("changed")), "vec_id")
+    return vectors.patch_fidelity(pairs, ["label"], "clean", "changed").select("label", r6("fidelity", "fidelity"), "patches")
+
+
 @query("SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id")
 def vector_cosine(spark, sf):
     rows = read(spark, sf, "embeddings")
@@ -465,6 +494,13 @@ def hierarchical_bootstrap_draws(spark, sf):
     return bootstrap.hierarchical_draws(rows, ["g"], 50).select("g", F.col("boot").cast("long").alias("boot"), r6("mean", "mean"))
 
 
+@query()
+def unpaired_bootstrap_difference(spark, sf):
+    """Values at the highest against the lowest severity, by model: different pairs on both sides."""
+    rows = scores(spark, sf).where("severity in (1, 5)").withColumn("arm", F.col("severity") == 5)
+    return bootstrap.unpaired_difference(rows, ["model"])
+
+
 @query()
 def hierarchical_bootstrap_interval(spark, sf):
     """Recall-like indicator by model and damage quintile, 10,000 draws."""

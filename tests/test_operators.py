@@ -180,3 +180,28 @@ def test_streamed_appends(spark, tmp_path):
     for _ in range(2):
         append_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_multi_positive_recall_takes_best_positive_and_keeps_misses(spark):
+    v = {0: [1.0, 0.0], 1: [0.0, 1.0], 2: [-1.0, 0.0], 3: [0.9, 0.1]}
+    candidates = spark.createDataFrame(list(v.items()), "candidate long, vector array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.05]), (8, [0.0, 1.0]), (9, [1.0, 0.0])], "id long, vector array<double>")
+    positives = spark.createDataFrame([(7, 2), (7, 3), (8, 1), (8, 1), (8, 99)], "id long, candidate long")
+    got = {r.id: r.better for r in vectors.multi_positive_ranks(queries, positives, candidates).collect()}
+    assert got == {7: 1, 8: 0, 9: None}
+
+
+def test_patch_fidelity_by_place(spark):
+    rows = [("a", [[1.0, 0.0], [0.0, 2.0]], [[3.0, 0.0], [1.0, 0.0]]), ("b", [[1.0, 1.0]], []), ("c", [[1.0], [1.0]], [[2.0]])]
+    df = spark.createDataFrame(rows, "depth string, clean array<array<double>>, changed array<array<double>>")
+    got = {r.depth: (r.fidelity, r.patches) for r in vectors.patch_fidelity(df, ["depth"], "clean", "changed").collect()}
+    assert got == {"a": (0.5, 2), "b": (None, 0), "c": (1.0, 1)}
+
+
+def test_unpaired_difference_recovers_planted_gap_of_unequal_arms(spark):
+    rng = np.random.default_rng(1)
+    make = lambda n, mean, arm: pd.DataFrame({"g": 0, "arm": arm, "seed": np.repeat([0, 1, 2], n), "value": rng.normal(mean, 0.1, 3 * n)})
+    values = pd.concat([make(40, 0.5, False), make(60, 0.7, True), make(5, 0.2, True).assign(g=1)])
+    got = {r.g: r for r in bootstrap.unpaired_difference(spark.createDataFrame(values), ["g"], n_boot=1000).collect()}
+    assert got[0].lo < 0.2 < got[0].hi and got[0].hi - got[0].lo < 0.15
+    assert (got[1].point, got[1].lo, got[1].hi) == (None, None, None)
