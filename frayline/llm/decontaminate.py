@@ -1,4 +1,9 @@
-"""Benchmark decontamination: SimHash fingerprints of item-sized windows, looked up by Hamming blocks, then verified."""
+"""Benchmark decontamination: SimHash fingerprints of item-sized windows, looked up by Hamming blocks, then verified.
+
+Fingerprints alone lose edited passages, so items are also looked up by a prefix of their
+shingles, which is exact: a window of similarity s shares shingles of at least the share s
+of the item's weight, so it holds one of any shingles that weigh more than the rest, 1 - s.
+"""
 
 from __future__ import annotations
 
@@ -52,6 +57,44 @@ class Shingled:
 
     def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
         self.counts, self.weights = weighted(hashes, sizes)
+        self.total = sum(n * self.weights[key] for key, n in self.counts.items())
+
+    def prefix(self, similarity: float) -> list[int]:
+        """The fewest shingles one of which stands in every window of this similarity."""
+        rest, out = max(0.0, 1 - similarity) * self.total * (1 + 1e-9), []
+        for key in sorted(self.counts, key=lambda k: (-self.counts[k] * self.weights[k], k)):
+            out.append(key)
+            rest -= self.counts[key] * self.weights[key]
+            if rest < 0:
+                break
+        return out
+
+    def best(self, keys: np.ndarray, running: np.ndarray, runs: list[tuple[int, int]], n_words: int, end: int) -> tuple[float, int]:
+        """Similarity and start of the best window (the first one among ties) that starts in one of the runs.
+
+        ``keys`` are the shingles by position and ``running`` the sums of their weights; windows
+        have ``n_words`` words, or fewer where the text ends.
+        """
+        k = min(SHINGLE, n_words)
+        best = 0.0, -1
+        for begin, last in runs:
+            have: Counter = Counter()
+            low, to = 0, begin
+            for start in range(begin, last + 1):
+                stop = min(start + n_words, end) - k + 1
+                for key in keys[to:stop].tolist():
+                    if key in self.counts:
+                        have[key] += 1
+                        low += self.weights[key] * (have[key] <= self.counts[key])
+                to = max(to, stop)
+                high = self.total + int(running[stop] - running[start]) - low
+                if low / high > best[0]:
+                    best = low / high, start
+                key = int(keys[start])
+                if key in self.counts:
+                    low -= self.weights[key] * (have[key] <= self.counts[key])
+                    have[key] -= 1
+        return best
 
     def similarity(self, hashes: np.ndarray, sizes: np.ndarray) -> float:
         counts, weights = weighted(hashes, sizes)
@@ -108,11 +151,38 @@ class Index:
                     yield pair
 
 
+class Prefixes:
+    """The benchmark's prefix shingles of one number of words, and the items that each belongs to."""
+
+    def __init__(self, pairs: list[tuple[int, tuple[int, int]]]):
+        self.items: dict[int, list[tuple[int, int]]] = {}
+        for key, item in pairs:
+            self.items.setdefault(key, []).append(item)
+        self.keys = np.array(sorted(self.items), dtype=np.uint64)
+        self.shift = np.uint64(64 - min(24, max(16, 3 + len(self.keys).bit_length())))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.maybe[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def hits(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of prefix shingles."""
+        at = np.flatnonzero(self.maybe[(keys >> self.shift).astype(np.int64)])
+        slot = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        return at[self.keys[slot] == keys[at]]
+
+
+def covered(ends: np.ndarray, length: int, lowest: int) -> list[tuple[int, int]]:
+    """First and last positions of the unions of stretches of ``length`` that end at sorted places, none before ``lowest``."""
+    breaks = np.flatnonzero(np.diff(ends) > length)
+    low = np.maximum(ends[np.append(0, breaks + 1)] - length + 1, lowest)
+    return list(zip(low.tolist(), ends[np.append(breaks, len(ends) - 1)].tolist(), strict=True))
+
+
 class Benchmark:
     """A bounded part of the benchmark, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int):
+    def __init__(self, items: list[tuple[int, str]], radius: int, similarity: float):
         by_length: dict[int, list[tuple]] = {}
+        by_words: dict[int, list[tuple[int, tuple[int, int]]]] = {}
         for item_id, text in items:
             block = next(blocks(pa.array([text])))
             found = words(block, NOT_BLANK)
@@ -123,7 +193,10 @@ class Benchmark:
             kind = np.int8 if length <= 127 else np.int16 if length <= 32767 else np.int32
             running = np.zeros((length + 1, 64), dtype=kind)
             np.cumsum(signs(hashes[:length]), axis=0, dtype=kind, out=running[1:])
-            by_length.setdefault(length, []).append((item_id, len(hashes), Shingled(hashes, found.ends - found.starts), fingerprints(running, length)[0]))
+            shingled, same = Shingled(hashes, found.ends - found.starts), by_length.setdefault(length, [])
+            by_words.setdefault(min(SHINGLE, len(hashes)), []).extend((key, (length, len(same))) for key in shingled.prefix(similarity))
+            same.append((item_id, len(hashes), shingled, fingerprints(running, length)[0]))
+        self.prefixes = {k: Prefixes(v) for k, v in sorted(by_words.items())}
         self.lengths = {k: (v, Index(k, np.array([x[3] for x in v], dtype=np.uint64), radius)) for k, v in sorted(by_length.items())}
 
 
@@ -142,10 +215,12 @@ def find_contamination(
 
     A window starts at every word (white-space words, A-Z as a-z).  It is a candidate for an
     item if the SimHash of its first words, as many as the item's window length, is within
-    ``radius`` bits of the item's; then the window of just the item's length must have a
-    weighted Jaccard similarity of 5-word shingles (repeats counted, weighted by letters) of
-    ``similarity`` or more.  Returns ``doc_id, item_id, start_word, n_words, distance,
-    similarity``: for each input row and item the best window (the first one among ties).
+    ``radius`` bits of the item's, or if it holds one of the item's prefix shingles; then the
+    window of the item's length, or of what is left of the text, must have a weighted Jaccard
+    similarity of 5-word shingles (repeats counted, weighted by letters) of ``similarity`` or
+    more.  The second way finds every such window, whatever its distance.  Returns ``doc_id,
+    item_id, start_word, n_words, distance, similarity``: for each input row and item the best
+    window (the first one among ties).
 
     Null and empty texts, and items without a word, match nothing; an item or window of
     fewer than five words is one shingle.  Repeated documents or items give a row each; null
@@ -160,7 +235,7 @@ def find_contamination(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = None
     for k in range(passes):
-        chunk = Benchmark([(r[0], r[1]) for r in items.where(part == k).orderBy("item_id", "text").collect()], radius)
+        chunk = Benchmark([(r[0], r[1]) for r in items.where(part == k).orderBy("item_id", "text").collect()], radius, similarity)
         rows = _pass(source, spark.sparkContext.broadcast(chunk), similarity)
         found = rows if found is None else found.unionByName(rows)
     return found
@@ -181,20 +256,43 @@ def _pass(source: DataFrame, benchmark_, similarity: float) -> DataFrame:
                 kind = np.int8 if longest <= 127 else np.int16 if longest <= 32767 else np.int32
                 running = np.zeros((len(hashes) + 1, 64), dtype=kind)
                 np.cumsum(signs(hashes), axis=0, dtype=kind, out=running[1:])
+                def offer(text: int, length: int, slot: int, window: int, score: float, distance: int | None = None) -> None:
+                    item_id, n_words, _, own = benchmark.lengths[length][0][slot]
+                    key, start = (text, length, slot), int(window - found.first[text])
+                    if score < similarity or key in best and (-score, start) >= best[key][0]:
+                        return
+                    stop = min(window + n_words, int(found.first[text + 1]))
+                    if distance is None:
+                        seen = running[[window, min(window + length, stop)]]
+                        distance = int(np.bitwise_count(fingerprints(seen, 1)[0] ^ own))
+                    best[key] = (-score, start), stop - window, distance, item_id
+
                 for length, (items, index) in benchmark.lengths.items():
                     if length > len(hashes):
                         continue
                     for window, slot, distance in index.candidates(fingerprints(running, length)):
-                        item_id, n_words, shingled, _ = items[slot]
                         text = int(np.searchsorted(found.first, window, side="right")) - 1
-                        stop = window + n_words
-                        if stop > found.first[text + 1]:
+                        if window + length > found.first[text + 1]:
                             continue
-                        score = shingled.similarity(hashes[window:stop], sizes[window:stop])
-                        key = text, length, slot
-                        start = int(window - found.first[text])
-                        if score >= similarity and (key not in best or (-score, start) < best[key][0]):
-                            best[key] = (-score, start), n_words, distance, item_id
+                        stop = min(window + items[slot][1], int(found.first[text + 1]))
+                        offer(text, length, slot, window, items[slot][2].similarity(hashes[window:stop], sizes[window:stop]), distance)
+                for k, prefixes in benchmark.prefixes.items():
+                    keys = shingles(hashes, k)
+                    hits = prefixes.hits(keys)
+                    texts = np.searchsorted(found.first, hits, side="right") - 1
+                    whole = hits + k <= found.first[texts + 1]
+                    places: dict[tuple[int, int, int], list[int]] = {}
+                    for at, text in zip(hits[whole].tolist(), texts[whole].tolist(), strict=True):
+                        for length, slot in prefixes.items[int(keys[at])]:
+                            places.setdefault((text, length, slot), []).append(at)
+                    if not places:
+                        continue
+                    weights = np.concatenate([[0], np.cumsum(np.convolve(sizes, np.ones(k, dtype=np.int64), mode="valid"))])
+                    for (text, length, slot), ends in places.items():
+                        _, n_words, shingled, _ = benchmark.lengths[length][0][slot]
+                        runs = covered(np.array(ends), n_words - k + 1, int(found.first[text]))
+                        score, window = shingled.best(keys, weights, runs, n_words, int(found.first[text + 1]))
+                        offer(text, length, slot, window, score)
                 rows += [(block.first + text, item_id, start, n, d, -s) for (text, _, _), ((s, start), n, d, item_id) in sorted(best.items())]
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays(

@@ -105,6 +105,27 @@ def test_hamming_blocks_lose_nothing_within_the_radius():
     assert got == want
 
 
+def test_decontamination_finds_every_edited_passage(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").limit(60).collect()]
+    rows, want = [], {}
+    for item_id, text in items:
+        ws = words(text)
+        edits = [["X1", *ws[1:]], ["X1", "X2", *ws[2:]], [*ws[:-1], "X1"], [*ws[: len(ws) // 2], "X1", *ws[len(ws) // 2 + 1 :]], [*ws[: len(ws) // 2], "X1", *ws[len(ws) // 2 :]]]
+        for whole in ([f"before{item_id}", "it", *e, "and", "after", "it"] for e in edits):
+            rows.append((len(rows), " ".join(whole)))
+        rows.append((len(rows), " ".join(["before", *ws[:-1]])))
+        for doc_id, doc in rows[-6:]:
+            doc = words(doc)
+            score, start = max((similarity(weighted(ws), weighted(doc[s : s + len(ws)])), -s) for s in range(len(doc)))
+            if score >= 0.8:
+                want[doc_id, item_id] = -start, min(len(ws), len(doc) + start), score
+    found = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in found.collect() if r.doc_id // 6 == [i for i, _ in items].index(r.item_id)}
+    assert len({doc_id % 6 for doc_id, _ in want}) == 6
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}, f"{len(got)} of {len(want)}"
+    assert all(abs(got[k][2] - v[2]) < 1e-9 for k, v in want.items())
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "a b c d e"), (1, "one"), (2, None), (3, ""), (None, "five words")], "item_id long, text string")
     got = Counter((r.doc_id, r.item_id) for r in decontaminate.find_contamination(odd_docs, items, items_per_pass=1).collect())
