@@ -6,6 +6,9 @@ tokens holds one of the template's first ``size - need + 1`` tokens (prefix filt
 at least ``need`` words (length filter), and when its first match is the template's
 token number i, at most ``size - i`` tokens can match (positional filter).  What passes
 all three is compared as sets.
+
+With ``notices`` the join names licenses: templates must be met with the words that tell
+them apart, also across lines, and only the best of similar templates counts at a place.
 """
 
 from __future__ import annotations
@@ -48,6 +51,10 @@ TEMPLATES = (
 )
 #: Share of a template's distinct tokens that a block must hold.
 THRESHOLD = 0.9
+#: Names without which no notice counts, whatever else is there.
+NAMES = frozenset({"gnu", "mozilla", "creative", "commons"})
+#: Templates of different labels that share this much of the smaller one's tokens are similar.
+SIMILAR = 0.8
 
 
 def tokens(text: str) -> list[str]:
@@ -69,6 +76,47 @@ class Ordered(NamedTuple):
         return self.order[: len(self.order) - self.need + 1]
 
 
+class Notice(NamedTuple):
+    """What a notice of a template must hold, the most words it may take, and the templates it is easily taken for."""
+
+    required: frozenset[int]
+    length: int
+    similar: frozenset[int]
+
+
+def make_notices(templates: tuple[tuple[str, str], ...], number: dict[str, int], threshold: float) -> list[Notice]:
+    sets = [frozenset(tokens(text)) for _, text in templates]
+    out = []
+    for (label, text), own in zip(templates, sets, strict=True):
+        others = [(k, other) for k, other in enumerate(sets) if templates[k][0] != label]
+        required = own & (NAMES | set(tokens(label)))
+        for _, other in others:
+            if len(own & other) >= threshold * len(own) - 1e-9:
+                required |= own - other
+        similar = frozenset(k for k, other in others if len(own & other) >= SIMILAR * min(len(own), len(other)) - 1e-9)
+        out.append(Notice(frozenset(number[w] for w in required), math.ceil(len(tokens(text)) / threshold), similar))
+    return out
+
+
+def tightest(codes: list[int], hit: int, template: frozenset[int], notice: Notice, need: int) -> tuple[int, int, int] | None:
+    """Tokens shared, start and end of the best run of ``notice.length`` words or fewer around a place."""
+    if len(template.intersection(codes)) < need or not notice.required.issubset(codes):
+        return None
+    best = None
+    for start in range(max(0, hit - notice.length + 1), hit + 1):
+        if codes[start] not in template:
+            continue
+        own: set[int] = set()
+        for at in range(start, min(len(codes), start + notice.length)):
+            if codes[at] in template and codes[at] not in own:
+                own.add(codes[at])
+                if at >= hit and len(own) >= need and notice.required <= own:
+                    rank = len(own), start - at
+                    if best is None or rank > best[0]:
+                        best = rank, start, at + 1
+    return best and (best[0][0], best[1], best[2])
+
+
 class Vocabulary:
     """The hashes of all template and phrase tokens; a bounded table (it grows with the templates only)."""
 
@@ -115,6 +163,7 @@ def scan_licenses(
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
+    notices: bool = False,
 ) -> DataFrame:
     """Find license phrases and notices in every whole text, one row for each input row.
 
@@ -124,7 +173,15 @@ def scan_licenses(
     without any), ``base_labels``, ``labels`` (with those of the join; distinct, sorted,
     comma-joined, empty string for none), ``score`` (1 with a phrase; else the largest
     containment found, at least ``threshold``, or 0) and ``blocks`` (start and length in
-    words, label and containment of each matching line, by start and label).
+    words, label and containment of each match, by start and label).
+
+    By default every template whose tokens a line holds to the share ``threshold`` gives its
+    label, so one notice also gets the labels of similar templates.  With ``notices`` a match
+    must hold the words that tell the template apart (those of the label, names, and what a
+    similar template lacks); it may be a run of words across lines, as long as the template and
+    a share for insertions, or else a line; and where matches of similar templates overlap,
+    those of the largest containment, then of most tokens, then the compact ones stay.  So "version 2 or 3" names both, but of
+    "version 2 or version 3", which is too long for a run, only the first is told.
 
     Null and empty texts have no words and no labels.  Repeated rows and null ids give a row
     each; other columns are ignored whatever their names; an empty table gives no rows.
@@ -143,6 +200,38 @@ def scan_licenses(
     is_prefix[list(lookups)] = True
     sequences = [([vocabulary.number[w] for w in tokens(p)], label) for p, label in phrases.items()]
 
+    wanted = make_notices(templates, vocabulary.number, threshold)
+    sets = [frozenset(t.order) for t in ordered]
+
+    def compact(code: np.ndarray, rare: np.ndarray, first: np.ndarray) -> dict[int, list[tuple]]:
+        """For each text, matches of all templates within runs of words, as (rank, start, end, template)."""
+        out: dict[int, set[tuple]] = {}
+        for at, text in zip(rare.tolist(), (np.searchsorted(first, rare, side="right") - 1).tolist(), strict=True):
+            for k, _ in lookups[int(code[at])]:
+                begin = max(int(first[text]), at - wanted[k].length + 1)
+                run = code[begin : min(int(first[text + 1]), at + wanted[k].length)].tolist()
+                if (found := tightest(run, at - begin, sets[k], wanted[k], ordered[k].need)) is not None:
+                    shared, start, end = found
+                    out.setdefault(text, set()).add(((shared / len(sets[k]), shared, True), begin + start, begin + end, k))
+        return {text: list(x) for text, x in out.items()}
+
+    def lines_of(own: np.ndarray, a: int, b: int, known: list[tuple]) -> list[tuple]:
+        """Matches of the line of words a..b-1 with templates that have no compact match in it."""
+        present, out = set(own.tolist()), []
+        for k in {k for token in present for k, _ in lookups.get(token, ())}:
+            shared = len(present & sets[k])
+            if shared >= ordered[k].need and wanted[k].required <= present and not any(m[3] == k and m[1] < b and a < m[2] for m in known):
+                out.append(((shared / len(sets[k]), shared, False), a, b, k))
+        return out
+
+    def best_of(found: list[tuple]) -> list[tuple]:
+        """Matches without those that overlap a better one of a similar template."""
+        out: list[tuple] = []
+        for m in sorted(found, key=lambda m: (tuple(-x for x in m[0]), *m[1:])):
+            if not any(o[3] in wanted[m[3]].similar and o[0] > m[0] and o[1] < m[2] and m[1] < o[2] for o in out):
+                out.append(m)
+        return out
+
     def matches(line: np.ndarray, n_words: int) -> dict[str, float]:
         """Labels and containments of the templates that a line, given by its vocabulary tokens, meets."""
         own, out, done = set(line.tolist()), {}, set()
@@ -189,14 +278,24 @@ def scan_licenses(
                     breaks = np.flatnonzero(block.data == 10)
                     edges = np.unique(np.concatenate([block.offsets, breaks + 1]))
                     lines = np.unique(np.searchsorted(edges, found.starts[rare], side="right") - 1)
+                    near = compact(code, rare, found.first) if notices else {}
                     for begin, end in zip(edges[lines].tolist(), edges[np.minimum(lines + 1, len(edges) - 1)].tolist(), strict=True):
                         a, b = np.searchsorted(found.starts, [begin, end])
                         own = code[a:b]
+                        if notices:
+                            text = int(np.searchsorted(found.first, a, side="right")) - 1
+                            near[text] = near.get(text, []) + lines_of(own[own >= 0], int(a), int(b), near.get(text, []))
+                            continue
                         for label, share in matches(own[own >= 0], int(b - a)).items():
                             k = int(np.searchsorted(found.first, a, side="right")) - 1
                             labels[k].add(label)
                             spans[k].append({"start": int(a - found.first[k]), "n_words": int(b - a), "label": label, "containment": share})
                             score[k] = max(score[k], share)
+                    for k, all_matches in near.items():
+                        for (share, _, _), a, b, t in best_of(all_matches):
+                            labels[k].add(ordered[t].label)
+                            spans[k].append({"start": int(a - found.first[k]), "n_words": b - a, "label": ordered[t].label, "containment": share})
+                            score[k] = max(score[k], share)
                 none = first < 0
                 yield pa.RecordBatch.from_arrays(
                     [

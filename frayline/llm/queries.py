@@ -61,7 +61,7 @@ def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), notices=True).drop("blocks")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,31 @@ def test_licenses_against_brute_force(spark, sf, odd_docs, no_docs):
     assert license_scan.scan_licenses(no_docs).count() == 0
 
 
+def test_license_notices_get_just_their_own_label(spark):
+    gpl3, apache = license_scan.TEMPLATES[4][1], license_scan.TEMPLATES[2][1]
+    rows, want = [], []
+    for label, text in license_scan.TEMPLATES:
+        ws = text.split()
+        wrapped = ["\n * ".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n)) for n in (3, 7)]
+        for shape in (text, *wrapped, f"Some words before.\n{text}.\nThen version 2 and 3 of more.", " ".join([ws[0], "(as we say here, for all files)", *ws[1:]])):
+            rows.append((len(rows), shape))
+            want.append(label)
+    mixed = {f"{gpl3}. {apache}": "apache-2,gpl-3", f"{gpl3}.\n{apache}": "apache-2,gpl-3", gpl3.replace("3", "2 or 3"): "gpl-2,gpl-3"}
+    mixed |= {gpl3.replace("3", "1"): "", license_scan.TEMPLATES[8][1].replace("2.0", "1.0"): "", gpl3.replace("GNU", "Own"): "", gpl3[:40]: ""}
+    for text, label in mixed.items():
+        rows.append((len(rows), text))
+        want.append(label)
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), notices=True).collect()}
+    assert [(rows[i][1], got[i]) for i in got if got[i] != want[i]] == []
+    assert len(got) == len(rows)
+
+
+def test_license_query_names_one_license_a_notice(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.labels for r in queries.op9_license_scan(spark, sf).collect() if "Licensed under CC BY-NC 4.0" in texts[r.doc_id]}
+    assert got and all("cc-by" not in x.split(",") for x in got.values())
+
+
 def test_warc_round_trip(spark, sf, tmp_path):
     rows = [(1, "http://a/", "same"), (2, "http://b/", "same"), (2, "http://b/", "same"), (3, None, None), (4, "u", ""), (None, "n\r\nX: y", "same"), (5, "big", "é" * 200_000), (6, "g", "g")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string")
