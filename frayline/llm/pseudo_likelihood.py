@@ -25,7 +25,7 @@ TOKENS = 1 << 16
 EMBEDDED, WIDTH = 4096, 16
 #: Words seen on each side, hidden units, classes; the most frequent tokens are classes of their own.
 SIDE, HIDDEN, CLASSES, OWN_CLASSES = 2, 32, 64, 48
-#: Rounds of training; in each, every text gives the positions of one remainder modulo STRIDE.
+#: Rounds of training; they share out the remainders of positions modulo STRIDE, so that together they take every position.
 ROUNDS, STRIDE, BATCH, RATE = 2, 8, 512, 0.05
 _FIXED = float(1 << 32)  # changes are added up as integers, so that their order does not matter
 
@@ -126,6 +126,13 @@ def _slots(values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(values[slots])], ["slot", "value"])
 
 
+def round_positions(first: np.ndarray, number: int, rounds: int, stride: int) -> np.ndarray:
+    """The words of a block, by their places in their texts, that a round trains on."""
+    at = np.arange(first[-1])
+    remainder = (at - np.repeat(first[:-1], np.diff(first))) % stride
+    return at[(remainder >= number * stride // rounds) & (remainder < (number + 1) * stride // rounds)]
+
+
 def train(texts: DataFrame, units: Units, rounds: int = ROUNDS, stride: int = STRIDE) -> dict[str, np.ndarray]:
     """Averaged training over all texts; each round sums the tasks' changes, weighted by their positions."""
     spark = texts.sparkSession
@@ -142,8 +149,7 @@ def train(texts: DataFrame, units: Units, rounds: int = ROUNDS, stride: int = ST
             for batch in batches:
                 for block in blocks(batch.column(1)):
                     found, tokens = token_numbers(block)
-                    at = np.arange(len(tokens))
-                    at = at[(at - np.repeat(found.first[:-1], np.diff(found.first))) % stride == number * stride // rounds]
+                    at = round_positions(found.first, number, rounds, stride)
                     at = np.random.default_rng(len(at)).permutation(at)
                     context, kind = neighbours(tokens, found.first, at), kinds[tokens[at]]
                     for i in range(0, len(at), BATCH):

@@ -12,6 +12,20 @@ from frayline.llm.textblocks import blocks
 from .conftest import DOCS
 
 
+class FakeTexts:
+    """A table of one batch, whose broadcast values are the values themselves."""
+
+    def __init__(self, batch):
+        self.batch = batch
+        self.sparkSession = self.sparkContext = self
+
+    def broadcast(self, value):
+        return type("Broadcast", (), {"value": value})
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
 def one_by_one(weights, units, tokens):
     total = 0.0
     for i, token in enumerate(tokens):
@@ -45,6 +59,19 @@ def test_training_raises_the_likelihood_of_order(spark):
     assert np.mean([got[i] for i in range(400)]) > np.mean([got[i] for i in range(400, 440)]) + 0.5
 
 
+def test_rounds_together_train_on_every_position(monkeypatch):
+    (block,) = blocks(pa.array(["a b c d e f g h i j k", "", "x", "w " * 40]))
+    texts = FakeTexts(pa.RecordBatch.from_pydict({"id": [0], "text": [bytes(block.data).decode()]}))
+    monkeypatch.setattr(pl, "sum_slots", lambda rows, n: np.bincount(rows[0].column(0).to_numpy(), rows[0].column(1).to_numpy(), n).astype(np.int64))
+    counted: list[int] = []
+    monkeypatch.setattr(pl, "train_step", lambda own, squares, context, kind: counted.append(len(kind)))
+    pl.train(texts, pl.make_units(np.zeros(pl.TOKENS)))
+    assert sum(counted) == len(pl.token_numbers(next(blocks(pa.array([bytes(block.data).decode()]))))[1])
+    found, tokens = pl.token_numbers(block)
+    parts = [pl.round_positions(found.first, k, pl.ROUNDS, pl.STRIDE) for k in range(pl.ROUNDS)]
+    assert sorted(np.concatenate(parts).tolist()) == list(range(len(tokens)))
+
+
 def test_all_rows_scored_and_reproducible(spark, sf, odd_docs, no_docs):
     got = queries.op4_pseudo_likelihood(spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
