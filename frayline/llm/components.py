@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import durable, forget
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -25,8 +25,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         # smaller neighbours of v, and v, go to the least of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        stars = durable(small, "links")
-        state = stars.agg(F.count("*"), F.sum(F.hash("v", "u").cast("long")), F.count_distinct("v")).first()
+        spent, stars = stars, durable(small, "links")
+        forget(spent)
+        state = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u"))).first()
         if state == before:
             break
         before = state

@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where the session has none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else "file:///tmp/checkpoints"
+    """``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given; a folder of our own only on a local master (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_folder:
+        _own_folder.append(f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+    return _own_folder[0]
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -24,6 +36,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote, once nothing will read them again."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def workers_find_package(spark: SparkSession) -> None:
     """Let Python workers import this package when it is run from a source folder."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -41,3 +62,14 @@ def sum_slots(df: DataFrame, size: int) -> np.ndarray:
     got = df.groupBy("slot").agg(F.sum("value").alias("value")).toArrow()
     out[got["slot"].to_numpy()] = got["value"].to_numpy()
     return out
+
+
+def filter_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text ``keep`` finds true; decided where the row is, without a join."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .durable import durable
+from .durable import durable, forget
 from .textblocks import NOT_BLANK, PLACE, blocks, hash_spans, mix, text_shingles, words
 
 SHINGLE = 5
@@ -42,6 +42,8 @@ COUNT_BITS = 22
 PIECE = 1 << 13
 #: Lists of token pairs are first dealt with in so many parts.
 PARTS = 32
+#: Bits of the filter that keeps unwanted texts from being moved.
+FILTER_BITS = 1 << 24
 #: Words of 64 bits in the sketch of a set.
 SKETCH = 8
 #: A text of a list knows so many lists before it of its own, by which a pair that has met before is told.
@@ -129,22 +131,50 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def sketches_allow(a: str, b: str, percent: int = PERCENT) -> str:
-    """SQL: the sketches sa, sb leave room for the similarity.
+    """SQL: the sketches s0a.., s0b.. leave room for the similarity.
 
     Every bit in which they differ stands for at least one token of only one of the sets.
     """
-    differ = " + ".join(f"bit_count(s{a}[{i}] ^ s{b}[{i}])" for i in range(SKETCH))
+    differ = " + ".join(f"bit_count(s{i}{a} ^ s{i}{b})" for i in range(SKETCH))
     return f"{100 + percent} * (n{a} + n{b} - ({differ})) >= {2 * percent} * (n{a} + n{b})"
 
 
-def _sketches(texts: DataFrame, k: int) -> DataFrame:
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
+
+
+def _side(nodes: DataFrame, name: str) -> DataFrame:
+    """Sizes and sketches of sets as one side of a pair."""
+    return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), *[F.col(c).alias(c + name) for c in SKETCHES])
+
+
+def _texts(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text``: one text of each set in ``wanted`` (``node``).
+
+    A bitmap of fixed size tells, before any text is moved, most rows that are not wanted;
+    where it is full, on a very large corpus, all rows go to the join, which decides.
+    """
+    chosen = nodes.join(wanted, "node", "left_semi").select("node", F.coalesce("row.doc_id", F.lit(-1)).alias("doc_id"), "row.text_key")
+    slot = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    filled = chosen.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bitmap[filled["word"].to_numpy()] = filled["bits"].to_numpy()
+    bitmap_ = keyed.sparkSession.sparkContext.broadcast(bitmap)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            rows = [sketch(tokens) for _, tokens in text_sets(batch.column(1), k)]
-            flat = pa.array(np.concatenate([np.empty(0, np.int64), *rows]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, SKETCH * len(rows) + 1, SKETCH, dtype=np.int32), flat)], ["node", "s"])
+            slots = batch.column(0).to_numpy()
+            maybe = np.flatnonzero(bitmap_.value[slots >> 6] >> (slots & 63) & 1)
+            row_of = batch.column(1).to_numpy()
+            rows = [int(i) for i in maybe if row_of[i] not in seen and not seen.add(row_of[i])]
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(rows, pa.int64())) for k in (2, 3, 4)], ["doc_id", "text_key", "text"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, s array<long>")
+    rows = keyed.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_key", "text")
+    rows = rows.select(slot.alias("slot"), F.xxhash64("text_key", "doc_id").alias("row"), "doc_id", "text_key", "text")
+    rows = rows.mapInArrow(run, "doc_id long, text_key long, text string")
+    # repeated rows of one id and text, which are left once for each task, meet where the join has brought them
+    return rows.join(chosen, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("node", "text")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -168,22 +198,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 good.append(100 * shared >= percent * (len(sets[0]) + len(sets[1]) - shared))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of the graph that links texts with 100 * shared >= percent * united shingles.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
-    Words are runs of non-blank characters with A-Z as a-z; a text's set holds its distinct
-    k-word shingles, or all its words as one if they are fewer; null, empty and blank texts
-    have no set and no links.  Returns ``doc_id, n_shingles`` (set size) and ``component_id``
-    (smallest id reachable by links, its own included), one row for each input row.  Equal
-    sets are one node, so copies, repeated rows and rows without an id are in one component
-    with each other; a component without any id has a null one.  Further columns of any name
-    are ignored; an empty table gives no rows.
-    """
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = source.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return source.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+
+
+def place_rows(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_key, n, label`` of each row: hash of its text, size of its set, and a number of its component."""
+    keyed = _keyed(docs, id_col, text_col)
     spark = docs.sparkSession
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,24 +220,32 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
         seen: set[int] = set()
         for batch in batches:
             keys, sizes = [], []
-            for _, tokens in text_sets(batch.column(1), k):
+            drawn = np.zeros((batch.num_rows, SKETCH), dtype=np.int64)
+            for i, tokens in text_sets(batch.column(1), k):
                 key = set_key(tokens)
                 keys.append(key)
                 sizes.append(len(tokens))
+                drawn[i] = sketch(tokens)
                 if key not in seen:
                     seen.add(key)
                     np.add.at(counts, (tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-            yield _described(batch.column(0), keys, sizes, batch.column(2), [None] * len(keys), [None] * len(keys))
+            none = [None] * len(keys)
+            yield _described(batch.column(0), keys, sizes, batch.column(2), none, none, drawn.T)
         pieces = [(i, counts[i * PIECE : (i + 1) * PIECE]) for i in range(len(counts) // PIECE)]
-        pieces = [(i, c.tobytes()) for i, c in pieces if c.any()]
+        pieces = [(i, _packed(c)) for i, c in pieces if c.any()]
         none = [None] * len(pieces)
-        yield _described(none, none, none, none, [i for i, _ in pieces], [c for _, c in pieces])
+        yield _described(none, none, none, none, [i for i, _ in pieces], [c for _, c in pieces], [none] * SKETCH)
 
-    facts = durable(keyed.mapInArrow(describe, "doc_id long, node long, n int, text_key long, piece int, counts binary"), "shingle-sets")
+    schema = ", ".join(["doc_id long, node long, n int, text_key long, piece int, counts binary", *(f"{c} long" for c in SKETCHES)])
+    facts = durable(keyed.mapInArrow(describe, schema), "shingle-sets")
     counts = _total_counts(facts.where("piece is not null").select("piece", "counts"))
     usual = float(np.median(counts))
     frequent_from = int(usual + max(32, 8 * np.sqrt(usual)))
     counts_ = spark.sparkContext.broadcast(counts)
+    facts = facts.where("piece is null")
+    # one row of each set: copies are combined before they are moved
+    nodes = facts.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in SKETCHES])
+    nodes = durable(nodes, "shingle-nodes")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -240,70 +277,112 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     heads = heads.withColumn("c", central).where("a <> c.a")
     heads = heads.select("sig", F.lit(True).alias("paired"), F.col("c.a").alias("a"), F.col("c.na").alias("na"), F.col("c.pa").alias("pa"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb"))
     stars = durable(lists.where("a <> b").unionByName(heads), "shingle-stars")
+    forget(lists)
 
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = durable(ordered(stars.where(similar_enough("a", "b", percent))), "shingle-pairs")
-    # a list of single tokens has compared its central text with all others, so only these are left to compare with each other
-    members = stars.where("paired").select("sig", F.col("a").alias("node"), F.col("na").alias("n"))
-    members = durable(members.unionByName(stars.select("sig", F.col("b").alias("node"), F.col("nb").alias("n"))).distinct(), "shingle-members")
-
-    # one row of each text that is to be compared
-    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
-    chosen = facts.where("piece is null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
-    chosen = chosen.select("node", F.coalesce("row.doc_id", F.lit(-1)).alias("doc_id"), "row.text_key")
-    rows = keyed.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_key", "text")
-    texts = durable(rows.join(chosen, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "shingle-texts")
-
+    first = stars.where(similar_enough("a", "b", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = first.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(sketches_allow("a", "b", percent))
+    first = durable(first.select("a", "b"), "shingle-pairs")
+    texts = durable(_texts(keyed, nodes, _ends(first).distinct()), "shingle-texts")
     links = durable(_verify(first, texts, k, percent), "shingle-links")
+    forget(texts)
+
+    # a list of single tokens has compared its central text with all others, so only these are left to compare with each other
+    members = stars.where("paired").select("sig", F.col("a").alias("node"))
+    members = members.unionByName(stars.select("sig", F.col("b").alias("node"))).distinct()
     part = connected_components(links)
-    placed = members.join(part, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    per_list = Window.partitionBy("sig")
-    placed = placed.withColumns({"low": F.min("label").over(per_list), "high": F.max("label").over(per_list)}).where("low <> high")
-    placed = durable(placed.select("sig", "node", "n", "label"), "shingle-open")
-    drawn = durable(_sketches(texts.join(placed.select("node").distinct(), "node", "left_semi"), k), "shingle-sketches")
+    placed = durable(members.join(part, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("label")), "shingle-members")
+    forget(stars)
+    open_lists = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
+    placed = placed.join(open_lists, "sig").join(nodes.drop("row"), "node")
     before = F.collect_list("sig").over(Window.partitionBy("node").orderBy("sig").rowsBetween(-BEFORE, -1))
-    placed = placed.join(drawn, "node").withColumn("before", before)
-    one, two = (placed.select("sig", *[F.col(c).alias(name + x) for c, name in (("node", ""), ("n", "n"), ("label", "l"), ("s", "s"), ("before", "before_"))]) for x in "ab")
+    placed = durable(placed.withColumn("before", before), "shingle-open")
+    one, two = (placed.select("sig", *[F.col(c).alias(name + x) for c, name in (("node", ""), ("n", "n"), ("label", "l"), ("before", "before_"), *((c, c) for c in SKETCHES))]) for x in "ab")
     met = one.join(two, "sig").where("a < b and la <> lb").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(sketches_allow("a", "b", percent))
     # all filters are the pair's own, so it is the same in every list: it counts in the first one, and where that is out of sight
     rest = met.where("not arrays_overlap(before_a, before_b)").select("a", "b").distinct()
     rest = durable(rest.join(first, ["a", "b"], "left_anti"), "shingle-rest")
-    links = links.unionByName(_verify(rest, texts, k, percent))
-    whole = durable(connected_components(links), "shingle-components")
+    more = durable(_verify(rest, _texts(keyed, nodes, _ends(rest).distinct()), k, percent), "shingle-links")
+    whole = durable(connected_components(links.unionByName(more)), "shingle-components")
+    forget(placed, nodes, first, rest, links, more)
+    placed = facts.select("doc_id", "text_key", "n", "node").join(whole, "node", "left")
+    return placed.select("doc_id", "text_key", "n", F.coalesce("component", "node").alias("label"))
+
 
-    placed = facts.where("piece is null").join(whole, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("label"))
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of the graph that links texts with 100 * shared >= percent * united shingles.
+
+    Words are runs of non-blank characters with A-Z as a-z; a text's set holds its distinct
+    k-word shingles, or all its words as one if they are fewer; null, empty and blank texts
+    have no set and no links.  A very long text is one set like any other: a task holds the
+    shingles of one text at a time, and of two when it compares.  Returns ``doc_id,
+    n_shingles`` (set size) and ``component_id`` (smallest id reachable by links, its own
+    included), one row for each input row.  Equal sets are one node, so copies, repeated rows
+    and rows without an id are in one component with each other; a component without any id
+    has a null one.  Further columns of any name are ignored; an empty table gives no rows.
+    """
+    placed = place_rows(docs, k, percent, id_col, text_col)
     least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "label", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row of the smallest id stays.
+
+    Rows with an id come before rows without, and of one id's texts the one of the smallest
+    hash comes first; so decisions are made by row, and a repeated id loses only the texts
+    that are near copies of what stays.  A row that is repeated as a whole stays once.  Rows
+    without a word have no copies and all stay.  Columns are those of ``docs``.
+    """
+    placed = place_rows(docs, k, percent, id_col, text_col).where("n > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("text_key").alias("key"))
+    kept = placed.groupBy("label").agg(F.min(order).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.key").alias("_key"))
+    text = F.col(text_col).cast("string")
+    blank = F.coalesce(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
+    rows = docs.where(~blank).withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "_key": F.xxhash64(text)})
+    row = F.struct(*docs.columns)
+    once = rows.join(kept, ["_id", "_key"]).groupBy("_id", "_key").agg(F.max_by(row, F.xxhash64(*docs.columns)).alias("row"))
+    return once.select("row.*").unionByName(docs.where(blank))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """A piece of the table, in as few bytes as its numbers allow."""
+    size = 1 if counts.max() < 256 else 4
+    return bytes([size]) + pa.compress(counts.astype(np.uint8 if size == 1 else np.int32).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    size = raw[0]
+    return np.frombuffer(pa.decompress(raw[1:], PIECE * size, codec="zstd", asbytes=True), dtype=np.uint8 if size == 1 else np.int32)
+
+
 def _total_counts(pieces: DataFrame) -> np.ndarray:
     """Add up the tasks' tables piece by piece, in passing; the result is one table of fixed size (capped at 2**31)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, total = None, np.zeros(PIECE, dtype=np.int64)
-        give = lambda: pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()])], ["piece", "counts"])
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([_packed(np.minimum(total, 2**31 - 1))])], ["piece", "counts"])
         for batch in batches:
             for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if number != piece:
                     if piece is not None:
                         yield give()
                     piece, total = number, np.zeros(PIECE, dtype=np.int64)
-                total += np.frombuffer(raw.as_buffer(), dtype=np.int32)
+                total += _unpacked(raw.as_py())
         if piece is not None:
             yield give()
 
     out = np.zeros(1 << COUNT_BITS, dtype=np.int32)
     summed = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "piece int, counts binary")
     for row in summed.toLocalIterator():
-        out[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(row["counts"], dtype=np.int32)
+        out[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = _unpacked(bytes(row["counts"]))
     return out
 
 
-def _described(ids, keys, sizes, text_keys, pieces, counts) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-    columns = [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip((ids, keys, sizes, text_keys, pieces, counts), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "text_key", "piece", "counts"])
+def _described(ids, keys, sizes, text_keys, pieces, counts, drawn) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * SKETCH)
+    columns = [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip((ids, keys, sizes, text_keys, pieces, counts, *drawn), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "text_key", "piece", "counts", *SKETCHES])
 
 
 def _signed(out: list[tuple]) -> pa.RecordBatch:
