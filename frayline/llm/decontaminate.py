@@ -1,8 +1,11 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, looked up by Hamming blocks, then verified.
 
-Fingerprints alone lose edited passages, so items are also looked up by a prefix of their
-shingles, which is exact: a window of similarity s shares shingles of at least the share s
-of the item's weight, so it holds one of any shingles that weigh more than the rest, 1 - s.
+A window of similarity s shares shingles of at least the share s of the item's weight, so
+only windows that hold enough weight of any benchmark shingles are fingerprinted; nothing is
+lost by that, and these are few, so that every window has the whole length of its item and
+the radius can be wide.  An edit may still move a fingerprint beyond the radius; for such
+items a lookup by a prefix of their shingles is exact: any shingles that weigh more than the
+share 1 - s cannot all be missing.
 """
 
 from __future__ import annotations
@@ -15,25 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import NOT_BLANK, blocks, hash_spans, shingles, words
+from .durable import durable, filter_rows
+from .textblocks import NOT_BLANK, Block, blocks, hash_spans, shingles, words
 
-#: Fingerprints of 64 bits within this Hamming distance are candidates.
-RADIUS = 5
+#: Fingerprints of 64 bits within this Hamming distance are candidates: a tenth of the words, the most that
+#: may differ at the similarity below, flips 9 bits on average and more than these hardly ever.
+RADIUS = 18
 #: Words in a shingle, and the weighted Jaccard similarity that a window must reach.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Benchmark items held by a task at once; a larger benchmark takes several passes over the corpus.
-ITEMS_PER_PASS = 20_000
-#: Window lengths grow by this factor; an item is fingerprinted by its first words, as many as the next lower length.
-GROWTH = 1.15
-
-
-def window_length(n_words: int) -> int:
-    """The largest window length that is no longer than the item."""
-    length = step = 1
-    while step <= n_words:
-        length = step
-        step = max(step + 1, int(step * GROWTH))
-    return length
+#: Items, and bytes of their texts, that a task holds at once; a larger benchmark takes several passes over the corpus.
+ITEMS_PER_PASS, BYTES_PER_PASS = 20_000, 32 << 20
+#: Windows of a long text are fingerprinted over so many words at a time.
+SEGMENT = 1 << 16
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
@@ -42,14 +38,20 @@ def signs(hashes: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int8) << 1) - 1
 
 
-def fingerprints(running: np.ndarray, length: int) -> np.ndarray:
-    """SimHash of each window: the sign of the sum of its words' values, bit by bit.
-
-    ``running`` holds sums from the start of the block; in 8 or 16 bits they wrap around, but
-    a difference over one window is at most its length and so comes out right.
-    """
-    total = running[length:] - running[:-length]
-    return np.packbits(total > 0, axis=1).view("<u8").ravel()
+def fingerprints(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """SimHash of each window of words (starts sorted): the sign of the sum of its words' values, bit by bit."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(starts, low + SEGMENT)))
+        high = int(stops[at:to].max())
+        running = np.zeros((high - low + 1, 64), dtype=np.int32)
+        np.cumsum(signs(hashes[low:high]), axis=0, dtype=np.int32, out=running[1:])
+        total = running[stops[at:to] - low] - running[starts[at:to] - low]
+        out[at:to] = np.packbits(total > 0, axis=1).view("<u8").ravel()
+        at = to
+    return out
 
 
 class Shingled:
@@ -151,25 +153,97 @@ class Index:
                     yield pair
 
 
-class Prefixes:
-    """The benchmark's prefix shingles of one number of words, and the items that each belongs to."""
+class Keys:
+    """A sorted set of shingles with a bitmap in front of it."""
 
-    def __init__(self, pairs: list[tuple[int, tuple[int, int]]]):
-        self.items: dict[int, list[tuple[int, int]]] = {}
-        for key, item in pairs:
-            self.items.setdefault(key, []).append(item)
-        self.keys = np.array(sorted(self.items), dtype=np.uint64)
+    def __init__(self, keys: set[int]):
+        self.keys = np.array(sorted(keys), dtype=np.uint64)
         self.shift = np.uint64(64 - min(24, max(16, 3 + len(self.keys).bit_length())))
         self.maybe = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.maybe[(self.keys >> self.shift).astype(np.int64)] = True
 
     def hits(self, keys: np.ndarray) -> np.ndarray:
-        """Positions of prefix shingles."""
+        """Positions of shingles of the set."""
         at = np.flatnonzero(self.maybe[(keys >> self.shift).astype(np.int64)])
         slot = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
         return at[self.keys[slot] == keys[at]]
 
 
+class Item:
+    def __init__(self, key: int, hashes: np.ndarray, sizes: np.ndarray):
+        self.key, self.n_words, self.shingled = key, len(hashes), Shingled(hashes, sizes)
+        self.print = fingerprints(hashes, np.array([0]), np.array([len(hashes)]))[0]
+
+
+class Group:
+    """Items whose shingles have ``k`` words: their shingles, prefixes, and an index for each length."""
+
+    def __init__(self, k: int, items: list[Item], radius: int, similarity: float):
+        self.k, self.items = k, items
+        self.known = Keys({key for item in items for key in item.shingled.counts})
+        self.prefix: dict[int, list[int]] = {}
+        by_length: dict[int, list[int]] = {}
+        for number, item in enumerate(items):
+            for key in item.shingled.prefix(similarity):
+                self.prefix.setdefault(key, []).append(number)
+            by_length.setdefault(item.n_words, []).append(number)
+        self.lengths = []
+        for length, numbers in sorted(by_length.items()):
+            least = min(items[x].shingled.total for x in numbers) * similarity * (1 - 1e-9)
+            self.lengths.append((length, least, numbers, Index(length, np.array([items[x].print for x in numbers], dtype=np.uint64), radius)))
+        self.least = min(x[1] for x in self.lengths)
+
+    def find(self, hashes: np.ndarray, sizes: np.ndarray, first: np.ndarray, similarity: float) -> Iterator[tuple[int, Item, int, int, int, float]]:
+        """(text, item, start, words, distance, similarity) of the best window of each item that a text holds."""
+        k = self.k
+        keys = shingles(hashes, k)
+        hits = self.known.hits(keys)
+        texts = np.searchsorted(first, hits, side="right") - 1
+        whole = hits + k <= first[texts + 1]
+        hits, texts = hits[whole], texts[whole]
+        if not len(hits):
+            return
+        weights = np.concatenate([[0], np.cumsum(np.convolve(sizes, np.ones(k, dtype=np.int64), mode="valid"))])
+        own = weights[hits + 1] - weights[hits]
+        heavy = np.flatnonzero(np.bincount(texts, weights=own) >= self.least)
+        for text in heavy.tolist():
+            begin, end = int(first[text]), int(first[text + 1])
+            a, b = np.searchsorted(texts, [text, text + 1])
+            mine = hits[a:b]
+            held = np.zeros(end - begin + 1, dtype=np.int64)
+            held[mine - begin + 1] = own[a:b]
+            np.cumsum(held, out=held)
+            best: dict[int, tuple[float, int]] = {}
+            for length, least, numbers, index in self.lengths:
+                starts = np.arange(end - begin - k + 1)
+                stops = np.minimum(starts + length, end - begin)
+                good = held[stops - k + 1] - held[starts] >= least
+                starts, stops = starts[good] + begin, stops[good] + begin
+                if not len(starts):
+                    continue
+                for window, slot, _ in index.candidates(fingerprints(hashes, starts, stops)):
+                    start, stop, number = int(starts[window]), int(stops[window]), numbers[slot]
+                    score = self.items[number].shingled.similarity(hashes[start:stop], sizes[start:stop])
+                    if score >= similarity and (number not in best or (-score, start) < best[number]):
+                        best[number] = -score, start
+            places: dict[int, list[int]] = {}
+            for at in mine.tolist():
+                for number in self.prefix.get(int(keys[at]), ()):
+                    places.setdefault(number, []).append(at)
+            for number, ends in places.items():
+                item = self.items[number]
+                if number in best and best[number][0] == -1.0:
+                    continue
+                score, start = item.shingled.best(keys, weights, covered(np.array(ends), item.n_words - k + 1, begin), item.n_words, end)
+                if score >= similarity and (number not in best or (-score, start) < best[number]):
+                    best[number] = -score, start
+            for number, (score, start) in sorted(best.items()):
+                item = self.items[number]
+                stop = min(start + item.n_words, end)
+                seen = fingerprints(hashes, np.array([start]), np.array([stop]))[0]
+                yield text, item, start - begin, stop - start, int(np.bitwise_count(seen ^ item.print)), -score
+
+
 def covered(ends: np.ndarray, length: int, lowest: int) -> list[tuple[int, int]]:
     """First and last positions of the unions of stretches of ``length`` that end at sorted places, none before ``lowest``."""
     breaks = np.flatnonzero(np.diff(ends) > length)
@@ -180,24 +254,34 @@ def covered(ends: np.ndarray, length: int, lowest: int) -> list[tuple[int, int]]
 class Benchmark:
     """A bounded part of the benchmark, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int, similarity: float):
-        by_length: dict[int, list[tuple]] = {}
-        by_words: dict[int, list[tuple[int, tuple[int, int]]]] = {}
-        for item_id, text in items:
+    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, similarity: float = SIMILARITY):
+        self.similarity = similarity
+        by_words: dict[int, list[Item]] = {}
+        for key, text in items:
             block = next(blocks(pa.array([text])))
             found = words(block, NOT_BLANK)
-            if not len(found.starts):
-                continue
-            hashes = hash_spans(block, found.starts, found.ends)
-            length = window_length(len(hashes))
-            kind = np.int8 if length <= 127 else np.int16 if length <= 32767 else np.int32
-            running = np.zeros((length + 1, 64), dtype=kind)
-            np.cumsum(signs(hashes[:length]), axis=0, dtype=kind, out=running[1:])
-            shingled, same = Shingled(hashes, found.ends - found.starts), by_length.setdefault(length, [])
-            by_words.setdefault(min(SHINGLE, len(hashes)), []).extend((key, (length, len(same))) for key in shingled.prefix(similarity))
-            same.append((item_id, len(hashes), shingled, fingerprints(running, length)[0]))
-        self.prefixes = {k: Prefixes(v) for k, v in sorted(by_words.items())}
-        self.lengths = {k: (v, Index(k, np.array([x[3] for x in v], dtype=np.uint64), radius)) for k, v in sorted(by_length.items())}
+            if len(found.starts):
+                item = Item(key, hash_spans(block, found.starts, found.ends), found.ends - found.starts)
+                by_words.setdefault(min(SHINGLE, item.n_words), []).append(item)
+        self.groups = [Group(k, own, radius, similarity) for k, own in sorted(by_words.items())]
+
+    def find(self, block: Block) -> Iterator[tuple[int, Item, int, int, int, float]]:
+        found = words(block, NOT_BLANK)
+        if len(found.starts):
+            hashes, sizes = hash_spans(block, found.starts, found.ends), found.ends - found.starts
+            for group in self.groups:
+                yield from group.find(hashes, sizes, found.first, self.similarity)
+
+
+def _passes(benchmark: DataFrame, radius: int, similarity: float, items_per_pass: int) -> Iterator[Benchmark]:
+    """Distinct texts of the benchmark, a bounded part at a time."""
+    texts = benchmark.select("text").where("text is not null").distinct()
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-n // items_per_pass), -(-size // BYTES_PER_PASS))
+    keyed = texts.select(F.xxhash64("text").alias("key"), "text")
+    for number in range(passes):
+        part = keyed.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == number).orderBy("key")
+        yield Benchmark([tuple(r) for r in part.toLocalIterator()], radius, similarity)
 
 
 def find_contamination(
@@ -213,91 +297,66 @@ def find_contamination(
 ) -> DataFrame:
     """Find the benchmark items that stand in each whole text.
 
-    A window starts at every word (white-space words, A-Z as a-z).  It is a candidate for an
-    item if the SimHash of its first words, as many as the item's window length, is within
-    ``radius`` bits of the item's, or if it holds one of the item's prefix shingles; then the
-    window of the item's length, or of what is left of the text, must have a weighted Jaccard
-    similarity of 5-word shingles (repeats counted, weighted by letters) of ``similarity`` or
-    more.  The second way finds every such window, whatever its distance.  Returns ``doc_id,
-    item_id, start_word, n_words, distance, similarity``: for each input row and item the best
-    window (the first one among ties).
+    A window starts at every word (white-space words, A-Z as a-z) and is as long as the item,
+    or what is left of the text.  It is a candidate if its SimHash is within ``radius`` bits of
+    the item's, or if it holds one of the item's prefix shingles; then it must have a weighted
+    Jaccard similarity of 5-word shingles (repeats counted, weighted by letters) of
+    ``similarity`` or more.  The second way finds every such window, whatever its distance.
+    Returns ``doc_id, item_id, start_word, n_words, distance, similarity``: for each input row
+    and item the best window (the first one among ties).
 
     Null and empty texts, and items without a word, match nothing; an item or window of
-    fewer than five words is one shingle.  Repeated documents or items give a row each; null
-    ids stay null; further columns of any name are ignored; empty tables give no rows.  The
-    benchmark is a query set: it is taken in passes of at most ``items_per_pass`` items, so
-    what a task holds does not grow with it.
+    fewer than five words is one shingle.  A very long text is hashed in parts and
+    fingerprinted where it holds enough benchmark shingles, a bounded stretch at a time.
+    Repeated documents or items give a row each; null ids stay null; further columns of any
+    name are ignored; empty tables give no rows.  The benchmark is a query set: its distinct
+    texts are taken in passes of about ``items_per_pass``, so what the driver and a task hold
+    does not grow with it.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    passes = max(1, -(-items.count() // items_per_pass))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = None
-    for k in range(passes):
-        chunk = Benchmark([(r[0], r[1]) for r in items.where(part == k).orderBy("item_id", "text").collect()], radius, similarity)
-        rows = _pass(source, spark.sparkContext.broadcast(chunk), similarity)
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    found, before = None, None
+    for part in _passes(items, radius, similarity, items_per_pass):
+        if before is not None:  # more than one pass: each is done before the next part of the benchmark is read
+            found = _add(found, durable(before[0], "contamination"))
+            before[1].destroy()
+        part_ = docs.sparkSession.sparkContext.broadcast(part)
+        before = _pass(source, part_), part_
+    found = _add(found, before[0])
+    keyed = items.select("item_id", F.xxhash64("text").alias("key"))
+    return found.join(keyed, "key").select("doc_id", "item_id", "start_word", "n_words", "distance", "similarity")
 
 
-def _pass(source: DataFrame, benchmark_, similarity: float) -> DataFrame:
+def _add(found: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if found is None else found.unionByName(more)
+
+
+def _pass(source: DataFrame, benchmark_) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benchmark = benchmark_.value
         for batch in batches:
             rows = []
             for block in blocks(batch.column(1)):
-                best: dict[tuple[int, int, int], tuple] = {}
-                found = words(block, NOT_BLANK)
-                if not len(found.starts):
-                    continue
-                hashes, sizes = hash_spans(block, found.starts, found.ends), found.ends - found.starts
-                longest = max(benchmark.lengths, default=0)
-                kind = np.int8 if longest <= 127 else np.int16 if longest <= 32767 else np.int32
-                running = np.zeros((len(hashes) + 1, 64), dtype=kind)
-                np.cumsum(signs(hashes), axis=0, dtype=kind, out=running[1:])
-                def offer(text: int, length: int, slot: int, window: int, score: float, distance: int | None = None) -> None:
-                    item_id, n_words, _, own = benchmark.lengths[length][0][slot]
-                    key, start = (text, length, slot), int(window - found.first[text])
-                    if score < similarity or key in best and (-score, start) >= best[key][0]:
-                        return
-                    stop = min(window + n_words, int(found.first[text + 1]))
-                    if distance is None:
-                        seen = running[[window, min(window + length, stop)]]
-                        distance = int(np.bitwise_count(fingerprints(seen, 1)[0] ^ own))
-                    best[key] = (-score, start), stop - window, distance, item_id
-
-                for length, (items, index) in benchmark.lengths.items():
-                    if length > len(hashes):
-                        continue
-                    for window, slot, distance in index.candidates(fingerprints(running, length)):
-                        text = int(np.searchsorted(found.first, window, side="right")) - 1
-                        if window + length > found.first[text + 1]:
-                            continue
-                        stop = min(window + items[slot][1], int(found.first[text + 1]))
-                        offer(text, length, slot, window, items[slot][2].similarity(hashes[window:stop], sizes[window:stop]), distance)
-                for k, prefixes in benchmark.prefixes.items():
-                    keys = shingles(hashes, k)
-                    hits = prefixes.hits(keys)
-                    texts = np.searchsorted(found.first, hits, side="right") - 1
-                    whole = hits + k <= found.first[texts + 1]
-                    places: dict[tuple[int, int, int], list[int]] = {}
-                    for at, text in zip(hits[whole].tolist(), texts[whole].tolist(), strict=True):
-                        for length, slot in prefixes.items[int(keys[at])]:
-                            places.setdefault((text, length, slot), []).append(at)
-                    if not places:
-                        continue
-                    weights = np.concatenate([[0], np.cumsum(np.convolve(sizes, np.ones(k, dtype=np.int64), mode="valid"))])
-                    for (text, length, slot), ends in places.items():
-                        _, n_words, shingled, _ = benchmark.lengths[length][0][slot]
-                        runs = covered(np.array(ends), n_words - k + 1, int(found.first[text]))
-                        score, window = shingled.best(keys, weights, runs, n_words, int(found.first[text + 1]))
-                        offer(text, length, slot, window, score)
-                rows += [(block.first + text, item_id, start, n, d, -s) for (text, _, _), ((s, start), n, d, item_id) in sorted(best.items())]
+                rows += [(block.first + text, item.key, *rest) for text, item, *rest in benchmark_.value.find(block)]
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.int32()), (5, pa.float64())))],
-                ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"],
+                [ids, *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds, 1))], ["doc_id", "key", "start_word", "n_words", "distance", "similarity"]
             )
 
-    return source.mapInArrow(run, "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double")
+    return source.mapInArrow(run, "doc_id long, key long, start_word long, n_words long, distance int, similarity double")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts hold no benchmark item (see ``find_contamination``); decided row by row, whatever the ids."""
+    for part in _passes(benchmark.select(F.col(item_text_col).cast("string").alias("text")), radius, similarity, ITEMS_PER_PASS):
+        part_ = docs.sparkSession.sparkContext.broadcast(part)
+
+        def clean(texts: pa.Array, part_=part_) -> np.ndarray:
+            keep = np.ones(len(texts), dtype=bool)
+            for block in blocks(texts):
+                for text, *_ in part_.value.find(block):
+                    keep[block.first + text] = False
+            return keep
+
+        docs = filter_rows(docs, text_col, clean)
+    return docs

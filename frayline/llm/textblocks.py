@@ -105,12 +105,23 @@ def words(block: Block, is_word: np.ndarray) -> Words:
 
 
 def hash_spans(block: Block, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = FOLDED_VALUE) -> np.ndarray:
-    """64-bit hashes of byte spans; by default A-Z count as a-z."""
-    size = len(block.data)
-    up, down = _power_tables(size + 1)
-    total = np.zeros(size + 1, dtype=np.uint64)
-    np.cumsum(value[block.data] * up[:size], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """64-bit hashes of byte spans in the order of their starts; by default A-Z count as a-z.
+
+    Spans are taken about ``BLOCK`` bytes at a time, so a long text needs no more room than that.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(starts, low + BLOCK)))
+        a, b = starts[at:to] - low, ends[at:to] - low
+        size = int(b.max())
+        up, down = _power_tables(size + 1)
+        total = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(value[block.data[low : low + size]] * up[:size], out=total[1:])
+        out[at:to] = mix((total[b] - total[a]) * down[a])
+        at = to
+    return out
 
 
 def hash_word(word: str) -> np.uint64:
