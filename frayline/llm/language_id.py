@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,12 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import filter_rows
 from .textblocks import Block, blocks
 
 #: Features: hashed pairs and triples of bytes of the lower-cased text, all non-letters of ASCII as one blank.
 N_FEATURES = 4096
-#: Labelled documents of each language that the machines are fitted on (an expected number: rows are picked by a hash).
+#: Labelled texts of each language that the machines are fitted on (an expected number of distinct texts, picked by a hash).
 PER_LANGUAGE = 1000
+#: Texts whose features are held at once.
+ROWS = 256
 #: Languages that are told apart after their family; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
@@ -54,6 +58,13 @@ def features(block: Block) -> np.ndarray:
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
+def text_blocks(texts: pa.Array) -> Iterator[Block]:
+    """Blocks of a bounded number of texts, since a row of features is wide whatever the text's length."""
+    for at in range(0, len(texts), ROWS):
+        for block in blocks(texts.slice(at, ROWS)):
+            yield block._replace(first=block.first + at)
+
+
 def fit_linear_svm(x: np.ndarray, positive: np.ndarray, cost: float = 10.0, passes: int = 15) -> np.ndarray:
     """Weights and bias (last) of an L2-loss support vector machine, by dual coordinate descent.
 
@@ -132,58 +143,85 @@ def has_letter(block: Block, texts: pa.Array) -> np.ndarray:
     return found
 
 
-def fit_language_model(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel | None:
-    """Fit on about ``per_language`` documents of each language among the rows where ``learn`` holds; None without any."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+def fit_language_model(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel | None:
+    """Fit on about ``per_language`` distinct texts of each language among the rows where ``learn`` holds; None without any.
+
+    The sample is picked by a hash of the text, so it has a bound whatever the ids (all may be
+    null) and however often a text is repeated.  One task fits the machines, so neither texts
+    nor features of the sample come to the driver.  Languages are few: there is a machine for
+    each pair of them within a family.
+    """
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02)).collect()}
     if not counts:
         return None
-    picked = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language sample")), F.lit(1 << 30))
-    limit = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(int(min(1.0, per_language / n) * (1 << 30)))) for k, n in counts.items()])
-    sample = rows.where(picked < limit).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    picked = F.pmod(F.xxhash64(F.col("key"), F.lit("language sample")), F.lit(1 << 30))
+    limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, per_language / max(1, n)) * (1 << 30)))) for k, n in counts.items()])
+    sample = rows.where(picked < limit)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
-            texts = pc.utf8_lower(batch.column(0))
-            for block in blocks(texts):
+            names, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            new = [i for i, k in enumerate(zip(names, keys, strict=True)) if k not in seen and not seen.add(k)]
+            batch = batch.take(pa.array(new, pa.int64()))
+            for block in text_blocks(pc.utf8_lower(batch.column(1))):
                 x = features(block).astype(np.float16)
-                lang = batch.column(1).slice(block.first, len(x))
-                yield pa.RecordBatch.from_arrays([lang, pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+                own = [c.slice(block.first, len(x)) for c in (batch.column(0), batch.column(2))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "key", "x"])
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(run, "lang string, x binary").toLocalIterator())
-    if not got:
-        return None
-    x = np.frombuffer(b"".join(r[1] for r in got), dtype=np.float16).reshape(len(got), N_FEATURES)
-    lang = np.array([r[0] for r in got], dtype=object)
-    del got
-    return LanguageModel(x, lang)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, lang = [], []
+        for batch in batches:
+            raw.append(np.frombuffer(b"".join(v.as_py() for v in batch.column(2)), dtype=np.float16).reshape(-1, N_FEATURES))
+            lang += batch.column(0).to_pylist()
+        if lang:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(LanguageModel(np.concatenate(raw), np.array(lang, dtype=object)))], pa.binary())], ["model"])
+
+    one_of_each = sample.mapInArrow(features_of, "lang string, key long, x binary").dropDuplicates(["lang", "key"])
+    got = one_of_each.repartition(1).sortWithinPartitions("lang", "key").mapInArrow(fit, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else None
+
+
+def _predicted(model: LanguageModel | None, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, languages and scores of each block of texts."""
+    texts = pc.utf8_lower(texts)
+    for block in text_blocks(texts):
+        n = len(block.offsets) - 1
+        lang, score = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
+        known = has_letter(block, texts)
+        if model is not None and known.any():
+            found, sure = model.predict(features(block))
+            lang[known], score[known] = found[known], sure[known]
+        yield block.first, lang, np.clip(score, 0, 1)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Predict the language of every whole text: ``doc_id, lang_pred, score``, one row for each input row.
 
     ``lang_pred`` is ``und`` with score 0 for a null text and for one without a letter (so
-    also for an empty one), and for every text if there was nothing to learn from.  A text
-    as long as memory allows is one row of features.  Equal texts get equal predictions;
-    null ids, repeated rows and other columns of any name are allowed.
+    also for an empty one), and for every text if there was nothing to learn from.  A very
+    long text is one row of features; it is counted whole and by itself, at about twenty
+    times its bytes.  Equal texts get equal predictions; null ids, repeated rows and other
+    columns of any name are allowed; an empty table gives no rows.
     """
     model_ = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_.value
         for batch in batches:
-            texts = pc.utf8_lower(batch.column(1))
-            for block in blocks(texts):
-                n = len(block.offsets) - 1
-                lang, score = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
-                known = has_letter(block, texts)
-                if model is not None and known.any():
-                    found, sure = model.predict(features(block))
-                    lang[known], score[known] = found[known], sure[known]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, n), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))],
-                    ["doc_id", "lang_pred", "score"],
-                )
+            for first, lang, score in _predicted(model_.value, batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(lang)), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def drop_unknown(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language can be told; decided row by row, whatever the ids."""
+    model_ = docs.sparkSession.sparkContext.broadcast(model)
+
+    def known(texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.empty(0, bool), *(lang != UNKNOWN for _, lang, _ in _predicted(model_.value, texts))])
+
+    return filter_rows(docs, text_col, known)
