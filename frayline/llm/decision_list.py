@@ -12,9 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable
-
-#: Labelled documents that the list is learnt from (an expected number: rows are picked by a hash of the id).
+#: Labelled documents that the list is learnt from (an expected number of ids, picked by a hash; one row of each).
 LABELLED_ROWS = 20_000
 #: Thresholds tried for each statistic; conditions in a rule; rules in the list.
 THRESHOLDS, MAX_CONDITIONS, MAX_RULES = 64, 4, 12
@@ -24,6 +22,7 @@ LEAST_PRECISION, LEAST_COVERED = 0.9, 3
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
+
 def feature_columns() -> dict[str, Column]:
     """The numbers that conditions are about."""
     words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
@@ -39,53 +38,45 @@ def feature_columns() -> dict[str, Column]:
     }
 
 
-def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts over every whole text (null: as empty), one row for each input row.
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "n_lines")
+
+
+def base_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Counts over every whole text (null: as empty) beside the columns ``keep``, one row for each input row.
 
     Words are runs of non-blank characters.  ``n_repeat_words``: words inside 3-word windows
-    that the text has twice or more.  Windows are compared by a hash of at least 40 bits,
-    packed with their place (as many bits as the text needs) into one number, so that sorting
-    the numbers brings equal windows together.
+    that the text has twice or more.  Windows are compared by a 64-bit hash, sorted with their
+    places, so that equal ones come together.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    row = F.struct(*keep).alias("row")
+    rows = docs.select(row, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     trimmed = F.btrim("text", F.lit(BLANKS))
     rows = rows.select(
-        "doc_id",
+        "row",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK)).alias("w"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         F.regexp_count("text", F.lit("[!?]")).cast("long").alias("n_marks"),
         F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "").alias("lines"),
     )
-    n = F.size("w")
     rows = rows.select(
-        "doc_id", "n_symbols", "n_capitals", "n_marks",
-        n.cast("long").alias("n_words"),
+        "row", "n_symbols", "n_capitals", "n_marks",
+        F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("cast(greatest(8, ceil(log2(size(w) + 1))) as int)").alias("bits"),
-        "w",
-    )
-    rows = rows.withColumn(
-        "packed",
         F.expr(
-            "case when n_words < 3 then cast(array() as array<bigint>) else sort_array(transform(sequence(0, cast(n_words as int) - 3), "
-            "i -> shiftleft(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), bits) + i)) end"
-        ),
-    ).drop("w")
+            "case when size(w) < 3 then cast(array() as array<struct<h: bigint, i: int>>) else sort_array(transform(sequence(0, size(w) - 3), "
+            "i -> struct(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)) as h, i))) end"
+        ).alias("windows"),
+    )
     rows = rows.withColumn(
-        "twice",
-        F.expr(
-            "sort_array(transform(filter(packed, (x, i) -> shiftright(x, bits) = shiftright(get(packed, i + 1), bits) "
-            "or shiftright(x, bits) = shiftright(get(packed, i - 1), bits)), x -> x & (shiftleft(1L, bits) - 1)))"
-        ),
-    ).drop("packed", "bits")
+        "twice", F.expr("sort_array(transform(filter(windows, (x, k) -> x.h = get(windows, k + 1).h or x.h = get(windows, k - 1).h), x -> x.i))")
+    ).drop("windows")
     covered = F.expr(
-        "aggregate(twice, named_struct('total', 0L, 'before', -3L), (a, x) -> named_struct('total', a.total + least(3L, x - a.before), 'before', x), a -> a.total)"
+        "aggregate(twice, named_struct('total', 0L, 'before', -3), (a, x) -> named_struct('total', a.total + least(3, x - a.before), 'before', x), a -> a.total)"
     )
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_capitals", "n_marks", "n_lines")
+    return rows.withColumn("n_repeat_words", covered).select("row.*", *STATISTICS)
 
 
 def base_failed() -> Column:
@@ -170,8 +161,14 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, growing: np.ndarray)
     return rules
 
 
-def fit_decision_list(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = LABELLED_ROWS) -> list[Rule]:
-    """Learn the list for label 0 from about ``rows`` labelled documents, of these the ones that the base rule keeps; no labels: no rules."""
+def fit_decision_list(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = LABELLED_ROWS
+) -> list[Rule]:
+    """Learn the list for label 0 from about ``rows`` labelled documents, of these the ones that the base rule keeps; no labels: no rules.
+
+    Only the documents of the sample are counted for it.  Of a repeated id one row is learnt
+    from, so what comes to the driver has the bound of the sample.
+    """
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     total = ids.count()
     if not total:
@@ -179,11 +176,14 @@ def fit_decision_list(statistics: DataFrame, labels: DataFrame, id_col: str = "d
     spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("rules")), F.lit(1 << 30))
     ids = ids.where(spot < int(min(1.0, rows / total) * (1 << 30))).groupBy("doc_id").agg((F.avg("label") > 0.5).alias("good"))
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("grow or prune")), F.lit(3))
-    got = statistics.where(~base_failed()).join(ids, "doc_id").select("doc_id", "good", part.alias("part"), *[c.alias(k) for k, c in feature_columns().items()]).orderBy("doc_id", "words").collect()
-    if not got:
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sample = base_statistics(source.join(F.broadcast(ids), "doc_id"), keep=("doc_id", "good")).where(~base_failed())  # about ``rows`` ids
+    numbers = F.struct(*[c.alias(k) for k, c in feature_columns().items()])
+    got = sample.groupBy("doc_id", "good").agg(F.max(numbers).alias("x")).select("doc_id", "good", part.alias("part"), "x.*").orderBy("doc_id").toArrow()
+    if not got.num_rows:
         return []
-    x = {k: np.array([r[k] for r in got], dtype=float) for k in feature_columns()}
-    return learn_rules(x, np.array([not r["good"] for r in got]), np.array([r["part"] > 0 for r in got]))
+    x = {k: got[k].to_numpy().astype(float) for k in feature_columns()}
+    return learn_rules(x, ~got["good"].to_numpy(), got["part"].to_numpy() > 0)
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -202,11 +202,20 @@ def apply_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
     ``base_failed``: fewer than 50 words, or more than half of them in repeated windows.
     ``rule``: number of the first learnt rule that holds (null: none).  ``kept``: neither.
-    Null and empty texts count as texts without words and fail; without labels no rule is
+    Null and empty texts count as texts without words and fail; a very long text is counted
+    whole, in one row, with some hundred bytes for each word of it; without labels no rule is
     learnt; several labels of one id count as their majority, ties as 0.  Null ids, repeated
     rows and further columns of any name are allowed; an empty table gives no rows.
     """
-    stats = durable(base_statistics(docs, id_col, text_col), "rule-statistics")
-    rules = fit_decision_list(stats, labels, id_col, label_col)
-    out = stats.withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
+    rules = fit_decision_list(docs, labels, id_col, text_col, label_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = base_statistics(source).withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def keep_by_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that neither the base rule nor a learnt one rejects; decided row by row, whatever the ids."""
+    rules = fit_decision_list(docs, labels, id_col, text_col, label_col)
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col(text_col).cast("string").alias("text"))
+    rows = base_statistics(whole, keep=("whole",))
+    return rows.where(~base_failed() & verdict(rules).isNull()).select("whole.*")
