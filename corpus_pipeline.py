@@ -1,7 +1,10 @@
 """The corpus pipeline: stages of the training-data operators, each written as Parquet and read again by the next.
 
-Filtering stages drop the ids of rejected rows, so rows without an id stay, and repeated
-rows of one id go or stay together.
+Every stage decides by row: a row without an id is judged by its text like any other, and of
+the rows of one id each goes or stays by its own text.  Null, empty and blank texts have no
+language and go in the first stage; very long texts are judged whole; equal rows get equal
+verdicts, and of rows that are copies of each other one stays; an empty table gives an empty
+table.  All stages but the last return the columns that they were given, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,38 +20,26 @@ from frayline.llm.durable import shared_folder, workers_find_package
 from frayline.llm.queries import id_remainder, table
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told: no text or no letter in it."""
     workers_find_package(spark)
-    model = language_id.fit_language_model(docs, id_remainder(4) != 2)
-    found = language_id.identify_languages(docs, model)
-    return _without(docs, found.where(F.col("lang_pred") == language_id.UNKNOWN))
+    return language_id.drop_unknown(docs, language_id.fit_language_model(docs, id_remainder(4) != 2))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rule or a learnt rule rejects."""
-    return _without(docs, decision_list.apply_quality_rules(docs, table(spark, sf_dir, "labels")).where("not kept"))
+    return decision_list.keep_by_rules(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component, once if its row is repeated."""
+    """Keeps of each component the document of the smallest id, once if its row is repeated."""
     workers_find_package(spark)
-    placed = jaccard_join.jaccard_components(docs)
-    kept = _without(docs, placed.where("doc_id <> component_id"))
-    repeated = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    nameless = kept.where("doc_id is null").dropDuplicates(["text"])
-    once = _without(kept.where("doc_id is not null"), repeated)
-    return once.unionByName(again.dropDuplicates(["doc_id"])).unionByName(nameless)
+    return jaccard_join.one_of_each(docs)
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return _without(docs, decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
