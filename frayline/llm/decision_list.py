@@ -83,6 +83,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
+def rows_where(statistics: DataFrame, condition: Column) -> DataFrame:
+    """A filter that is applied to the finished statistics: Spark would else take it apart and count again inside it."""
+    return statistics.withColumn("task", F.spark_partition_id()).where(condition & (F.col("task") >= 0)).drop("task")
+
+
 class Condition(NamedTuple):
     feature: str
     above: bool
@@ -177,7 +182,7 @@ def fit_decision_list(
     ids = ids.where(spot < int(min(1.0, rows / total) * (1 << 30))).groupBy("doc_id").agg((F.avg("label") > 0.5).alias("good"))
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("grow or prune")), F.lit(3))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = base_statistics(source.join(F.broadcast(ids), "doc_id"), keep=("doc_id", "good")).where(~base_failed())  # about ``rows`` ids
+    sample = rows_where(base_statistics(source.join(F.broadcast(ids), "doc_id"), keep=("doc_id", "good")), ~base_failed())  # about ``rows`` ids
     numbers = F.struct(*[c.alias(k) for k, c in feature_columns().items()])
     got = sample.groupBy("doc_id", "good").agg(F.max(numbers).alias("x")).select("doc_id", "good", part.alias("part"), "x.*").orderBy("doc_id").toArrow()
     if not got.num_rows:
@@ -218,4 +223,4 @@ def keep_by_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rules = fit_decision_list(docs, labels, id_col, text_col, label_col)
     whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col(text_col).cast("string").alias("text"))
     rows = base_statistics(whole, keep=("whole",))
-    return rows.where(~base_failed() & verdict(rules).isNull()).select("whole.*")
+    return rows_where(rows, ~base_failed() & verdict(rules).isNull()).select("whole.*")
