@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ VOCABULARY = tuple(a + b for a in ("ba", "ke", "li", "mo", "nu", "ra", "si", "to
 
 
 def words_of(text: Column) -> Column:
-    """Non-empty words between ASCII blanks."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r]+"), lambda w: w != "")
+    """Non-empty words between blanks, those beyond ASCII included."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
 
 
 def affected(n: Column, fraction: Column) -> Column:
@@ -32,32 +34,38 @@ def chosen_positions(key: Column, salt: str, n: Column, k: Column) -> Column:
     return F.slice(_ranked(key, salt, n), 1, F.greatest(k, F.lit(0)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: inside another function's lambda it would be again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mask_words(words: Column, key: Column, k: Column) -> Column:
     """Delete k words."""
-    gone = chosen_positions(key, "mask", F.size(words), k)
-    return F.filter(words, lambda w, i: ~F.array_contains(gone, i))
+    return let(chosen_positions(key, "mask", F.size(words), k), lambda gone: F.filter(words, lambda w, i: ~F.array_contains(gone, i)))
 
 
 def shuffle_words(words: Column, key: Column, k: Column) -> Column:
     """Permute the words of k positions, two at least; fewer than two words stay."""
-    k = F.greatest(k, F.lit(2))
-    spots = F.array_sort(chosen_positions(key, "shuffle", F.size(words), k))
-    order = F.transform(spots, lambda p: F.struct(F.md5(F.concat_ws("|", F.lit("permute"), key, p.cast("string"))).alias("h"), p.alias("i")))
-    sources = F.transform(F.array_sort(order), lambda s: s["i"])
-    moved = F.transform(words, lambda w, i: F.when(F.array_contains(spots, i), F.get(words, F.get(sources, F.array_position(spots, i).cast("int") - 1))).otherwise(w))
+
+    def permuted(spots: Column) -> Column:
+        order = F.transform(spots, lambda p: F.struct(F.md5(F.concat_ws("|", F.lit("permute"), key, p.cast("string"))).alias("h"), p.alias("i")))
+        sources = F.transform(F.array_sort(order), lambda s: s["i"])
+        return let(sources, lambda s: F.transform(words, lambda w, i: F.when(F.array_contains(spots, i), F.get(words, F.get(s, F.array_position(spots, i).cast("int") - 1))).otherwise(w)))
+
+    moved = let(F.array_sort(chosen_positions(key, "shuffle", F.size(words), F.greatest(k, F.lit(2)))), permuted)
     return F.when(F.size(words) < 2, words).otherwise(moved)
 
 
 def replace_words(words: Column, key: Column, k: Column) -> Column:
     """Put vocabulary words at k positions."""
-    spots = chosen_positions(key, "replace", F.size(words), k)
     vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])
 
     def pick(i: Column) -> Column:
         number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("word"), key, i.cast("string"))), 1, 8), 16, 10).cast("long")
         return F.get(vocabulary, (number % len(VOCABULARY)).cast("int"))
 
-    return F.transform(words, lambda w, i: F.when(F.array_contains(spots, i), pick(i)).otherwise(w))
+    spots = chosen_positions(key, "replace", F.size(words), k)
+    return let(spots, lambda own: F.transform(words, lambda w, i: F.when(F.array_contains(own, i), pick(i)).otherwise(w)))
 
 
 def corrupt_text(kind: str, words: Column, key: Column, level: Column | int) -> Column:

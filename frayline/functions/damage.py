@@ -10,22 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .corrupt import let
+
 PSNR_CAP = 60.0
 
 
 def token_edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two word arrays, unit costs: one row of the table is carried over the words of ``a``."""
-    first = F.sequence(F.lit(0), F.size(b))
-
-    def row(previous: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            step = F.least(F.get(previous, j) + 1, F.element_at(acc, -1) + 1, F.get(previous, j - 1) + F.when(F.get(b, j - 1) == x, 0).otherwise(1))
-            return F.array_append(acc, step)
+    """Levenshtein distance of two word arrays, unit costs.
 
-        spots = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(spots, F.array(F.get(previous, F.lit(0)) + 1), cell)
+    Each distinct word of the two becomes a character of its own (there are a million beyond
+    the basic plane), so that the engine's string distance counts words.
+    """
+    def coded(words: Column, known: Column) -> Column:
+        code = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0"))
+        return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
-    return F.element_at(F.aggregate(a, first, row), -1)
+    return let(F.array_union(a, b), lambda known: F.levenshtein(coded(a, known), coded(b, known)))
 
 
 def normalised_edit_distance(a: Column, b: Column) -> Column:
@@ -39,25 +39,28 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(spots, lambda i: F.array_join(F.slice(words, i, n), "\x01"))
 
 
+def numbered(grams: Column) -> Column:
+    """The n-grams in order, each with the number of its copy, so that counts can be compared as sets."""
+    number = lambda ranked: F.transform(ranked, lambda g, i: F.concat(g, F.lit("\x02"), (i - F.array_position(ranked, g)).cast("string")))
+    return let(F.array_sort(grams), number)
+
+
 def clipped_matches(hypothesis: Column, reference: Column, n: int) -> Column:
     """For each distinct n-gram the smaller of its counts, summed."""
-    h, r = ngrams(hypothesis, n), ngrams(reference, n)
-    return F.aggregate(
-        F.array_distinct(h), F.lit(0), lambda total, g: total + F.least(F.size(F.filter(h, lambda x: x == g)), F.size(F.filter(r, lambda x: x == g)))
-    )
+    return F.size(F.array_intersect(numbered(ngrams(hypothesis, n)), numbered(ngrams(reference, n))))
 
 
 def bleu4(hypothesis: Column, reference: Column) -> Column:
     """Sentence BLEU of up to 4-grams; zero counts are smoothed to 0.1, no shared word gives 0, two empty texts 1."""
     hyp, ref = F.size(hypothesis), F.size(reference)
-    logs = F.lit(0.0)
-    unigrams = clipped_matches(hypothesis, reference, 1)
-    for n in range(1, 5):
-        matches = unigrams if n == 1 else clipped_matches(hypothesis, reference, n)
-        share = F.when(matches == 0, F.lit(0.1)).otherwise(matches.cast("double")) / F.greatest(F.lit(1), hyp - n + 1)
-        logs = logs + F.log(share) / 4
     penalty = F.when(hyp > ref, F.lit(1.0)).otherwise(F.exp(1 - ref / F.greatest(hyp, F.lit(1))))
-    return F.when((hyp == 0) & (ref == 0), F.lit(1.0)).when((hyp == 0) | (unigrams == 0), F.lit(0.0)).otherwise(penalty * F.exp(logs))
+
+    def score(matches: Column) -> Column:
+        share = F.transform(matches, lambda m, i: F.log(F.when(m == 0, F.lit(0.1)).otherwise(m.cast("double")) / F.greatest(F.lit(1), hyp - i)))
+        mean = F.aggregate(share, F.lit(0.0), lambda s, x: s + x) / 4
+        return F.when((hyp == 0) & (ref == 0), F.lit(1.0)).when((hyp == 0) | (F.get(matches, F.lit(0)) == 0), F.lit(0.0)).otherwise(penalty * F.exp(mean))
+
+    return let(F.array(*[clipped_matches(hypothesis, reference, n) for n in range(1, 5)]), score)
 
 
 def psnr(mse: Column) -> Column:
@@ -93,45 +96,76 @@ def cutout(pixels: Column, key: Column, side: int, fraction: Column) -> Column:
     return F.transform(pixels, lambda p, i: F.when((x(i) >= left) & (x(i) < left + w) & (y(i) >= top) & (y(i) < top + h), F.lit(0.0)).otherwise(p))
 
 
-def _windows(image: np.ndarray, size: int = 7) -> np.ndarray:
-    total = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    total[1:, 1:] = image.cumsum(0).cumsum(1)
-    return (total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]) / (size * size)
+def _windows(images: np.ndarray, size: int = 7) -> np.ndarray:
+    """Means over all windows of each image of a stack (images, rows, columns)."""
+    total = np.zeros((images.shape[0], images.shape[1] + 1, images.shape[2] + 1))
+    total[:, 1:, 1:] = images.cumsum(1).cumsum(2)
+    return (total[:, size:, size:] - total[:, :-size, size:] - total[:, size:, :-size] + total[:, :-size, :-size]) / (size * size)
 
 
-def ssim_of(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean structural similarity over 7 x 7 windows with sample covariance; one channel, values 0..255."""
-    if a.shape != b.shape or min(a.shape) < 7:
+def ssim_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean structural similarity of each pair of a stack, over 7 x 7 windows with sample covariance; values 0..255.
+
+    Stacks are (images, rows, columns) or, with channels, (images, rows, columns, channels): then the mean over channels.
+    """
+    if a.shape != b.shape or min(a.shape[1:3]) < 7:
         raise ValueError("two images of one shape, at least 7 pixels a side, are needed")
+    if a.ndim == 4:
+        return np.mean([ssim_of(a[..., c], b[..., c]) for c in range(a.shape[3])], axis=0)
     unbiased = 49 / 48
     ma, mb = _windows(a), _windows(b)
     va, vb, vab = (unbiased * (_windows(x * y) - mx * my) for x, y, mx, my in ((a, a, ma, ma), (b, b, mb, mb), (a, b, ma, mb)))
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    return float((((2 * ma * mb + c1) * (2 * vab + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+    return (((2 * ma * mb + c1) * (2 * vab + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean(axis=(1, 2))
 
 
-def blur_of(image: np.ndarray, radius: float) -> np.ndarray:
-    """Separable Gaussian blur, edges repeated, rounded to whole values."""
+def blur_of(images: np.ndarray, radius: float) -> np.ndarray:
+    """Separable Gaussian blur of a stack, edges repeated, rounded to whole values."""
     reach = max(1, int(np.ceil(3 * radius)))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / radius) ** 2)
     kernel /= kernel.sum()
-    out = image
-    for axis in (0, 1):
-        padded = np.pad(out, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
-        out = np.apply_along_axis(lambda v: np.convolve(v, kernel, mode="valid"), axis, padded)
+    out = images
+    for axis in (1, 2):
+        padded = np.pad(out, [(reach, reach) if k == axis else (0, 0) for k in range(out.ndim)], mode="edge")
+        n = out.shape[axis]
+        out = sum(w * np.take(padded, range(i, i + n), axis) for i, w in enumerate(kernel))
     return np.rint(out)
 
 
-@F.pandas_udf(T.DoubleType())
-def ssim(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """SSIM of two square one-channel images given as arrays."""
-    for a, b in pairs:
-        side = [int(len(x) ** 0.5) for x in a]
-        yield pd.Series([ssim_of(np.asarray(x, float).reshape(s, s), np.asarray(y, float).reshape(s, s)) for x, y, s in zip(a, b, side, strict=True)], dtype=float)
+def _stacks(*columns: pd.Series, channels: int = 1) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rows whose square images have one size, and their images as stacks."""
+    sizes = columns[0].map(len).to_numpy()
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        side = int(round((size / channels) ** 0.5))
+        shape = (len(rows), side, side) if channels == 1 else (len(rows), side, side, channels)
+        yield rows, [np.array(c.iloc[rows].tolist(), dtype=float).reshape(shape) for c in columns]
+
+
+def _ssim(channels: int):
+    @F.pandas_udf(T.DoubleType())
+    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in pairs:
+            out = np.empty(len(a))
+            for rows, (x, y) in _stacks(a, b, channels=channels):
+                out[rows] = ssim_of(x, y)
+            yield pd.Series(out)
+
+    return run
+
+
+#: SSIM of two square images given as arrays: of one channel, and of interleaved red, green and blue.
+ssim, ssim_rgb = _ssim(1), _ssim(3)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def gaussian_blur(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Blurred square one-channel images; the second column is the radius."""
     for images, radii in pairs:
-        yield pd.Series([blur_of(np.asarray(x, float).reshape(int(len(x) ** 0.5), -1), float(r)).ravel() for x, r in zip(images, radii, strict=True)])
+        out = np.empty(len(images), dtype=object)
+        for radius in radii.unique():
+            own = np.flatnonzero((radii == radius).to_numpy())
+            for rows, (x,) in _stacks(images.iloc[own]):
+                for row, image in zip(own[rows], blur_of(x, float(radius)), strict=True):
+                    out[row] = image.ravel()
+        yield pd.Series(out)

@@ -7,14 +7,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CUTS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
+#: Stretches that the values of a group are cut into when they are ranked.
+STRETCHES = 256
 
 
-def quintile_edges(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Linear-interpolated quantiles of each group, one small row a group: joined back, never windowed.
+def counted(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Counts of the distinct values of each group in order: ``_n``, ``_before`` (rows of smaller values) and ``_all``.
 
-    ``percentile`` keeps counts of distinct values, which partial aggregation combines before the shuffle.
+    A group is cut into stretches of equal width between its least and largest value; ranks
+    are summed inside a stretch and over stretches, so a large group is many tasks' work.
     """
-    return df.groupBy(*group).agg(F.percentile(value, F.array(*[F.lit(c) for c in CUTS])).alias("edges"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    ends = counts.groupBy(*group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    width = F.col("_high") - F.col("_low")
+    stretch = F.when(width > 0, F.floor((F.col(value) - F.col("_low")) / width * STRETCHES)).otherwise(0).cast("int").alias("_stretch")
+    placed = _joined(counts, ends, group).select(*group, value, "_n", stretch)
+    sums = placed.groupBy(*group, "_stretch").agg(F.sum("_n").alias("_m"))
+    whole = Window.partitionBy(*group)
+    up_to = whole.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumns({"_start": F.sum("_m").over(up_to) - F.col("_m"), "_all": F.sum("_m").over(whole)}).drop("_m")
+    inside = Window.partitionBy(*group, "_stretch").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(sums, [*group, "_stretch"]).withColumn("_before", F.col("_start") + F.sum("_n").over(inside) - F.col("_n"))
+    return ranked.select(*group, value, "_n", "_before", "_all")
+
+
+def _joined(df: DataFrame, few: DataFrame, group: list[str]) -> DataFrame:
+    """With one small row of each group, or the one row if there are no groups."""
+    return df.join(few, group) if group else df.crossJoin(few)
+
+
+def quintile_edges(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Linear-interpolated quantiles of each group, one small row a group: joined back, never windowed."""
+    rows = counted(df, group, value)
+    edges = []
+    for cut in CUTS:
+        place = F.lit(cut) * (F.col("_all") - 1)
+        at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col(value)))
+        edges += [at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))]
+    got = rows.groupBy(*group).agg(*[e.alias(f"_e{i}") for i, e in enumerate(edges)])
+    spots = [(f"_e{3 * i}", f"_e{3 * i + 1}", f"_e{3 * i + 2}") for i in range(len(CUTS))]
+    return got.select(*group, F.array(*[F.col(a) + (F.col(b) - F.col(a)) * F.col(w) for a, b, w in spots]).alias("edges"))
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -26,8 +58,7 @@ def bin_of(value: Column, edges: Column) -> Column:
 def assign_quintile(df: DataFrame, group: list[str], value: str, name: str = "quintile") -> DataFrame:
     """Add the bin number ``name``; rows stay aligned with their values."""
     edges = quintile_edges(df, group, value)
-    joined = df.join(edges, group) if group else df.crossJoin(edges)  # one row of edges
-    return joined.withColumn(name, bin_of(F.col(value), F.col("edges"))).drop("edges")
+    return _joined(df, edges, group).withColumn(name, bin_of(F.col(value), F.col("edges"))).drop("edges")
 
 
 def percentile_rank(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
@@ -35,9 +66,11 @@ def percentile_rank(df: DataFrame, group: list[str], value: str, name: str) -> D
 
     Ranks come from counts of distinct values, so that what is sorted shrinks with ties.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    up_to = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_before", F.sum("_n").over(up_to) - F.col("_n"))
-    ranked = ranked.withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
-    ranked = ranked.withColumn(name, (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_all")).select(*group, value, name)
-    return df.join(ranked, [*group, value], "left")
+    share = (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_all")
+    return df.join(counted(df, group, value).select(*group, value, share.alias(name)), [*group, value], "left")
+
+
+def require_distinct_edges(edges: DataFrame) -> None:
+    """Raise if a group's edges coincide, for uses in which ties must not merge bins."""
+    if edges.where(F.size(F.array_distinct("edges")) < len(CUTS)).limit(1).count():
+        raise ValueError("bin edges must be unique")

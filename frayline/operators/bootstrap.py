@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.views import balanced
+
 
 def _pick(n: Column, *parts: Column | str) -> Column:
     h = F.md5(F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
@@ -24,7 +26,7 @@ def hierarchical_draws(values: DataFrame, group: list[str], n_boot: int) -> Data
     by_seed = Window.partitionBy(*group, "seed").orderBy("pair_id", "value")
     rows = values.withColumns({"i": F.row_number().over(by_seed).cast("long") - 1, "n": F.count("*").over(Window.partitionBy(*group, "seed"))})
     seeds = rows.select(*group, "seed", "n").distinct()
-    seeds = seeds.withColumns({"s": F.row_number().over(Window.partitionBy(*group).orderBy("seed")).cast("long") - 1, "k": F.count("*").over(Window.partitionBy(*group)) if group else F.lit(0)})
+    seeds = seeds.withColumns({"s": F.row_number().over(Window.partitionBy(*group).orderBy("seed")).cast("long") - 1, "k": F.count("*").over(Window.partitionBy(*group))})
     slots = seeds.select(*group, F.col("s").alias("slot"), "k").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     slots = slots.withColumn("s", _pick(F.col("k"), "boot", "slot"))
     drawn = slots.join(seeds.select(*group, "s", "seed", "n"), [*group, "s"])
@@ -41,11 +43,12 @@ def _means(counts: pd.DataFrame, n_boot: int, rng: np.random.Generator) -> np.nd
     total = np.zeros(n_boot)
     for k, (v, n) in enumerate(seeds):
         times = (picks == k).sum(axis=1)
-        for at in range(0, n_boot, 512):
-            part = times[at : at + 512]
+        step = max(1, (1 << 22) // len(v))
+        for at in range(0, n_boot, step):
+            part = times[at : at + step]
             draws = rng.multinomial(n.sum(), n / n.sum(), size=int(part.sum())) @ v / n.sum()
             owner = np.repeat(np.arange(len(part)), part)
-            total[at : at + 512] += np.bincount(owner, weights=draws, minlength=len(part))
+            total[at : at + step] += np.bincount(owner, weights=draws, minlength=len(part))
     return total / len(seeds)
 
 
@@ -92,3 +95,42 @@ def unpaired_difference(values: DataFrame, group: list[str], n_boot: int = 10_00
 def percentile_interval(draws: DataFrame, group: list[str], ci: float = 0.95) -> DataFrame:
     edges = F.percentile("mean", F.array(F.lit((1 - ci) / 2), F.lit((1 + ci) / 2)))
     return draws.groupBy(*group).agg(edges.alias("e")).select(*group, F.get("e", F.lit(0)).alias("lo"), F.get("e", F.lit(1)).alias("hi"))
+
+
+def paired_difference(a: DataFrame, b: DataFrame, group: list[str], n_boot: int, ci: float = 0.95) -> DataFrame:
+    """``diff, lo, hi`` of two arms that share seeds and pairs: each draw takes the same ones on both sides.
+
+    Arms are ``group``, ``seed, pair_id, value``; raises if their keys differ.
+    """
+    both = balanced(a, b, [*group, "seed", "pair_id"]).withColumn("value", F.col("value_a") - F.col("value_b"))
+    found = percentile_interval(hierarchical_draws(both.select(*group, "seed", "pair_id", "value"), group, n_boot), group, ci)
+    point = both.groupBy(*group).agg(F.avg("value").alias("diff"))
+    return point.join(found, group) if group else point.crossJoin(found)  # one row each
+
+
+def flat_draws(rows: DataFrame, group: list[str], order: list[str], n_boot: int, salt: str) -> DataFrame:
+    """``boot, mean`` of each group (more than one row): rows drawn with replacement at one level, by hashes of ``salt``, draw and place."""
+    from pyspark.sql.window import Window
+
+    own = rows.withColumns({"i": F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long") - 1, "n": F.count("*").over(Window.partitionBy(*group))})
+    cells = rows.groupBy(*group).agg(F.count("*").alias("n"))
+    slots = cells.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    slots = slots.withColumn("i", _pick(F.col("n"), salt, "boot", "j"))
+    return slots.join(own.select(*group, "i", "value"), [*group, "i"]).groupBy(*group, "boot").agg(F.avg("value").alias("mean"), F.first("n").alias("n"))
+
+
+def flat_interval(rows: DataFrame, group: list[str], order: list[str], n_boot: int = 1000, ci: float = 0.95) -> DataFrame:
+    """``mean, lo, hi`` of each group; a group of one row has no interval."""
+    draws = flat_draws(rows, group, order, n_boot, group[0])
+    found = percentile_interval(draws.where("n > 1"), group, ci)
+    return rows.groupBy(*group).agg(F.avg("value").alias("mean")).join(found, group, "left")
+
+
+def difference_of_draws(rows: DataFrame, draws: DataFrame, group: list[str], arm: str, one: object, two: object, ci: float = 0.95) -> DataFrame:
+    """``diff, lo, hi`` and ``significant`` (``lo > 0``) of two independently resampled arms in each group; fewer than two rows: no interval."""
+    of = lambda which, c: F.max(F.when(F.col(arm) == which, F.col(c)))
+    wide = draws.groupBy(*group, "boot").agg(of(one, "mean").alias("a"), of(two, "mean").alias("b"), of(one, "n").alias("na"), of(two, "n").alias("nb")).where("na > 1 and nb > 1")
+    found = percentile_interval(wide.withColumn("mean", F.col("a") - F.col("b")), group, ci)
+    mean = lambda which: F.avg(F.when(F.col(arm) == which, F.col("value")))
+    point = rows.groupBy(*group).agg((mean(one) - mean(two)).alias("diff"), F.count_if(F.col(arm) == one).alias("n_a"), F.count_if(F.col(arm) == two).alias("n_b")).where("n_a > 0 and n_b > 0")
+    return point.join(found, group, "left").withColumn("significant", F.coalesce(F.col("lo") > 0, F.lit(False)))

@@ -1 +1,5 @@
-"""Part of the robustness analytics."""
+"""Part of the robustness analytics: all queries, registered by their modules."""
+
+from . import queries, reports
+
+__all__ = ["queries", "reports"]

@@ -57,6 +57,12 @@ def measured(spark, sf) -> DataFrame:
     return scores(spark, sf).join(damages(spark, sf), ["pair_id", "severity"])
 
 
+def arms(spark, sf, values=("value",)) -> DataFrame:
+    """Both arms as rows (``arm``: the damage they are binned by), with the quintile within model and arm."""
+    rows = measured(spark, sf).unpivot(["model", "seed", "pair_id", "severity", *values], ["damage_image", "damage_text"], "arm", "damage")
+    return binning.assign_quintile(rows, ["model", "arm"], "damage")
+
+
 _SCORES = """scores AS (SELECT o_orderpriority AS model, CAST(o_custkey % 3 AS INT) AS seed, o_orderkey AS pair_id, CAST(1 + o_orderkey % 5 AS INT) AS severity,
   o_totalprice / 100000::DOUBLE AS value, CASE WHEN o_custkey % 2 = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS hit FROM orders)"""
 _MEASURED = f"""{_SCORES}, damages AS (SELECT l_orderkey AS pair_id, l_linenumber AS severity, max(l_discount) AS damage_image, max(l_tax) AS damage_text,
@@ -77,9 +83,9 @@ _ARMS = f"{_MEASURED}, {_binned('measured', 'damage_image', 'i')}, {_binned('mea
 @query(f"WITH {_ARMS}, a AS (SELECT model, quintile, avg(value) AS v, count(*) AS n FROM i GROUP BY 1, 2), b AS (SELECT model, quintile, avg(value) AS v, count(*) AS n FROM t GROUP BY 1, 2) "
        "SELECT model, quintile, round(a.v, 6) AS image_mean, a.n AS image_n, round(b.v, 6) AS text_mean, b.n AS text_n, round(a.v - b.v, 6) AS diff FROM a FULL JOIN b USING (model, quintile)")
 def matched_quintile_diff(spark, sf):
-    rows = measured(spark, sf)
-    arm = lambda col, p: binning.assign_quintile(rows, ["model"], col).groupBy("model", "quintile").agg(F.avg("value").alias(f"{p}_v"), F.count("*").alias(f"{p}_n"))
-    both = arm("damage_image", "image").join(arm("damage_text", "text"), ["model", "quintile"], "full")
+    is_image = F.col("arm") == "damage_image"
+    side = lambda c, x: [F.avg(F.when(c, F.col("value"))).alias(f"{x}_v"), F.nullif(F.count_if(c), F.lit(0)).alias(f"{x}_n")]
+    both = arms(spark, sf).groupBy("model", "quintile").agg(*side(is_image, "image"), *side(~is_image, "text"))
     return both.select("model", "quintile", r6("image_v", "image_mean"), "image_n", r6("text_v", "text_mean"), "text_n", r6(F.col("image_v") - F.col("text_v"), "diff"))
 
 
@@ -244,18 +250,17 @@ def tail_quintile_composition(spark, sf):
 
 @query(f"WITH {_ARMS}, a AS (SELECT model, avg(value) AS v FROM i WHERE quintile = 5 GROUP BY 1), b AS (SELECT model, avg(value) AS v FROM t WHERE quintile = 1 GROUP BY 1) SELECT model, round(a.v, 6) AS image_worst, round(b.v, 6) AS text_best, a.v > b.v AS crosses FROM a JOIN b USING (model)")
 def crossover_check(spark, sf):
-    rows = measured(spark, sf)
-    end = lambda col, q, name: binning.assign_quintile(rows, ["model"], col).where(F.col("quintile") == q).groupBy("model").agg(F.avg("value").alias(name))
-    both = end("damage_image", 5, "a").join(end("damage_text", 1, "b"), "model")
+    at = lambda arm, q: F.avg(F.when((F.col("arm") == arm) & (F.col("quintile") == q), F.col("value")))
+    both = arms(spark, sf).groupBy("model").agg(at("damage_image", 5).alias("a"), at("damage_text", 1).alias("b"))
     return both.select("model", r6("a", "image_worst"), r6("b", "text_best"), (F.col("a") > F.col("b")).alias("crosses"))
 
 
 @query(f"WITH {_ARMS}, a AS (SELECT model, quintile, avg(value) AS v FROM i GROUP BY 1, 2), b AS (SELECT model, quintile, avg(value) AS v FROM t GROUP BY 1, 2), d AS (SELECT a.v > b.v AS up FROM a JOIN b USING (model, quintile)) SELECT count(*) AS cells, count(*) FILTER (WHERE up) AS ups, coalesce(bool_and(up), true) AS every FROM d")
 def matched_quintile_headline(spark, sf):
-    rows = measured(spark, sf)
-    arm = lambda col, n: binning.assign_quintile(rows, ["model"], col).groupBy("model", "quintile").agg(F.avg("value").alias(n))
+    at = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col("value")))
+    cells = arms(spark, sf).groupBy("model", "quintile").agg(at("damage_image").alias("a"), at("damage_text").alias("b")).where("quintile is not null and a is not null and b is not null")
     up = F.col("a") > F.col("b")
-    return arm("damage_image", "a").join(arm("damage_text", "b"), ["model", "quintile"]).agg(F.count("*").alias("cells"), F.count_if(up).alias("ups"), F.coalesce(F.bool_and(up), F.lit(True)).alias("every"))
+    return cells.agg(F.count("*").alias("cells"), F.count_if(up).alias("ups"), F.coalesce(F.bool_and(up), F.lit(True)).alias("every"))
 
 
 _PAIRS = "q AS (SELECT vec_id // 2 AS id, embedding AS v FROM embeddings WHERE vec_id % 2 = 1), c AS (SELECT vec_id // 2 AS id, embedding AS v FROM embeddings WHERE vec_id % 2 = 0)"
@@ -343,11 +348,13 @@ def layers_of_depths(spark, sf):
     return rows.withColumn("layer", vectors.proportional_layer(F.col("depth"), F.lit(24)))
 
 
-_WORDS = "w AS (SELECT item_id AS id, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM benchmark), lv AS (SELECT id, w, len(w) AS n, s AS level, CAST(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, least(len(w), round_even(([0.1, 0.2, 0.4, 0.6, 0.8])[s]::DOUBLE * len(w), 0))) END AS INT) AS k FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS s))"
+#: Captions: the first 24 words of every document.
+_BLANKS = r"[\s\x{85}\x{1c}-\x{1f}\p{Z}]+"
+_WORDS = f"w AS (SELECT doc_id AS id, list_filter(string_split_regex(text, '{_BLANKS}'), lambda x: x <> '')[1:24] AS w FROM documents), lv AS (SELECT id, w, len(w) AS n, s AS level, CAST(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, least(len(w), round_even(([0.1, 0.2, 0.4, 0.6, 0.8])[s]::DOUBLE * len(w), 0))) END AS INT) AS k FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS s))"
 
 
 def _captions(spark, sf):
-    rows = read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), corrupt.words_of(F.col("text")).alias("w"))
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.slice(corrupt.words_of(F.col("text")), 1, 24).alias("w"))
     return rows.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(5))))
 
 
@@ -389,14 +396,36 @@ def text_replace(spark, sf):
     return _corrupted(spark, sf, "replace").select("id", "level", F.array_join("c", " ").alias("text"))
 
 
-@query()
+def _corrupted_sql(kind: str) -> str:
+    """Rows ``id, level, kind, text`` of a corruption, from the SQL of its own query."""
+    return f"SELECT id, level, '{kind}' AS kind, text FROM ({SQL['text_' + kind]})"
+
+
+def _matches_sql(n: int) -> str:
+    grams = lambda x: f"list_transform(range(1, greatest(len({x}) - {n - 1}, 0) + 1), lambda i: array_to_string({x}[i : i + {n - 1}], chr(1)))"
+    h, r = grams("c"), grams("w")
+    return f"coalesce(list_sum(list_transform(list_distinct({h}), lambda g: least(len(list_filter({h}, lambda x: x = g)), len(list_filter({r}, lambda x: x = g))))), 0)::BIGINT AS m{n}"
+
+
+_TEXT_DAMAGE = f"""WITH corrupted AS ({" UNION ALL ".join(map(_corrupted_sql, ("mask", "shuffle", "replace")))}),
+own AS (SELECT doc_id AS id, list_filter(string_split_regex(text, '{_BLANKS}'), lambda x: x <> '')[1:24] AS w FROM documents),
+both_ AS (SELECT id, level, kind, w, list_filter(string_split(text, ' '), lambda x: x <> '') AS c FROM corrupted JOIN own USING (id)),
+known AS (SELECT *, list_distinct(list_concat(w, c)) AS k FROM both_),
+coded AS (SELECT *, array_to_string(list_transform(w, lambda x: chr(32 + list_position(k, x)::INT)), '') AS cw, array_to_string(list_transform(c, lambda x: chr(32 + list_position(k, x)::INT)), '') AS cc FROM known),
+matched AS (SELECT id, level, kind, len(c) AS h, len(w) AS r, levenshtein(cw, cc) AS e, {", ".join(_matches_sql(n) for n in range(1, 5))} FROM coded),
+scored AS (SELECT id, level, kind, CASE WHEN greatest(h, r) = 0 THEN 0 ELSE e / greatest(h, r)::DOUBLE END AS edit, CASE WHEN h = 0 AND r = 0 THEN 1 WHEN h = 0 OR m1 = 0 THEN 0 ELSE
+  CASE WHEN h > r THEN 1 ELSE exp(1 - r / h::DOUBLE) END * exp(({" + ".join(f"ln(CASE WHEN m{n} = 0 THEN 0.1::DOUBLE ELSE m{n}::DOUBLE END / greatest(1, h - {n - 1}))" for n in range(1, 5))}) / 4) END AS bleu FROM matched)
+SELECT id, level, kind, round(edit, 6) AS edit, round(bleu, 6) AS bleu, round(1 - round(bleu, 6), 6) AS damage_bleu FROM scored"""
+
+
+@query(_TEXT_DAMAGE)
 def text_damage(spark, sf):
     """Edit distance and BLEU of every corrupted caption."""
-    out = None
-    for kind in ("mask", "shuffle", "replace"):
-        rows = _corrupted(spark, sf, kind).select("id", "level", F.lit(kind).alias("kind"), r6(damage.normalised_edit_distance(F.col("w"), F.col("c")), "edit"), r6(damage.bleu4(F.col("c"), F.col("w")), "bleu"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("damage_bleu", F.round(1 - F.col("bleu"), 6))
+    rows, kinds = _captions(spark, sf), ("mask", "shuffle", "replace")
+    made = F.array(*[F.struct(F.lit(k).alias("kind"), corrupt.corrupt_text(k, F.col("w"), _key(), F.col("level")).alias("c")) for k in kinds])
+    rows = rows.select("id", "level", "w", F.explode(made).alias("x")).select("id", "level", "w", "x.*")
+    rows = rows.select("id", "level", "kind", r6(damage.normalised_edit_distance(F.col("w"), F.col("c")), "edit"), r6(damage.bleu4(F.col("c"), F.col("w")), "bleu"))
+    return rows.withColumn("damage_bleu", F.round(1 - F.col("bleu"), 6))
 
 
 def _images(spark, sf):
@@ -457,7 +486,7 @@ _DIFFS = f"{_MEASURED}, dd AS (SELECT model, damage_image - damage_text AS d, ab
 
 @query(f"WITH {_DIFFS} SELECT model, count(*) AS n, round(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)), 2) AS w FROM wr GROUP BY 1")
 def wilcoxon_w(spark, sf):
-    return statistics.wilcoxon(measured(spark, sf), ["model"], "damage_image", "damage_text").withColumn("w", F.round("w", 2))
+    return statistics.wilcoxon(measured(spark, sf), ["model"], "damage_image", "damage_text").select("model", "n", r6("w", "w", 2))
 
 
 @query(f"WITH {_MEASURED} SELECT model, round(avg(damage_image - damage_text) / stddev_samp(damage_image - damage_text), 6) AS d_paired, round((avg(damage_image) - avg(damage_text)) / sqrt((var_samp(damage_image) + var_samp(damage_text)) / 2), 6) AS d_independent FROM measured GROUP BY 1")
@@ -467,18 +496,33 @@ def cohens_d(spark, sf):
     return rows.groupBy("model").agg(r6(statistics.cohens_d_paired("d"), "d_paired"), r6(independent, "d_independent"))
 
 
-_TESTS = f"{_ARMS}, ps AS (SELECT model, quintile, seed, avg(hit) AS p1 FROM i GROUP BY 1, 2, 3), qs AS (SELECT model, quintile, seed, avg(hit) AS p2 FROM t GROUP BY 1, 2, 3), sd AS (SELECT model, quintile, seed, p1, p2 FROM ps JOIN qs USING (model, quintile, seed)), cell AS (SELECT model, CAST(quintile AS VARCHAR) AS quintile, count(*) AS n_seeds, avg(p1) AS p1, avg(p2) AS p2 FROM sd GROUP BY 1, 2 UNION ALL SELECT 'ALL', '5', count(*), avg(p1), avg(p2) FROM sd WHERE quintile = 5)"
+#: Seed means of both arms; ranks of their differences; the exact p-value counts sign patterns (few seeds).
+_TESTS = f"""{_ARMS}, ps AS (SELECT model, quintile, seed, avg(hit) AS p1, count(*) AS n1 FROM i GROUP BY 1, 2, 3), qs AS (SELECT model, quintile, seed, avg(hit) AS p2, count(*) AS n2 FROM t GROUP BY 1, 2, 3),
+sd AS (SELECT model, CAST(quintile AS VARCHAR) AS quintile, seed, p1, p2, n1, n2 FROM ps JOIN qs USING (model, quintile, seed)), al AS (SELECT * FROM sd UNION ALL SELECT 'ALL', quintile, seed, p1, p2, n1, n2 FROM sd WHERE quintile = '5'),
+nz AS (SELECT *, p1 - p2 AS d, rank() OVER (PARTITION BY model, quintile ORDER BY abs(p1 - p2)) + (count(*) OVER (PARTITION BY model, quintile, abs(p1 - p2)) - 1) / 2.0::DOUBLE AS r FROM al WHERE p1 <> p2),
+ws AS (SELECT model, quintile, count(*) AS m, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM nz GROUP BY 1, 2),
+pp AS (SELECT model, quintile, least(1, 2 * sum(CASE WHEN s <= floor(w) THEN 1 ELSE 0 END) / pow(2, any_value(m))) AS p FROM (SELECT model, quintile, m, w, list_sum(list_transform(range(m), lambda k: CASE WHEN (x >> k) & 1 = 1 THEN k + 1 ELSE 0 END)) AS s FROM (SELECT *, unnest(range((1 << m)::BIGINT)) AS x FROM ws)) GROUP BY 1, 2),
+cell AS (SELECT model, quintile, count(*) AS n_seeds, avg(p1) AS p1, avg(p2) AS p2, sum(n1)::BIGINT AS n1, sum(n2)::BIGINT AS n2, avg(p1 - p2) / nullif(stddev_samp(p1 - p2), 0) AS d FROM al GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_TESTS} SELECT model, quintile, n_seeds, round(p1, 6) AS image, round(p2, 6) AS text, round((p1 - p2) / sqrt((p1 * (1 - p1) + p2 * (1 - p2)) / 2), 6) AS d_binary FROM cell")
+@query(f"WITH {_TESTS} SELECT model, quintile, n1 AS image_pairs, n2 AS text_pairs, n_seeds, round(p1, 6) AS image, round(p2, 6) AS text, round(w, 2) AS w, round(p, 6) AS p, round(d, 4) AS d_paired, "
+       "round((p1 - p2) / sqrt((p1 * (1 - p1) + p2 * (1 - p2)) / 2), 6) AS d_binary FROM cell LEFT JOIN ws USING (model, quintile) LEFT JOIN pp USING (model, quintile)")
 def paired_tests_table(spark, sf):
-    rows = measured(spark, sf)
-    arm = lambda col, n: binning.assign_quintile(rows, ["model"], col).groupBy("model", "quintile", "seed").agg(F.avg("hit").alias(n))
-    seeds = arm("damage_image", "p1").join(arm("damage_text", "p2"), ["model", "quintile", "seed"])
-    means = [F.count("*").alias("n_seeds"), F.avg("p1").alias("p1"), F.avg("p2").alias("p2")]
-    cells = seeds.groupBy("model", F.col("quintile").cast("string").alias("quintile")).agg(*means)
-    total = seeds.where("quintile = 5").agg(*means).select(F.lit("ALL").alias("model"), F.lit("5").alias("quintile"), "n_seeds", "p1", "p2")
-    return cells.unionByName(total).select("model", "quintile", "n_seeds", r6("p1", "image"), r6("p2", "text"), r6(statistics.cohens_d_binary(F.col("p1"), F.col("p2")), "d_binary"))
+    """Each (model, quintile), and all models at the worst quintile: tests of seed means, effect sizes of seeds and pairs."""
+    at = lambda arm: F.col("arm") == arm
+    side = lambda arm, k: [F.avg(F.when(at(arm), F.col("hit"))).alias(f"p{k}"), F.count_if(at(arm)).alias(f"n{k}")]
+    seeds = arms(spark, sf, ("hit",)).groupBy("model", F.col("quintile").cast("string").alias("quintile"), "seed").agg(*side("damage_image", 1), *side("damage_text", 2))
+    seeds = seeds.where("quintile is not null and p1 is not null and p2 is not null")
+    seeds = seeds.unionByName(seeds.where("quintile = '5'").withColumn("model", F.lit("ALL"))).withColumn("d", F.col("p1") - F.col("p2"))
+    cell = ["model", "quintile"]
+    means = seeds.groupBy(cell).agg(
+        F.sum("n1").alias("image_pairs"), F.sum("n2").alias("text_pairs"), F.count("*").alias("n_seeds"), F.avg("p1").alias("p1"), F.avg("p2").alias("p2"), statistics.cohens_d_paired("d").alias("d_paired")
+    )
+    tests = statistics.wilcoxon(seeds, cell, "p1", "p2").drop("n")
+    return means.join(tests, cell, "left").select(
+        *cell, "image_pairs", "text_pairs", "n_seeds", r6("p1", "image"), r6("p2", "text"), r6("w", "w", 2), r6("p", "p"), r6("d_paired", "d_paired", 4),
+        r6(statistics.cohens_d_binary(F.col("p1"), F.col("p2")), "d_binary"),
+    )
 
 
 _BOOT = """v AS (SELECT CAST(item_id % 2 AS INT) AS g, CAST(item_id % 3 AS INT) AS seed, item_id AS pair_id, length(text)::DOUBLE AS value FROM benchmark), rows_ AS (SELECT *, row_number() OVER (PARTITION BY g, seed ORDER BY pair_id, value) - 1 AS i, count(*) OVER (PARTITION BY g, seed) AS n FROM v),

@@ -127,13 +127,14 @@ def test_rulers(spark):
         assert 0 <= r.s <= 1 and (r.a != r.b or len(r.a) not in (0, 4, 5, 6) or r.s == pytest.approx(1))
         assert set(r.a) & set(r.b) or not (r.a or r.b) or r.s == 0
     image = rng.integers(0, 256, (16, 16)).astype(float)
-    assert damage.ssim_of(image, image) == pytest.approx(1)
-    assert -1 <= damage.ssim_of(image, rng.integers(0, 256, (16, 16)).astype(float)) < 0.3
-    assert damage.ssim_of(image, damage.blur_of(image, 2.0)) < 0.9
+    stack = image[None]
+    assert damage.ssim_of(stack, stack)[0] == pytest.approx(1)
+    assert -1 <= damage.ssim_of(stack, rng.integers(0, 256, (1, 16, 16)).astype(float))[0] < 0.3
+    assert damage.ssim_of(stack, damage.blur_of(stack, 2.0))[0] < 0.9
     one = spark.range(1).select(damage.psnr(F.lit(0.0)).alias("same"), damage.psnr(F.lit(65025.0)).alias("far")).first()
     assert one.same == 60 and one.far == pytest.approx(0)
     with pytest.raises(ValueError):
-        damage.ssim_of(image, image[:6, :6])
+        damage.ssim_of(stack, stack[:, :6, :6])
 
 
 def test_vectors(spark):
