@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .durable import durable
+from .durable import durable, forget
 
 #: Cells along each dimension: 2 to this power.
 BITS = 5
@@ -68,61 +69,97 @@ def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["index"])
 
 
-def _number(kind: str, value: Column) -> Column:
-    """A number in the order of the values; texts by their first six bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return value.cast("double")
+def _ranked_cells(values: DataFrame, name: str, bits: int) -> DataFrame:
+    """``value, cell`` of the distinct texts of a column: cells of about equal numbers of rows, in the order of the whole values."""
+    counts = values.where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    ordered = durable(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), f"shard-{name}")
+    sums = sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row for each partition
+    total, before, offsets = sum(n for _, n in sums), 0, []
+    for part, n in sums:
+        offsets.append((part, before))
+        before += n
+    known = values.sparkSession.createDataFrame(offsets, "part int, start long")
+    up_to = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("start") + F.coalesce(F.sum("n").over(up_to), F.lit(0))
+    return ordered.join(F.broadcast(known), "part").select("value", F.floor(rank * (1 << bits) / max(1, total)).cast("int").alias("cell"))
 
 
 def shard_documents(
-    docs: DataFrame, n_shards: int = 40, dimensions: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = BITS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    n_shards: int = 40,
+    dimensions: tuple[str, ...] = ("lang", "source", "n_chars"),
+    bits: int = BITS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: bool = False,
 ) -> DataFrame:
     """Put every row into one of ``n_shards`` runs of the Hilbert order, with counts at most one apart.
 
-    Each dimension is cut into 2**bits cells at quantiles of the whole table (nulls and
-    absent columns: cell 0).  Rows of one cell are ordered by the hash of their text and by id,
-    so equal texts of one cell lie together, and a cell that holds a third of all rows is
-    spread over partitions.  Returns ``doc_id, size`` (UTF-8 bytes of the text plus 16; null: 16),
-    ``text_crc32`` (0 for null and empty), ``cell`` (curve index), ``shard`` and ``slot``
-    (place in the shard, from 0).  Null ids and repeated rows are rows like others; fewer rows
-    than shards leave shards empty; an empty table gives no rows.
+    Each dimension is cut into 2**bits cells at quantiles of the whole table, texts by the ranks
+    of their whole values (nulls and absent columns: cell 0).  Equal texts are one group: it has
+    the least cell of its rows and lies together in the order, by the hash of the text and then
+    by id.  A cut between shards falls inside a group only where equal counts demand it, so at
+    most ``n_shards - 1`` groups are in more than one shard; a group that holds more than a
+    shard's rows must be.  A cell that holds a third of all rows is spread over partitions.
+
+    Returns ``doc_id, size`` (UTF-8 bytes of the text plus 16; null: 16), ``text_crc32`` (0 for
+    null and empty), ``cell`` (curve index), ``shard`` and ``slot`` (place in the shard, from 0),
+    and with ``keep`` the source's ``row``.  A very long text is hashed where it is and not moved
+    (but for ``keep``).  Null ids and repeated rows are rows like others; fewer rows than shards
+    leave shards empty; columns of clashing names are not read; an empty table gives no rows.
     """
     kinds = dict(docs.dtypes)
     use = [c for c in dimensions if c in kinds]
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
+    carried = ["row"] if keep else []
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        *[_number(kinds[c], F.col(c)).alias(f"dim{k}") for k, c in enumerate(use)],
+        F.xxhash64(text).alias("text_key"),
+        *[F.col(c).cast("string" if kinds[c] == "string" else "double").alias(f"dim{k}") for k, c in enumerate(use)],
+        *([F.struct(*docs.columns).alias("row")] if keep else []),
     )
     base = durable(base, "shard-metadata")
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    quantiles = base.agg(*[F.percentile_approx(f"dim{k}", cuts, 10_000).alias(f"q{k}") for k in range(len(use))]).first() if use else []
-    cells = []
-    for k in range(len(use)):
-        edges = sorted(set(quantiles[k] or []))
-        value = F.coalesce(F.col(f"dim{k}"), F.lit(float("-inf")))
-        cells.append(sum((F.when(value >= e, 1).otherwise(0) for e in edges), F.lit(0)).alias(f"cell{k}"))
-    placed = base.select("doc_id", "size", "text_crc32", *cells)
+    numbers = [k for k, c in enumerate(use) if kinds[c] != "string"]
+    quantiles = base.agg(*[F.percentile_approx(f"dim{k}", cuts, 10_000).alias(f"q{k}") for k in numbers]).first() if numbers else None
+    placed = base
+    for k, c in enumerate(use):
+        if k in numbers:
+            edges = sorted(set(quantiles[f"q{k}"] or []))
+            value = F.coalesce(F.col(f"dim{k}"), F.lit(float("-inf")))
+            placed = placed.withColumn(f"cell{k}", sum((F.when(value >= e, 1).otherwise(0) for e in edges), F.lit(0)))
+        else:
+            found = _ranked_cells(base.select(F.col(f"dim{k}").alias("value")), c, bits)
+            placed = placed.join(found.select(F.col("value").alias(f"dim{k}"), F.col("cell").alias(f"cell{k}")), f"dim{k}", "left").fillna(0, [f"cell{k}"])
     index = hilbert_index([F.col(f"cell{k}") for k in range(len(use))], bits) if use else F.lit(0).cast("long")
-    placed = placed.select("doc_id", "size", "text_crc32", index.alias("cell"))
+    placed = placed.select("doc_id", "size", "text_crc32", "text_key", index.alias("own"), *carried)
+    groups = placed.groupBy("text_key").agg(F.min("own").alias("cell"), F.max("own").alias("most")).where("cell < most").drop("most")  # groups in several cells only
+    placed = placed.join(groups, "text_key", "left").withColumn("cell", F.coalesce("cell", "own"))
     # The order: range partitions, each sorted; written once, so that counts and ranks see the same partitions.
-    key = ["cell", "text_crc32", "doc_id", F.xxhash64("doc_id", "size")]
+    key = ["cell", "text_crc32", "text_key", "doc_id"]
     within = F.monotonically_increasing_id()
-    ordered = placed.repartitionByRange(*key).sortWithinPartitions(*key)
+    ordered = placed.select(*key, "size", *carried).repartitionByRange(*key, F.xxhash64("doc_id", "size")).sortWithinPartitions(*key)
     ordered = durable(ordered.select("*", F.shiftright(within, 33).cast("int").alias("part"), within.bitwiseAND((1 << 33) - 1).alias("place")), "shard-order")
     counts = sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect())  # one row for each partition
+    forget(base)
     total, before, offsets = sum(c for _, c in counts), 0, []
     for part, count in counts:
         offsets.append((part, before))
         before += count
+    names = ["doc_id", "size", "text_crc32", "cell", *carried]
     if not total:
-        return ordered.select("doc_id", "size", "text_crc32", "cell", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return ordered.select(*names, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     known = docs.sparkSession.createDataFrame(offsets, "part int, before long")
     rank = F.col("before") + F.col("place")
     shard = F.expr(f"(before + place) * {n_shards}L div {total}L")
-    ranked = ordered.join(F.broadcast(known), "part").select("doc_id", "size", "text_crc32", "cell", rank.alias("rank"), shard.alias("shard"))
+    ranked = ordered.join(F.broadcast(known), "part").select(*names, rank.alias("rank"), shard.alias("shard"))
     begins = F.expr(f"(shard * {total}L + {n_shards - 1}L) div {n_shards}L")  # the smallest rank of the shard
-    return ranked.select("doc_id", "size", "text_crc32", "cell", F.col("shard").cast("int").alias("shard"), (F.col("rank") - begins).alias("slot"))
+    return ranked.select(*names, F.col("shard").cast("int").alias("shard"), (F.col("rank") - begins).alias("slot"))
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 40, dimensions: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the rows of ``docs`` as Parquet, a folder ``shard=k`` each, in the order of the curve, so that the files' ranges of each dimension are narrow."""
+    rows = shard_documents(docs, n_shards, dimensions, bits, id_col, text_col, keep=True).select("shard", "slot", "row")
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select("shard", "row.*").write.partitionBy("shard").parquet(path)

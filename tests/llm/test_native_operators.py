@@ -47,6 +47,36 @@ def test_shards(spark, sf, odd_docs, no_docs):
     assert hilbert_shards.shard_documents(no_docs, 4).count() == 0
 
 
+def test_equal_texts_lie_together(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    moved = docs.limit(60).withColumns({"doc_id": F.col("doc_id") + 10**6, "source": F.lit("elsewhere"), "lang": F.lit(None).cast("string")})
+    rows = sorted(hilbert_shards.shard_documents(docs.unionByName(moved), 40).collect(), key=lambda r: (r.shard, r.slot))
+    text = {r.doc_id: r.text for r in docs.unionByName(moved).collect()}
+    places = defaultdict(list)
+    for k, r in enumerate(rows):
+        places[text[r.doc_id]].append(k)
+    assert all(v == list(range(v[0], v[0] + len(v))) for v in places.values())
+    assert sum(len({rows[k].shard for k in v}) > 1 for v in places.values()) <= 39
+
+
+def test_text_dimensions_are_ranked_by_whole_values(spark):
+    rows = [(i, f"t{i}", f"https://example.org/common/prefix/{i % 16:02d}") for i in range(640)]
+    got = hilbert_shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), 16, ("source",)).collect()
+    assert all(len({r.doc_id % 16 for r in got if r.shard == k}) == 1 for k in range(16))
+
+
+def test_written_shards_can_be_skipped(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(i, f"text {i}", "abcd"[rng.integers(4)], f"src{rng.integers(20)}", int(rng.integers(10_000))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    hilbert_shards.write_shards(docs, f"{tmp_path}/s", 40)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert Counter(back.select(docs.columns).collect()) == Counter(docs.collect())
+    for column, value in (("lang", "b"), ("source", "src7"), ("n_chars", 5000)):
+        ranges = back.groupBy("shard").agg(F.min(column).alias("a"), F.max(column).alias("b")).collect()
+        assert sum(r.a <= value <= r.b for r in ranges) <= 24, column  # of 40; files in the order of ids would all have to be read
+
+
 def statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -86,3 +116,34 @@ def test_covering_recovers_planted_rules():
     rules = decision_list.learn_rules(x, bad, rng.random(4000) < 0.67)
     hit = np.logical_or.reduce([np.logical_and.reduce([c.holds(x) for c in r]) for r in rules])
     assert (hit == bad).mean() > 0.97
+
+
+def test_emitted_expression_equals_the_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules = decision_list.fit_decision_list(docs, labels)
+    assert rules
+    rows = decision_list.apply_quality_rules(docs, labels).collect()
+    for r in rows:
+        w, c, n = max(1, r.n_words), max(1, r.word_chars), max(1, r.n_lines)
+        x = {
+            "words": r.n_words, "word_length": r.word_chars / w, "symbols": r.n_symbols / c, "capitals": r.n_capitals / c, "marks": r.n_marks / w,
+            "line_length": r.n_words / n, "dup_lines": r.n_dup_lines / n, "repeats": r.n_repeat_words / w,
+        }
+        first = next((k for k, rule in enumerate(rules, 1) if all((x[q.feature] >= q.threshold) == q.above for q in rule)), None)
+        assert r.rule == first and r.kept == (first is None and not r.base_failed)
+
+
+def test_long_texts_are_counted_exactly(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in rng.integers(0, 3000, 120_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (1, "a b c " * 40), (None, "x y z " * 30)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_repeat_words) for r in decision_list.base_statistics(docs).collect())
+    assert got == Counter((i, s[0], s[4]) for i, s in ((r.doc_id, statistics(r.text)) for r in docs.collect()))
+
+
+def test_a_repeated_id_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, f"{'word ' * 20}{' '.join(f'v{i}x{k}' for k in range(60))}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert decision_list.fit_decision_list(docs, labels) == []
+    assert decision_list.keep_by_rules(docs, labels).count() == 50
