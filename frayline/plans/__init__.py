@@ -1,5 +1,5 @@
 """Part of the robustness analytics: all queries, registered by their modules."""
 
-from . import queries, reports
+from . import experiment, queries, reports
 
-__all__ = ["queries", "reports"]
+__all__ = ["experiment", "queries", "reports"]

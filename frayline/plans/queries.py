@@ -447,9 +447,8 @@ def image_psnr(spark, sf):
     return rows.select("id", "level", r6("mse", "mse", 4), r6(damage.psnr(F.col("mse")), "psnr", 4))
 
 
-@query()
-def image_damage(spark, sf):
-    """SSIM and PSNR of noisy, blurred and cut images."""
+def _pictures(spark, sf) -> DataFrame:
+    """``id, level, kind, ssim, psnr`` of noisy, blurred and cut images."""
     at = lambda kind: F.get(F.array(*[F.lit(v) for v in SEVERITY[kind]]), F.col("level") - 1)
     rows = _images(spark, sf)
     made = {"gaussian_noise": damage.noise(F.col("px"), _key(), at("gaussian_noise")), "gaussian_blur": damage.gaussian_blur("px", at("gaussian_blur")), "cutout": damage.cutout(F.col("px"), _key(), 16, at("cutout"))}
@@ -457,7 +456,13 @@ def image_damage(spark, sf):
     for kind, c in made.items():
         part = rows.withColumn("c", c).select("id", "level", F.lit(kind).alias("kind"), r6(damage.ssim("px", "c"), "ssim"), r6(damage.psnr(damage.mean_squared_error(F.col("px"), F.col("c"))), "psnr", 4))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("damage_ssim", F.round(1 - F.col("ssim"), 6))
+    return out
+
+
+@query()
+def image_damage(spark, sf):
+    """SSIM and PSNR of noisy, blurred and cut images."""
+    return _pictures(spark, sf).withColumn("damage_ssim", F.round(1 - F.col("ssim"), 6))
 
 
 _CELLS = "cells AS (SELECT l_returnflag || l_linestatus || CAST(year(l_shipdate) AS VARCHAR) AS cell, CAST(l_partkey % 3 AS INT) AS seed, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2), both_ AS (SELECT a.cell AS cell, a.seed AS seed_a, b.seed AS seed_b, a.v AS x, b.v AS y FROM cells a JOIN cells b ON a.cell = b.cell AND a.seed < b.seed), rk AS (SELECT *, rank() OVER (PARTITION BY seed_a, seed_b ORDER BY x) + (count(*) OVER (PARTITION BY seed_a, seed_b, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY seed_a, seed_b ORDER BY y) + (count(*) OVER (PARTITION BY seed_a, seed_b, y) - 1) / 2.0::DOUBLE AS ry FROM both_), rho AS (SELECT seed_a, seed_b, count(*) AS n, corr(rx, ry) AS rho FROM rk GROUP BY 1, 2)"
