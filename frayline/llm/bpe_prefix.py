@@ -136,13 +136,14 @@ class PrefixEncoder:
 class PieceTables:
     """An encoder with bounded tables of what it has encoded: pieces, and spans between blanks.
 
-    A pattern's match has a blank only at its front or among other white space.  So where
-    a blank follows a character that is not white space, a match starts, and the span up to
-    the next such place can be matched, and its encoding kept, by itself.
+    ``blank_starts`` says that the pattern's matches have a blank only at their front or among
+    other white space.  Then, where a blank follows a character that is not white space, a match
+    starts, and the span up to the next such place can be matched, and its encoding kept, by
+    itself.  For any other pattern texts are matched whole.
     """
 
-    def __init__(self, encoder: PrefixEncoder, pattern: str):
-        self.encoder = encoder
+    def __init__(self, encoder: PrefixEncoder, pattern: str, blank_starts: bool = False):
+        self.encoder, self.blank_starts = encoder, blank_starts
         self._find = regex.compile(pattern).findall
         self._pieces: dict[str, bytes] = {}
         self._spans: dict[str, bytes] = {}
@@ -160,6 +161,8 @@ class PieceTables:
 
     def packed(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
+        if not self.blank_starts:
+            return self._encode(text)
         spans = text.split(" ")
         parts = list(map(self._spans.get, spans))
         parts[0] = None
@@ -188,23 +191,25 @@ def _keep(table: dict[str, bytes], key: str, value: bytes) -> None:
         table[key] = value
 
 
-_tables: dict[tuple[str, str], PieceTables] = {}
+_tables: dict[tuple[str, str, bool], PieceTables] = {}
 
 
-def _worker_pieces(raw: bytes, pattern: str) -> PieceTables:
+def _worker_pieces(raw: bytes, pattern: str, blank_starts: bool) -> PieceTables:
     """The tables of a worker process, one for each rank file and pattern."""
-    key = hashlib.sha256(raw).hexdigest(), pattern
+    key = hashlib.sha256(raw).hexdigest(), pattern, blank_starts
     if key not in _tables:
-        _tables[key] = PieceTables(PrefixEncoder(parse_ranks(raw)), pattern)
+        _tables[key] = PieceTables(PrefixEncoder(parse_ranks(raw)), pattern, blank_starts)
     return _tables[key]
 
 
-def bpe_encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", blank_starts: bool = False) -> DataFrame:
     """Encode every whole text and decode it again; one row for each input row.
 
     Returns the id, ``ids`` (token ids as little-endian unsigned 32-bit integers),
-    ``n_tokens`` and ``decoded`` (the bytes the ids stand for).  Null and empty texts have
-    no tokens; repeated rows, null ids and further columns of any name are allowed and give
+    ``n_tokens`` and ``decoded`` (the bytes the ids stand for).  ``blank_starts``: see
+    ``PieceTables``; it makes no difference to the result of a pattern of which it is true.
+    Null and empty texts have no tokens; a very long text is encoded whole, a piece at a time,
+    and its ids and bytes leave the task before the next text is read; repeated rows, null ids and further columns of any name are allowed and give
     a row each; an empty table gives no rows.  The rank file (a bounded table of some
     50,000 tokens) is read on the driver and broadcast; the texts never leave their tasks.
     """
@@ -212,7 +217,7 @@ def bpe_encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: st
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _worker_pieces(ranks.value, pattern)
+        pieces = _worker_pieces(ranks.value, pattern, blank_starts)
         table = pieces.encoder.by_rank
         for batch in batches:
             rows, held = [], 0

@@ -177,7 +177,7 @@ def score_quality(
     Learns from documents whose id has a label of 0 or 1 where ``learn`` (a condition on
     ``doc_id``) holds; several labels of one id count as their majority, ties as 0; rows
     with a null id or label are not learnt from.  Null and empty texts have statistics like
-    any other.  With labels of one kind only, the score is that label; without labels 0.5.
+    any other; a very long text is counted whole, by itself, at some twenty times its bytes.  With labels of one kind only, the score is that label; without labels 0.5.
     Repeated rows get equal scores; further columns of any name are ignored.
     """
     stats = durable(document_statistics(docs, id_col, text_col), "quality-statistics")

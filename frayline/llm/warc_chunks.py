@@ -2,8 +2,9 @@
 
 A record is stored as rows of its identifier, a chunk number and at most ``chunk_bytes``
 bytes; put together in order, the rows of an archive are a WARC 1.1 file.  Writer and
-reader pass over the chunks with a running SHA-1, so neither holds more than a chunk of a
-record besides the source's own row, and every row carries the digest up to its end.
+reader pass over the chunks with a running SHA-1, so the reader never holds more than a chunk
+of a record and the writer no more than the source's own row, which Spark hands over whole;
+every row carries the digest up to its end.
 """
 
 from __future__ import annotations
@@ -62,8 +63,10 @@ def write_archives(
     The payload is the text in UTF-8 (null: empty).  Among records with equal payloads of at
     least ``min_revisit_bytes`` bytes, the one of the largest id (null ids rank below all) is
     a response; rows that repeat this id are responses too; the others are revisits without a
-    payload.  An empty table gives no rows; further columns of any name are ignored; line
-    breaks in a url are removed.
+    payload.  A very long payload is cut into chunks where its row is; its own row is the only
+    thing held whole.  Copies are found by digest in ``PARTS`` salted parts, which Spark splits
+    further where they are large.  An empty table gives no rows; further columns of any name
+    are ignored; line breaks in a url are removed.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),

@@ -8,9 +8,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
+from pyspark.sql import functions as F
+
 from frayline.llm import bpe_prefix, decontaminate, language_id, license_scan, quality_rda, queries, warc_chunks
 from frayline.llm.textblocks import hash_word, mix
 
@@ -28,7 +31,7 @@ def ranks():
 def test_bpe_equals_tiktoken_on_odd_texts(spark, odd_docs, no_docs, ranks):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    got = Counter((r.doc_id, bytes(r.ids), r.n_tokens, bytes(r.decoded)) for r in bpe_prefix.bpe_encode_decode(odd_docs, path, public_tokenizers.PATTERN).collect())
+    got = Counter((r.doc_id, bytes(r.ids), r.n_tokens, bytes(r.decoded)) for r in bpe_prefix.bpe_encode_decode(odd_docs, path, public_tokenizers.PATTERN, blank_starts=True).collect())
     want = Counter()
     for i, text in DOCS:
         ids = own.encode_ordinary(text or "")
@@ -244,6 +247,107 @@ def test_quality_held_out(spark, odd_docs, no_docs):
     assert quality_rda.score_quality(no_docs, few, learn).count() == 0
 
 
+def naive_statistics(text):
+    """The transformed statistics of operator 1, a byte at a time."""
+    raw = (text or "").encode()
+    fold = lambda w: bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+    ws = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, size = len(ws), max(1, len(raw))
+    among = lambda chars: sum(b in chars for b in raw)
+    share = lambda a, b: (a / max(b, 1)) ** 0.5
+    triples = [tuple(map(fold, ws[i : i + 3])) for i in range(n - 2)]
+    lines = [x for k, x in enumerate(raw.split(b"\n")) if len(x) + (k < raw.count(b"\n")) > 1]
+    return [
+        np.log1p(n), np.log1p(sum(map(len, ws)) / max(n, 1)), share(among(b"#*$%&<>@^~=_+\\{}[]"), size), share(among(range(65, 91)), size), share(among(range(48, 58)), size),
+        share(among(b"!?;:,.\"'()-/"), size), share(among(b"|"), size), share(among(b"\n"), max(n, 1)), np.log1p(n) - np.log1p(len(set(map(fold, ws)))),
+        share(len(triples) - len(set(triples)), len(triples)), share(len(lines) - len(set(map(fold, lines))), len(lines)),
+        share(sum(sum(65 <= b <= 90 for b in w) >= 2 for w in ws), n), share(sum(len(w) <= 3 for w in ws), n),
+    ]
+
+
+def test_quality_query_equals_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    x = np.array([naive_statistics(t) for _, t in docs])
+    learn = [k for k, (i, _) in enumerate(docs) if crc(i) % 5 and i in labels]
+    y = np.array([labels[docs[k][0]] for k in learn])
+    own = {v: x[learn][y == v] for v in (0, 1)}
+    total, center = len(learn), x[learn].mean(axis=0)
+    scatter = {v: np.cov(own[v].T, bias=True) for v in own}
+    within = sum(len(own[v]) * scatter[v] for v in own) / total
+    scale = np.sqrt(np.maximum(np.diag(np.cov(x[learn].T, bias=True)), 1e-6))
+    log_density = []
+    for v in (0, 1):
+        cov = ((1 - quality_rda.POOLED) * scatter[v] + quality_rda.POOLED * within) / np.outer(scale, scale)
+        cov = (1 - quality_rda.IDENTITY) * cov + (quality_rda.IDENTITY * np.trace(cov) / len(cov) + 1e-6) * np.eye(len(cov))
+        z = (x - own[v].mean(axis=0)) / scale
+        log_density.append(-0.5 * (z * np.linalg.solve(cov, z.T).T).sum(axis=1) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(len(own[v]) / total))
+    want = 1 / (1 + np.exp(np.clip((log_density[0] - log_density[1]) / quality_rda.TEMPERATURE, -500, 500)))
+    got = {r.doc_id: r.score for r in queries.op1_quality_rda(spark, sf).collect()}
+    assert all(abs(got[i] - w) < 1e-4 for (i, _), w in zip(docs, want, strict=True))
+
+
+def naive_features(text):
+    raw = (text or "").lower().encode()
+    folded = [b if 97 <= b <= 122 or b > 127 else 32 for b in raw]
+    counts = np.zeros(language_id.N_FEATURES)
+    for size in (2, 3):
+        for i in range(len(raw) - size + 1):
+            gram = int.from_bytes(bytes(folded[i : i + size]), "big")
+            counts[((gram * 2654435761 + size * 40503) % 2**32) >> 20] += 1
+    return np.sqrt(counts / max(1, counts.sum()))
+
+
+def test_language_query_equals_brute_force(spark, sf):
+    """The same machines fitted on naive features of the learning rows, and duels one pair at a time."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", F.xxhash64("text").alias("key")).collect()
+    learn = sorted({(r.lang, r.key, r.text) for r in rows if crc(r.doc_id) % 4 != 2 and r.lang is not None and r.text is not None})
+    model = language_id.LanguageModel(np.array([naive_features(t) for _, _, t in learn]).astype(np.float16), np.array([v for v, _, _ in learn], dtype=object))
+
+    def winner(duels, x):
+        wins, margins = Counter(dict.fromkeys(duels.classes, 0)), Counter()
+        for k, (a, b) in enumerate(duels.pairs):
+            m = float(x @ duels.w[:-1, k] + duels.w[-1, k])
+            wins[duels.classes[a if m > 0 else b]] += 1
+            margins[duels.classes[a]] += m
+            margins[duels.classes[b]] -= m
+        return max(duels.classes, key=lambda c: wins[c] + 0.5 * np.tanh(margins[c] / (1 + len(duels.pairs))))
+
+    got = {r.doc_id: r.lang_pred for r in queries.op10_language_id(spark, sf).collect()}
+    for r in rows:
+        x = naive_features(r.text)
+        want = winner(model.inside[winner(model.family, x)], x) if any(c.isalpha() for c in r.text or "") else "und"
+        assert got[r.doc_id] == want
+
+
+def test_languages_are_learnt_without_ids_and_from_repeated_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.lit(None).cast("long").alias("doc_id"), "text", "lang")
+    docs = docs.unionByName(docs.limit(1).crossJoin(spark.range(3000)).drop("id"))
+    model = language_id.fit_language_model(docs, F.lit(True), per_language=40)
+    assert model is not None
+    rows = language_id.identify_languages(docs, model).join(docs.select("lang"), F.lit(False), "left").select("lang_pred").collect()
+    assert sum(r.lang_pred == "und" for r in rows) < 0.1 * len(rows)
+
+
+def test_other_patterns_are_matched_whole(spark, ranks):
+    encoder = bpe_prefix.PrefixEncoder(ranks)
+    text, pattern = "ab cd  ef\n gh " * 3, r"\S+\s\S+|\s+|\S+"
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ids = own.encode_ordinary(text)
+    assert bpe_prefix.PieceTables(encoder, pattern).packed(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_spans_of_a_long_text_have_the_hashes_of_short_ones():
+    from frayline.llm import textblocks
+
+    text = " ".join(f"Word{i % 977}é" for i in range(260_000))
+    (block,) = textblocks.blocks(pa.array([text]), 1 << 30)
+    found = textblocks.words(block, textblocks.NOT_BLANK)
+    assert len(block.data) > 2 * textblocks.BLOCK
+    hashes = textblocks.hash_spans(block, found.starts, found.ends)
+    assert all(hashes[i] == hash_word(f"Word{i % 977}é") for i in (0, 5, 123_456, 259_999))
+
+
 def test_word_hashes_fold_ascii_only():
     assert hash_word("AbC") == hash_word("aBc") != hash_word("abd")
     assert hash_word("É") != hash_word("é")
