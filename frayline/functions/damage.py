@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import IMAGE, severity_column
 from .corrupt import let
 
 PSNR_CAP = 60.0
@@ -169,3 +170,14 @@ def gaussian_blur(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
                 for row, image in zip(own[rows], blur_of(x, float(radius)), strict=True):
                     out[row] = image.ravel()
         yield pd.Series(out)
+
+
+def corrupt_image(kind: str, pixels: Column, key: Column, level: Column, side: int) -> Column:
+    """A corrupted square one-channel image; ``none`` and severity 0 leave it alone, unknown kinds raise."""
+    if kind == "none":
+        return pixels
+    if kind not in IMAGE:
+        raise KeyError(f"unknown corruption: {kind}")
+    share = severity_column(kind, level)
+    made = {"gaussian_noise": lambda: noise(pixels, key, share), "gaussian_blur": lambda: gaussian_blur(pixels, share), "cutout": lambda: cutout(pixels, key, side, share)}[kind]()
+    return F.when(level == 0, pixels).otherwise(made)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SEVERITY
+from ..config import IMAGE, SEVERITY
 from ..functions import corrupt, damage, vectors
 from ..operators import binning, bootstrap, statistics
 from ..session import workers_find_package
@@ -449,12 +449,9 @@ def image_psnr(spark, sf):
 
 def _pictures(spark, sf) -> DataFrame:
     """``id, level, kind, ssim, psnr`` of noisy, blurred and cut images."""
-    at = lambda kind: F.get(F.array(*[F.lit(v) for v in SEVERITY[kind]]), F.col("level") - 1)
-    rows = _images(spark, sf)
-    made = {"gaussian_noise": damage.noise(F.col("px"), _key(), at("gaussian_noise")), "gaussian_blur": damage.gaussian_blur("px", at("gaussian_blur")), "cutout": damage.cutout(F.col("px"), _key(), 16, at("cutout"))}
-    out = None
-    for kind, c in made.items():
-        part = rows.withColumn("c", c).select("id", "level", F.lit(kind).alias("kind"), r6(damage.ssim("px", "c"), "ssim"), r6(damage.psnr(damage.mean_squared_error(F.col("px"), F.col("c"))), "psnr", 4))
+    rows, out = _images(spark, sf), None
+    for kind in IMAGE:
+        part = rows.withColumn("c", damage.corrupt_image(kind, F.col("px"), _key(), F.col("level"), 16)).select("id", "level", F.lit(kind).alias("kind"), r6(damage.ssim("px", "c"), "ssim"), r6(damage.psnr(damage.mean_squared_error(F.col("px"), F.col("c"))), "psnr", 4))
         out = part if out is None else out.unionByName(part)
     return out
 

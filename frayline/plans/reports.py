@@ -280,3 +280,25 @@ def shared_pairs(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id")
     one, two = (manifest.seeded_slice(docs, "doc_id", s, 100).select("doc_id") for s in (7, 9))
     return one.intersect(two)
+
+
+@query(f"WITH {_ROWS}, {_CLEAN} SELECT model, direction, round(regr_slope(hit, severity), 6) AS slope, round(any_value(clean), 6) AS clean, round(avg(hit) FILTER (WHERE severity = 1) - avg(hit) FILTER (WHERE severity = 5), 6) AS fall FROM hits JOIN clean USING (model, direction) WHERE severity > 0 GROUP BY ALL")
+def two_components(spark, sf):
+    """Where a model starts (clean) and how fast it falls with severity."""
+    at = lambda s: F.avg(F.when(F.col("severity") == s, F.col("hit")))
+    cells = hits(spark, sf).where("severity > 0").groupBy("model", "direction").agg(F.regr_slope("hit", F.col("severity")).alias("slope"), (at(1) - at(5)).alias("fall"))
+    return views.looked_up(cells, clean_means(spark, sf), ["model", "direction"], "clean").select("model", "direction", r6("slope", "slope"), r6("clean", "clean"), r6("fall", "fall"))
+
+
+@query(f"WITH {_ROWS}, m AS (SELECT model, seed, avg(hit) AS v FROM hits GROUP BY ALL) SELECT model, printf('%.3f±%.3f', avg(v), coalesce(stddev_samp(v), 0)) AS text FROM m GROUP BY 1")
+def mean_sd_format(spark, sf):
+    seeds = hits(spark, sf).groupBy("model", "seed").agg(F.avg("hit").alias("v"))
+    return seeds.groupBy("model").agg(F.format_string("%.3f±%.3f", F.avg("v"), F.coalesce(F.stddev_samp("v"), F.lit(0.0))).alias("text"))
+
+
+@query("WITH d AS (SELECT sha256(text) AS sha256, min(doc_id) AS doc_id FROM documents GROUP BY 1), old AS (SELECT sha256 FROM d WHERE doc_id % 3 = 0) SELECT sha256, doc_id FROM d WHERE sha256 NOT IN (SELECT sha256 FROM old) AND sha256 IS NOT NULL")
+def manifest_append(spark, sf):
+    """What a batch adds to a manifest: contents that it does not hold yet, each once."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    old = manifest.dedup_by_content(docs, F.col("text"), "doc_id").where("doc_id % 3 = 0")
+    return manifest.new_items(old, docs, F.col("text"), "doc_id").select("sha256", "doc_id")

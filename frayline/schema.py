@@ -31,15 +31,18 @@ MEASUREMENTS = T.StructType(
 )
 
 
-def typed(raw: DataFrame, schema: T.StructType = MEASUREMENTS) -> DataFrame:
-    """Cast string columns to the schema leniently: empty or unreadable cells and NaN become null; absent columns are null."""
+def typed(raw: DataFrame, schema: T.StructType = MEASUREMENTS, strict: bool = False) -> DataFrame:
+    """Cast string columns to the schema: empty cells and NaN become null; absent columns are null.
+
+    Unreadable cells become null as well or, with ``strict``, raise.
+    """
     out = []
     for f in schema.fields:
         if f.name not in raw.columns:
             out.append(F.lit(None).cast(f.dataType).alias(f.name))
             continue
         cell = F.nullif(F.col(f.name).cast("string"), F.lit(""))
-        value = cell if isinstance(f.dataType, T.StringType) else cell.try_cast(f.dataType)
+        value = cell if isinstance(f.dataType, T.StringType) else cell.cast(f.dataType) if strict else cell.try_cast(f.dataType)
         if isinstance(f.dataType, T.DoubleType):
             value = F.when(~F.isnan(value), value)
         out.append(value.alias(f.name))

@@ -38,6 +38,12 @@ def dedup_by_content(items: DataFrame, content: Column, order: str) -> DataFrame
     return best.select("sha256", "r.*")
 
 
+def new_items(manifest: DataFrame, batch: DataFrame, content: Column, order: str, target: int | None = None) -> DataFrame:
+    """The items of a batch whose content a manifest (``sha256``) lacks, each content once; at most what is missing to ``target``."""
+    fresh = dedup_by_content(batch.where(content.isNotNull()), content, order).join(manifest.select("sha256"), "sha256", "left_anti")
+    return fresh if target is None else fresh.orderBy(order).limit(max(0, target - manifest.count()))
+
+
 def draw(seed: Column | int, *parts: Column | str) -> Column:
     """A uniform hash of a seed and keys; orders by it are random permutations that any engine with md5 can repeat."""
     first = F.lit(seed) if isinstance(seed, int) else seed

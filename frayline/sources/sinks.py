@@ -24,3 +24,10 @@ def latex_rows(summary: DataFrame, columns: list[str], order: list[str]) -> str:
     rows = summary.select(columns).orderBy(order).collect()
     cells = lambda r: " & ".join("n/a" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r)
     return " \\\\\n".join(cells(r) for r in rows)
+
+
+def report_section(title: str, summary: DataFrame, order: list[str]) -> str:
+    """A heading and the rows of a small summary as text."""
+    rows = summary.orderBy(order).collect()
+    lines = [", ".join(f"{k}={v:.4f}" if isinstance(v, float) else f"{k}={v}" for k, v in r.asDict().items()) for r in rows]
+    return "\n".join([title, "-" * len(title), *lines])

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from frayline.functions import corrupt, damage, vectors
 from frayline.operators import binning, bootstrap, statistics
-from frayline.sources import views
+from frayline.plans import experiment, run
+from frayline.schema import typed
+from frayline.sources import manifest, sinks, views
 
 
 def words(rng, n):
@@ -171,3 +173,42 @@ def test_pooling_kinds(spark):
     assert stopped.v == [1.5]
     with pytest.raises(ValueError, match="unknown pooling"):
         vectors.pooled(F.col("s"), F.col("t"), "max")
+
+
+def test_strict_casts_and_report_text(spark):
+    raw = spark.createDataFrame([("a", "x")], "model string, seed string")
+    assert typed(raw).first().seed is None
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        typed(raw, strict=True).collect()
+    table = spark.createDataFrame([("b", 0.5), ("a", 1.0)], "model string, value double")
+    assert sinks.report_section("Means", table, ["model"]) == "Means\n-----\nmodel=a, value=1.0000\nmodel=b, value=0.5000"
+
+
+def test_manifest_grows_to_its_target(spark):
+    have = manifest.dedup_by_content(spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string"), F.col("text"), "id")
+    batch = spark.createDataFrame([(3, "b"), (4, "c"), (5, "c"), (6, "d"), (7, None)], "id long, text string")
+    assert sorted(r.id for r in manifest.new_items(have, batch, F.col("text"), "id").collect()) == [4, 6]
+    assert [r.id for r in manifest.new_items(have, batch, F.col("text"), "id", target=3).collect()] == [4]
+
+
+def test_image_corruptions_by_name(spark):
+    df = spark.createDataFrame([(1, [float(i % 251) for i in range(256)])], "id int, px array<double>")
+    for level, same in ((0, True), (3, False)):
+        for kind in ("gaussian_noise", "gaussian_blur", "cutout"):
+            (r,) = df.select("px", damage.corrupt_image(kind, F.col("px"), F.col("id").cast("string"), F.lit(level), 16).alias("c")).collect()
+            assert (r.px == r.c) == same, kind
+    with pytest.raises(KeyError):
+        damage.corrupt_image("fog", F.col("px"), F.col("id"), F.lit(1), 16)
+
+
+def test_experiments_need_three_depths_and_runs_report(spark, sf, tmp_path):
+    docs = spark.range(100).withColumnRenamed("id", "doc_id")
+    assert experiment.experiment(docs, "doc_id", (0, 1), 10).groupBy("seed", "depth").count().collect().__len__() == 6
+    with pytest.raises(ValueError, match="three depths"):
+        experiment.experiment(docs, "doc_id", depths=(0.5,))
+    assert run.run(spark, sf, str(tmp_path), ["ci_format"], dry_run=True) == {"ci_format": "planned"}
+    got = run.run(spark, sf, str(tmp_path), ["ci_format"])
+    assert got == {"ci_format": "written"} and spark.read.parquet(f"{tmp_path}/ci_format").count() > 0
+    assert run.run(spark, "/nowhere", str(tmp_path), ["ci_format"])["ci_format"].startswith("failed")
+    with pytest.raises(KeyError):
+        run.run(spark, sf, str(tmp_path), ["nothing"])
