@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +66,77 @@ def bleu4(hypothesis: Column, reference: Column) -> Column:
     return let(F.array(*[clipped_matches(hypothesis, reference, n) for n in range(1, 5)]), score)
 
 
+def _matrix(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, fill: int) -> np.ndarray:
+    """Rows of codes of different lengths, filled up."""
+    spot = np.arange(int(sizes.max(initial=0)))
+    inside = spot < sizes[:, None]
+    return np.where(inside, codes[np.where(inside, starts[:, None] + spot, 0)], fill) if len(codes) else np.full(inside.shape, fill)
+
+
+def edit_distances(codes: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = 1 << 20) -> np.ndarray:
+    """Levenshtein distances of many pairs of runs of ``codes`` (starts, sizes), a row of all their tables at a time."""
+    out = np.zeros(len(a[0]), dtype=np.int64)
+    order = np.argsort(b[1], kind="stable")
+    at = 0
+    while at < len(order):
+        rows = order[at : at + max(1, cells // (int(b[1][order[min(len(order), at + 4096) - 1]]) + 1))][:4096]
+        at += len(rows)
+        x, y = (_matrix(codes, s[rows], n[rows], fill) for (s, n), fill in ((a, -1), (b, -2)))
+        spot = np.arange(y.shape[1] + 1)
+        row = np.tile(spot, (len(rows), 1))
+        for i in range(x.shape[1]):
+            new = row + 1
+            np.minimum(new[:, 1:], row[:, :-1] + (y != x[:, i : i + 1]), out=new[:, 1:])
+            new = np.minimum.accumulate(new - spot, axis=1) + spot
+            row = np.where((i < a[1][rows])[:, None], new, row)
+        out[rows] = row[np.arange(len(rows)), b[1][rows]]
+    return out
+
+
+def _grams(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit number for each n-gram of each run, in which its run takes part, and the run."""
+    count = np.maximum(sizes - n + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), count)
+    spot = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
+    key = owner.astype(np.uint64)
+    for i in range(n):
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + codes[spot + i].astype(np.uint64) + np.uint64(1)
+    return key ^ (key >> np.uint64(32)), owner
+
+
+def bleu_scores(codes: np.ndarray, hyp: tuple[np.ndarray, np.ndarray], ref: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sentence BLEU of many pairs (see ``bleu4``)."""
+    h, r = hyp[1], ref[1]
+    logs, unigrams = np.zeros(len(h)), None
+    for n in range(1, 5):
+        (one, mine), (two, other) = _grams(codes, *hyp, n), _grams(codes, *ref, n)
+        keys, place = np.unique(np.concatenate([one, two]), return_inverse=True)
+        owner = np.zeros(len(keys), dtype=np.int64)
+        owner[place] = np.concatenate([mine, other])
+        both = np.minimum(np.bincount(place[: len(one)], minlength=len(keys)), np.bincount(place[len(one) :], minlength=len(keys)))
+        matches = np.bincount(owner, weights=both, minlength=len(h))
+        unigrams = matches if n == 1 else unigrams
+        logs += np.log(np.where(matches == 0, 0.1, matches) / np.maximum(1, h - n + 1)) / 4
+    penalty = np.where(h > r, 1.0, np.exp(1 - r / np.maximum(h, 1)))
+    return np.where((h == 0) & (r == 0), 1.0, np.where((h == 0) | (unigrams == 0), 0.0, penalty * np.exp(logs)))
+
+
+def _runs(column: pa.Array, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.cumsum(sizes) - sizes + shift, sizes
+
+
+@F.arrow_udf(T.StructType([T.StructField("edit", T.DoubleType()), T.StructField("bleu", T.DoubleType())]))
+def text_rulers(original: pa.Array, changed: pa.Array) -> pa.Array:
+    """Normalised edit distance, and BLEU of the changed words, of two word arrays; whole Arrow batches at a time (null: no words)."""
+    flat = [original.flatten(), changed.flatten()]
+    codes = pa.concat_arrays([x.cast(pa.string()) for x in flat]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    a, b = _runs(original, 0), _runs(changed, len(flat[0]))
+    longest = np.maximum(a[1], b[1])
+    edit = np.where(longest == 0, 0.0, edit_distances(codes, a, b) / np.maximum(longest, 1))
+    return pa.StructArray.from_arrays([pa.array(edit), pa.array(bleu_scores(codes, b, a))], ["edit", "bleu"])
+
+
 def psnr(mse: Column) -> Column:
     """Decibels on the 0..255 scale, capped."""
     return F.when(mse <= 1e-12, F.lit(PSNR_CAP)).otherwise(F.least(F.lit(PSNR_CAP), 20 * F.log10(F.lit(255.0)) - 10 * F.log10(F.greatest(mse, F.lit(1e-300)))))

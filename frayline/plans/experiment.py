@@ -132,9 +132,9 @@ def input_damage(captions: DataFrame, pictures: DataFrame) -> DataFrame:
     key = _key()
     texts = F.array(*[F.struct(F.lit(k).alias("corruption_type"), corrupt.corrupt_text(k, F.col("w"), key, F.col("level")).alias("c")) for k in ("mask", "shuffle", "replace")])
     rows = captions.select("id", "level", "w", F.explode(texts).alias("x")).select("id", "level", "w", "x.*")
-    edit, bleu = damage.normalised_edit_distance(F.col("w"), F.col("c")), damage.bleu4(F.col("c"), F.col("w"))
+    rows = rows.withColumn("r", damage.text_rulers("w", "c"))
     none = F.lit(None).cast("double")
-    rows = rows.select("id", F.lit("text").alias("modality"), "corruption_type", F.col("level").alias("severity"), none.alias("ssim"), none.alias("psnr"), r6(edit, "norm_edit_distance"), r6(bleu, "bleu"))
+    rows = rows.select("id", F.lit("text").alias("modality"), "corruption_type", F.col("level").alias("severity"), none.alias("ssim"), none.alias("psnr"), r6("r.edit", "norm_edit_distance"), r6("r.bleu", "bleu"))
     images = pictures.select("id", F.lit("image").alias("modality"), F.col("kind").alias("corruption_type"), F.col("level").alias("severity"), "ssim", "psnr", none.alias("norm_edit_distance"), none.alias("bleu"))
     both = rows.unionByName(images)
     return both.withColumns({"damage_ssim": F.round(1 - F.col("ssim"), 6), "damage_bleu": F.round(1 - F.col("bleu"), 6)})

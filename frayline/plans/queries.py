@@ -424,7 +424,7 @@ def text_damage(spark, sf):
     rows, kinds = _captions(spark, sf), ("mask", "shuffle", "replace")
     made = F.array(*[F.struct(F.lit(k).alias("kind"), corrupt.corrupt_text(k, F.col("w"), _key(), F.col("level")).alias("c")) for k in kinds])
     rows = rows.select("id", "level", "w", F.explode(made).alias("x")).select("id", "level", "w", "x.*")
-    rows = rows.select("id", "level", "kind", r6(damage.normalised_edit_distance(F.col("w"), F.col("c")), "edit"), r6(damage.bleu4(F.col("c"), F.col("w")), "bleu"))
+    rows = rows.select("id", "level", "kind", damage.text_rulers("w", "c").alias("r")).select("id", "level", "kind", r6("r.edit", "edit"), r6("r.bleu", "bleu"))
     return rows.withColumn("damage_bleu", F.round(1 - F.col("bleu"), 6))
 
 

@@ -46,8 +46,9 @@ def test_text_rulers_equal_plain_python(spark):
     rows = [(words(rng, rng.randrange(0, 30)), words(rng, rng.randrange(0, 30))) for _ in range(120)]
     rows += [(x, list(x)) for x, _ in rows[:10]] + [(["a"], ["z"]), ([], ["a"]), (["a"], []), ([], [])]
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")
-    got = df.select("a", "b", damage.token_edit_distance(F.col("a"), F.col("b")).alias("e"), damage.bleu4(F.col("a"), F.col("b")).alias("s")).collect()
+    got = df.select("a", "b", damage.token_edit_distance(F.col("a"), F.col("b")).alias("e"), damage.bleu4(F.col("a"), F.col("b")).alias("s"), damage.text_rulers("b", "a").alias("r")).collect()
     for r in got:
+        assert math.isclose(r.r.edit * max(1, len(r.a), len(r.b)), r.e, abs_tol=1e-9) and math.isclose(r.r.bleu, r.s, abs_tol=1e-9), r
         assert r.e == levenshtein(r.a, r.b) and math.isclose(r.s, bleu(r.a, r.b), abs_tol=1e-9), r
 
 
