@@ -503,7 +503,10 @@ _TESTS = f"""{_ARMS}, ps AS (SELECT model, quintile, seed, avg(hit) AS p1, count
 sd AS (SELECT model, CAST(quintile AS VARCHAR) AS quintile, seed, p1, p2, n1, n2 FROM ps JOIN qs USING (model, quintile, seed)), al AS (SELECT * FROM sd UNION ALL SELECT 'ALL', quintile, seed, p1, p2, n1, n2 FROM sd WHERE quintile = '5'),
 nz AS (SELECT *, p1 - p2 AS d, rank() OVER (PARTITION BY model, quintile ORDER BY abs(p1 - p2)) + (count(*) OVER (PARTITION BY model, quintile, abs(p1 - p2)) - 1) / 2.0::DOUBLE AS r FROM al WHERE p1 <> p2),
 ws AS (SELECT model, quintile, count(*) AS m, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM nz GROUP BY 1, 2),
-pp AS (SELECT model, quintile, least(1, 2 * sum(CASE WHEN s <= floor(w) THEN 1 ELSE 0 END) / pow(2, any_value(m))) AS p FROM (SELECT model, quintile, m, w, list_sum(list_transform(range(m), lambda k: CASE WHEN (x >> k) & 1 = 1 THEN k + 1 ELSE 0 END)) AS s FROM (SELECT *, unnest(range((1 << m)::BIGINT)) AS x FROM ws)) GROUP BY 1, 2),
+ex AS (SELECT model, quintile, least(1, 2 * sum(CASE WHEN s <= floor(w) THEN 1 ELSE 0 END) / pow(2, any_value(m))) AS p FROM (SELECT model, quintile, m, w, list_sum(list_transform(range(m), lambda k: CASE WHEN (x >> k) & 1 = 1 THEN k + 1 ELSE 0 END)) AS s FROM (SELECT *, unnest(range((1 << m)::BIGINT)) AS x FROM ws)) GROUP BY 1, 2),
+ti AS (SELECT model, quintile, sum(t * t * t - t) AS ties FROM (SELECT model, quintile, abs(d) AS a, count(*)::DOUBLE AS t FROM nz GROUP BY ALL) GROUP BY 1, 2),
+zs AS (SELECT *, least(5, abs(w - m * (m + 1) / 4.0::DOUBLE) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - ties / 48) / sqrt(2::DOUBLE)) AS z FROM ws JOIN ti USING (model, quintile)),
+pp AS (SELECT model, quintile, CASE WHEN m < 2 THEN 1 WHEN ties = 0 THEN p ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 100), lambda k: pow(-1, k) * pow(z, 2 * k + 1) / gamma(k + 1) / (2 * k + 1))) END AS p FROM zs JOIN ex USING (model, quintile)),
 cell AS (SELECT model, quintile, count(*) AS n_seeds, avg(p1) AS p1, avg(p2) AS p2, sum(n1)::BIGINT AS n1, sum(n2)::BIGINT AS n2, avg(p1 - p2) / nullif(stddev_samp(p1 - p2), 0) AS d FROM al GROUP BY 1, 2)"""
 
 
