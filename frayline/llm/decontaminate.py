@@ -39,12 +39,16 @@ def signs(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """SimHash of each window of words (starts sorted): the sign of the sum of its words' values, bit by bit."""
+    """SimHash of each window of words (starts sorted): the sign of the sum of its words' values, bit by bit.
+
+    Windows that overlap are summed together, over a bounded stretch at a time.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
+    apart = np.append(np.flatnonzero(starts[1:] > stops[:-1]) + 1, len(starts))
     at = 0
     while at < len(starts):
         low = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(starts, low + SEGMENT)))
+        to = min(int(apart[np.searchsorted(apart, at, side="right")]), max(at + 1, int(np.searchsorted(starts, low + SEGMENT))))
         high = int(stops[at:to].max())
         running = np.zeros((high - low + 1, 64), dtype=np.int32)
         np.cumsum(signs(hashes[low:high]), axis=0, dtype=np.int32, out=running[1:])
@@ -205,43 +209,47 @@ class Group:
             return
         weights = np.concatenate([[0], np.cumsum(np.convolve(sizes, np.ones(k, dtype=np.int64), mode="valid"))])
         own = weights[hits + 1] - weights[hits]
-        heavy = np.flatnonzero(np.bincount(texts, weights=own) >= self.least)
-        for text in heavy.tolist():
-            begin, end = int(first[text]), int(first[text + 1])
-            a, b = np.searchsorted(texts, [text, text + 1])
-            mine = hits[a:b]
-            held = np.zeros(end - begin + 1, dtype=np.int64)
-            held[mine - begin + 1] = own[a:b]
-            np.cumsum(held, out=held)
-            best: dict[int, tuple[float, int]] = {}
-            for length, least, numbers, index in self.lengths:
-                starts = np.arange(end - begin - k + 1)
-                stops = np.minimum(starts + length, end - begin)
-                good = held[stops - k + 1] - held[starts] >= least
-                starts, stops = starts[good] + begin, stops[good] + begin
-                if not len(starts):
-                    continue
-                for window, slot, _ in index.candidates(fingerprints(hashes, starts, stops)):
-                    start, stop, number = int(starts[window]), int(stops[window]), numbers[slot]
-                    score = self.items[number].shingled.similarity(hashes[start:stop], sizes[start:stop])
-                    if score >= similarity and (number not in best or (-score, start) < best[number]):
-                        best[number] = -score, start
-            places: dict[int, list[int]] = {}
-            for at in mine.tolist():
-                for number in self.prefix.get(int(keys[at]), ()):
-                    places.setdefault(number, []).append(at)
-            for number, ends in places.items():
-                item = self.items[number]
-                if number in best and best[number][0] == -1.0:
-                    continue
-                score, start = item.shingled.best(keys, weights, covered(np.array(ends), item.n_words - k + 1, begin), item.n_words, end)
-                if score >= similarity and (number not in best or (-score, start) < best[number]):
-                    best[number] = -score, start
-            for number, (score, start) in sorted(best.items()):
-                item = self.items[number]
-                stop = min(start + item.n_words, end)
-                seen = fingerprints(hashes, np.array([start]), np.array([stop]))[0]
-                yield text, item, start - begin, stop - start, int(np.bitwise_count(seen ^ item.print)), -score
+        heavy = np.flatnonzero(np.bincount(texts, weights=own, minlength=len(first) - 1) >= self.least)
+        if not len(heavy):
+            return
+        sizes_of = first[heavy + 1] - first[heavy]
+        places = np.repeat(first[heavy] - (np.cumsum(sizes_of) - sizes_of), sizes_of) + np.arange(sizes_of.sum())
+        ends = np.repeat(first[heavy + 1], sizes_of)
+        places, ends = places[places + k <= ends], ends[places + k <= ends]
+        held = np.zeros(len(hashes) + 1, dtype=np.int64)
+        held[hits + 1] = own
+        np.cumsum(held, out=held)
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        open_: set[tuple[int, int]] = set()  # texts that have windows of a length heavy enough
+        for length, least, numbers, index in self.lengths:
+            stops = np.minimum(places + length, ends)
+            good = held[stops - k + 1] - held[places] >= least
+            if not good.any():
+                continue
+            starts, stops = places[good], stops[good]
+            of = np.searchsorted(first, starts, side="right") - 1
+            open_.update((text, length) for text in np.unique(of).tolist())
+            for window, slot, _ in index.candidates(fingerprints(hashes, starts, stops)):
+                start, stop, key = int(starts[window]), int(stops[window]), (int(of[window]), numbers[slot])
+                score = self.items[key[1]].shingled.similarity(hashes[start:stop], sizes[start:stop])
+                if score >= similarity and (key not in best or (-score, start) < best[key]):
+                    best[key] = -score, start
+        near: dict[tuple[int, int], list[int]] = {}
+        tried = np.isin(texts, [text for text, _ in open_])
+        for at, text in zip(hits[tried].tolist(), texts[tried].tolist(), strict=True):
+            for number in self.prefix.get(int(keys[at]), ()):
+                if (text, self.items[number].n_words) in open_ and best.get((text, number), (0.0,))[0] != -1.0:
+                    near.setdefault((text, number), []).append(at)
+        for (text, number), spots in near.items():
+            item = self.items[number]
+            score, start = item.shingled.best(keys, weights, covered(np.array(spots), item.n_words - k + 1, int(first[text])), item.n_words, int(first[text + 1]))
+            if score >= similarity and ((text, number) not in best or (-score, start) < best[text, number]):
+                best[text, number] = -score, start
+        for (text, number), (score, start) in sorted(best.items()):
+            item = self.items[number]
+            stop = min(start + item.n_words, int(first[text + 1]))
+            seen = fingerprints(hashes, np.array([start]), np.array([stop]))[0]
+            yield text, item, start - int(first[text]), stop - start, int(np.bitwise_count(seen ^ item.print)), -score
 
 
 def covered(ends: np.ndarray, length: int, lowest: int) -> list[tuple[int, int]]:
