@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, decision_list, decontaminate, hilbert_shards, jaccard_join, language_id, license_scan, pseudo_likelihood, quality_rda, warc_chunks
+from . import (
+    bpe_prefix, decision_list, decontaminate, filter_audit, hilbert_shards, jaccard_join, language_id, license_scan, pseudo_likelihood, quality_rda, syncmers, token_alignment, warc_chunks,
+)
 from .durable import workers_find_package
 
 
@@ -71,6 +73,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+def op12_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rda": op1_quality_rda,
@@ -83,8 +98,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_chunks": op8_warc_chunks,
         "op9_license_scan": op9_license_scan,
         "op10_language_id": op10_language_id,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_syncmers": op12_syncmers,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_filter_audit": filter_audit.AUDIT_SQL}
