@@ -530,31 +530,34 @@ def paired_tests_table(spark, sf):
     )
 
 
-_BOOT = """v AS (SELECT CAST(item_id % 2 AS INT) AS g, CAST(item_id % 3 AS INT) AS seed, item_id AS pair_id, length(text)::DOUBLE AS value FROM benchmark), rows_ AS (SELECT *, row_number() OVER (PARTITION BY g, seed ORDER BY pair_id, value) - 1 AS i, count(*) OVER (PARTITION BY g, seed) AS n FROM v),
-sds AS (SELECT g, seed, n, row_number() OVER (PARTITION BY g ORDER BY seed) - 1 AS s, count(*) OVER (PARTITION BY g) AS k FROM (SELECT DISTINCT g, seed, n FROM rows_)),
-slots AS (SELECT g, s AS slot, boot, ('0x' || substr(md5(concat_ws('|', boot, s)), 1, 8))::BIGINT % k AS s FROM sds, (SELECT unnest(range(50)) AS boot)),
-drawn AS (SELECT slots.g AS g, boot, slot, seed, n, unnest(range(n)) AS j FROM slots JOIN sds ON slots.g = sds.g AND slots.s = sds.s),
-means AS (SELECT d.g AS g, boot, slot, avg(value) AS m FROM drawn d JOIN rows_ r ON d.g = r.g AND d.seed = r.seed AND r.i = ('0x' || substr(md5(concat_ws('|', boot, slot, j)), 1, 8))::BIGINT % d.n GROUP BY 1, 2, 3)"""
+_BOOT = "v AS (SELECT CAST(item_id % 2 AS INT) AS g, CAST(item_id % 3 AS INT) AS seed, item_id AS pair_id, length(text)::DOUBLE AS value FROM benchmark)"
 
 
-@query(f"WITH {_BOOT} SELECT g, boot, round(avg(m), 6) AS mean FROM means GROUP BY 1, 2")
+@query(f"WITH {_BOOT}, {bootstrap.draws_sql('v', ['g'], ['seed', 'pair_id'], 1000, 'seed')} SELECT g, boot, round(mean, 6) AS mean FROM draws")
 def hierarchical_bootstrap_draws(spark, sf):
+    """Two-level resamples: 1,000 means of each group."""
     rows = read(spark, sf, "benchmark").selectExpr("cast(item_id % 2 as int) as g", "cast(item_id % 3 as int) as seed", "item_id as pair_id", "cast(char_length(text) as double) as value")
-    return bootstrap.hierarchical_draws(rows, ["g"], 50).select("g", F.col("boot").cast("long").alias("boot"), r6("mean", "mean"))
+    return bootstrap.hierarchical_draws(rows, ["g"], 1000).select("g", F.col("boot").cast("long").alias("boot"), r6("mean", "mean"))
 
 
-@query()
+_TWO_ARMS = f"{_SCORES}, v AS (SELECT model, severity = 5 AS arm, seed, pair_id, value FROM scores WHERE severity IN (1, 5))"
+
+
+@query(f"WITH {_TWO_ARMS}, {bootstrap.draws_sql('v', ['model', 'arm'], ['seed', 'pair_id'], 10_000, 'seed', 'CASE WHEN arm THEN 1 ELSE 2 END')}, g AS (SELECT a.model AS model, a.mean - b.mean AS d FROM draws a JOIN draws b ON a.model = b.model AND a.boot = b.boot AND a.arm AND NOT b.arm) "
+       "SELECT g.model AS model, round(any_value(a.point - b.point), 6) AS point, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi FROM g JOIN draws_points a ON a.model = g.model AND a.arm JOIN draws_points b ON b.model = g.model AND NOT b.arm GROUP BY 1")
 def unpaired_bootstrap_difference(spark, sf):
-    """Values at the highest against the lowest severity, by model: different pairs on both sides."""
+    """Values at the highest against the lowest severity, by model: different pairs on both sides, 10,000 draws."""
     rows = scores(spark, sf).where("severity in (1, 5)").withColumn("arm", F.col("severity") == 5)
-    return bootstrap.unpaired_difference(rows, ["model"])
+    return bootstrap.unpaired_difference(rows, ["model"]).select("model", r6("point", "point"), r6("lo", "lo"), r6("hi", "hi"))
 
 
-@query()
+@query(f"WITH {_ARMS}, v AS (SELECT model, quintile, seed, pair_id, hit AS value FROM i WHERE quintile IS NOT NULL), {bootstrap.draws_sql('v', ['model', 'quintile'], ['seed', 'pair_id'], 10_000, 'seed')} "
+       "SELECT model, quintile, round(any_value(point), 6) AS point, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM draws JOIN draws_points USING (model, quintile) GROUP BY 1, 2")
 def hierarchical_bootstrap_interval(spark, sf):
     """Recall-like indicator by model and damage quintile, 10,000 draws."""
     rows = binning.assign_quintile(measured(spark, sf), ["model"], "damage_image").where("quintile is not null")
-    return bootstrap.hierarchical_interval(rows.select("model", "quintile", "seed", "pair_id", F.col("hit").alias("value")), ["model", "quintile"])
+    found = bootstrap.hierarchical_interval(rows.select("model", "quintile", "seed", "pair_id", F.col("hit").alias("value")), ["model", "quintile"])
+    return found.select("model", "quintile", r6("point", "point"), r6("lo", "lo"), r6("hi", "hi"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) > 30) AS truncated FROM benchmark")

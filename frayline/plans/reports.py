@@ -1,7 +1,8 @@
 """Queries of the experiments and their reports, with the same rows in DuckDB SQL.
 
 Stand-ins: a line item is one measured hit of a (model, seed, pair) under one corruption of
-one side; ``lineitem`` grouped by that key without the model is the damage table.
+one side (its line number, modulo 6, is the severity); ``lineitem`` grouped by that key without
+the model is the damage table.
 """
 
 from __future__ import annotations
@@ -13,21 +14,22 @@ from ..config import IMAGE, TEXT
 from ..functions import vectors
 from ..operators import binning, bootstrap, statistics
 from ..sources import manifest, views
-from .queries import _binned, query, r6, read
+from .queries import _ARMS, _MEASURED, _binned, arms, measured, query, r6, read
 
 _KINDS = "[" + ", ".join(f"'{k}'" for k in (*IMAGE, *TEXT)) + "]"
 _ROWS = f"""hits AS (SELECT l_returnflag AS model, CAST(l_suppkey % 3 AS INT) AS seed, l_partkey AS pair_id, ({_KINDS})[1 + l_orderkey % 6] AS corruption,
-  CASE WHEN l_orderkey % 6 < 3 THEN 'i2t' ELSE 't2i' END AS direction, CAST(l_linenumber - 1 AS INT) AS severity, CASE WHEN l_quantity * (l_linenumber + 2) < 120 THEN 1::DOUBLE ELSE 0::DOUBLE END AS hit FROM lineitem WHERE l_linenumber <= 6),
-dmg AS (SELECT CAST(l_suppkey % 3 AS INT) AS seed, l_partkey AS pair_id, ({_KINDS})[1 + l_orderkey % 6] AS corruption, CAST(l_linenumber - 1 AS INT) AS severity, max(round(l_discount * 100) + l_linenumber) AS damage FROM lineitem WHERE l_linenumber <= 6 GROUP BY ALL),
+  CASE WHEN l_orderkey % 6 < 3 THEN 'i2t' ELSE 't2i' END AS direction, CAST((l_linenumber - 1) % 6 AS INT) AS severity, CASE WHEN l_quantity * (l_linenumber + 2) < 120 THEN 1::DOUBLE ELSE 0::DOUBLE END AS hit, l_orderkey AS item, l_linenumber AS line FROM lineitem),
+dmg AS (SELECT CAST(l_suppkey % 3 AS INT) AS seed, l_partkey AS pair_id, ({_KINDS})[1 + l_orderkey % 6] AS corruption, CAST((l_linenumber - 1) % 6 AS INT) AS severity, max(round(l_discount * 100) + l_linenumber) AS damage FROM lineitem GROUP BY ALL),
 joined AS (SELECT * FROM hits JOIN dmg USING (seed, pair_id, corruption, severity) WHERE severity > 0)"""
 
 
 def _rows(spark, sf) -> DataFrame:
     kind = F.get(F.array(*[F.lit(k) for k in (*IMAGE, *TEXT)]), (F.col("l_orderkey") % 6).cast("int"))
-    return read(spark, sf, "lineitem").where("l_linenumber <= 6").select(
+    return read(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("model"), (F.col("l_suppkey") % 3).cast("int").alias("seed"), F.col("l_partkey").alias("pair_id"), kind.alias("corruption"),
-        F.when(F.col("l_orderkey") % 6 < 3, "i2t").otherwise("t2i").alias("direction"), (F.col("l_linenumber") - 1).cast("int").alias("severity"),
+        F.when(F.col("l_orderkey") % 6 < 3, "i2t").otherwise("t2i").alias("direction"), ((F.col("l_linenumber") - 1) % 6).cast("int").alias("severity"),
         F.when(F.col("l_quantity") * (F.col("l_linenumber") + 2) < 120, 1.0).otherwise(0.0).alias("hit"), (F.round(F.col("l_discount") * 100) + F.col("l_linenumber")).alias("d"),
+        F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("line"),
     )
 
 
@@ -160,37 +162,105 @@ def reliability_by_model(spark, sf):
     return rho.groupBy("model").agg(r6(F.min("rho"), "low"), r6(F.percentile("rho", F.lit(0.5)), "median"), r6(F.avg("rho"), "mean"))
 
 
-_DRAWN = "('0x' || substr(md5(concat_ws('|', {salt}, boot, j)), 1, 8))::BIGINT"
+_LO_HI = lambda draws: f"quantile_cont({draws}, 0.025) AS lo, quantile_cont({draws}, 0.975) AS hi"
 
 
-@query(f"""WITH {_ROWS}, u AS (SELECT model, direction, severity, pair_id, seed, hit, row_number() OVER (PARTITION BY model, direction, severity ORDER BY seed, pair_id, corruption, hit) - 1 AS i, count(*) OVER (PARTITION BY model, direction, severity) AS n FROM hits WHERE pair_id % 50 = 0),
-c AS (SELECT DISTINCT model, direction, severity, n FROM u), d AS (SELECT *, unnest(range(n)) AS j FROM (SELECT *, unnest(range(20)) AS boot FROM c)),
-m AS (SELECT d.model AS model, d.direction AS direction, d.severity AS severity, boot, avg(hit) AS v FROM d JOIN u ON d.model = u.model AND d.direction = u.direction AND d.severity = u.severity AND u.i = {_DRAWN.format(salt="d.direction")} % d.n GROUP BY ALL),
-p AS (SELECT model, direction, severity, avg(hit) AS mean, count(*) AS n FROM u GROUP BY ALL), f AS (SELECT a.model AS model, a.severity AS severity, quantile_cont(a.v - b.v, 0.025) AS lo, quantile_cont(a.v - b.v, 0.975) AS hi FROM m a JOIN m b ON a.model = b.model AND a.severity = b.severity AND a.boot = b.boot AND a.direction = 'i2t' AND b.direction = 't2i' GROUP BY ALL)
-SELECT a.model AS model, a.severity AS severity, a.n AS n_image, b.n AS n_text, round(a.mean - b.mean, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, coalesce(lo > 0, false) AS significant FROM p a JOIN p b ON a.model = b.model AND a.severity = b.severity AND a.direction = 'i2t' AND b.direction = 't2i' LEFT JOIN f ON f.model = a.model AND f.severity = a.severity AND a.n >= 2 AND b.n >= 2""")
+def _matched_sql(source: str, group: list[str], arm: str, one: str, two: str, key: list[str], names: tuple[str, str], n_boot: int = 1000) -> str:
+    """Rows of ``bootstrap.matched_arms`` of a common table, rounded."""
+    g = ", ".join(group)
+    join = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in group)
+    return f"""{bootstrap.draws_sql(source, [*group, arm], key, n_boot, None, f"CASE WHEN {arm} = '{one}' THEN 1 ELSE 2 END")},
+ends AS (SELECT {g}, {arm}, {_LO_HI("mean")} FROM draws GROUP BY ALL),
+gaps AS (SELECT {", ".join(f"a.{c} AS {c}" for c in group)}, {_LO_HI("a.mean - b.mean")} FROM draws a JOIN draws b ON {join("a", "b")} AND a.boot = b.boot AND a.{arm} = '{one}' AND b.{arm} = '{two}' GROUP BY ALL)
+SELECT {", ".join(f"a.{c} AS {c}" for c in group)}, {", ".join(f"{x}.n AS {n}_n, round({x}.point, 6) AS {n}_mean, round(CASE WHEN {x}.n > 1 THEN e{x}.lo END, 6) AS {n}_lo, round(CASE WHEN {x}.n > 1 THEN e{x}.hi END, 6) AS {n}_hi" for x, n in zip("ab", names))},
+  round(a.point - b.point, 6) AS diff, round(CASE WHEN a.n > 1 AND b.n > 1 THEN gaps.lo END, 6) AS lo, round(CASE WHEN a.n > 1 AND b.n > 1 THEN gaps.hi END, 6) AS hi, coalesce(a.n > 1 AND b.n > 1 AND gaps.lo > 0, false) AS significant
+FROM draws_points a JOIN draws_points b ON {join("a", "b")} AND a.{arm} = '{one}' AND b.{arm} = '{two}' JOIN gaps ON {join("a", "gaps")} JOIN ends ea ON {join("a", "ea")} AND ea.{arm} = '{one}' JOIN ends eb ON {join("a", "eb")} AND eb.{arm} = '{two}'"""
+
+
+def _matched(rows: DataFrame, group: list[str], arm: str, one: str, two: str, key: list[str], names: tuple[str, str]) -> DataFrame:
+    found = bootstrap.matched_arms(rows, group, arm, one, two, key)
+    sides = [c for x, n in zip(("one", "two"), names, strict=True) for c in (F.col(f"{x}_n").alias(f"{n}_n"), *[r6(f"{x}_{k}", f"{n}_{k}") for k in ("mean", "lo", "hi")])]
+    return found.select(*group, *sides, r6("diff", "diff"), r6("lo", "lo"), r6("hi", "hi"), "significant")
+
+
+@query(f"WITH {_ROWS}, v AS (SELECT model, severity, direction, item, line, hit AS value FROM hits), {_matched_sql('v', ['model', 'severity'], 'direction', 'i2t', 't2i', ['item', 'line'], ('image', 'text'))}")
 def matched_cells_flat_bootstrap(spark, sf):
-    """Difference of the arms in matched cells with a flat bootstrap interval, and whether it lies above zero."""
-    rows = hits(spark, sf).where("pair_id % 50 = 0").withColumnRenamed("hit", "value")
-    draws = bootstrap.flat_draws(rows, ["model", "direction", "severity"], ["seed", "pair_id", "corruption", "value"], 20, "direction")
-    found = bootstrap.difference_of_draws(rows, draws, ["model", "severity"], "direction", "i2t", "t2i")
-    return found.select("model", "severity", F.col("n_a").alias("n_image"), F.col("n_b").alias("n_text"), r6("diff", "diff"), r6("lo", "lo"), r6("hi", "hi"), "significant")
+    """Both arms of every (model, severity) with flat intervals of 1,000 draws, their difference, and whether it lies above zero."""
+    return _matched(hits(spark, sf).withColumnRenamed("hit", "value"), ["model", "severity"], "direction", "i2t", "t2i", ["item", "line"], ("image", "text"))
+
+
+_BY_ARM = f"{_ARMS}, v AS (SELECT model, quintile, 'image' AS arm, pair_id, severity, value FROM i WHERE quintile IS NOT NULL UNION ALL SELECT model, quintile, 'text', pair_id, severity, value FROM t WHERE quintile IS NOT NULL)"
+_QUINTILE_TEST = _matched_sql("v", ["model", "quintile"], "arm", "image", "text", ["pair_id", "severity"], ("image", "text"))
+
+
+def _quintile_test(spark, sf) -> DataFrame:
+    rows = arms(spark, sf).where("quintile is not null").withColumn("arm", F.when(F.col("arm") == "damage_image", "image").otherwise("text"))
+    return _matched(rows, ["model", "quintile"], "arm", "image", "text", ["pair_id", "severity"], ("image", "text"))
+
+
+@query(f"WITH {_BY_ARM}, {_QUINTILE_TEST}")
+def matched_quintile_interval(spark, sf):
+    """Both arms in each (model, quintile) of their own damage, with intervals, and whether the image side is significantly higher."""
+    return _quintile_test(spark, sf)
+
+
+@query(f"SELECT model, count(*) AS quintiles, count(*) FILTER (WHERE diff > 0) AS image_higher, count(*) FILTER (WHERE significant) AS image_significant, bool_and(diff > 0) AS every_higher, bool_and(significant) AS every_significant FROM (WITH {_BY_ARM}, {_QUINTILE_TEST}) GROUP BY 1")
+def matched_quintile_significance(spark, sf):
+    """In how many matched quintiles of a model the image side is higher, and significantly so."""
+    up = F.col("diff") > 0
+    rows = _quintile_test(spark, sf).groupBy("model")
+    return rows.agg(F.count("*").alias("quintiles"), F.count_if(up).alias("image_higher"), F.count_if("significant").alias("image_significant"), F.bool_and(up).alias("every_higher"), F.bool_and("significant").alias("every_significant"))
 
 
-_PAIRED = """v AS (SELECT CAST(item_id % 3 AS INT) AS seed, item_id AS pair_id, length(text)::DOUBLE AS a, length(text)::DOUBLE / 2 + item_id % 7 AS b FROM benchmark), rows_ AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY pair_id) - 1 AS i, count(*) OVER (PARTITION BY seed) AS n FROM v),
-sds AS (SELECT seed, n, row_number() OVER (ORDER BY seed) - 1 AS s, count(*) OVER () AS k FROM (SELECT DISTINCT seed, n FROM rows_)),
-slots AS (SELECT s AS slot, boot, ('0x' || substr(md5(concat_ws('|', boot, s)), 1, 8))::BIGINT % k AS s FROM sds, (SELECT unnest(range(50)) AS boot)),
-drawn AS (SELECT boot, slot, seed, n, unnest(range(n)) AS j FROM slots JOIN sds ON slots.s = sds.s),
-means AS (SELECT boot, slot, avg(a - b) AS m FROM drawn d JOIN rows_ r ON d.seed = r.seed AND r.i = ('0x' || substr(md5(concat_ws('|', boot, slot, j)), 1, 8))::BIGINT % d.n GROUP BY 1, 2), draws AS (SELECT boot, avg(m) AS d FROM means GROUP BY 1)"""
+_PAIRED = "v AS (SELECT CAST(item_id % 3 AS INT) AS seed, item_id AS pair_id, length(text)::DOUBLE - (length(text)::DOUBLE / 2 + item_id % 7) AS value FROM benchmark)"
 
 
-@query(f"WITH {_PAIRED} SELECT round((SELECT avg(a - b) FROM v), 6) AS diff, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi FROM draws")
+@query(f"WITH {_PAIRED}, {bootstrap.draws_sql('v', [], ['seed', 'pair_id'], 10_000, 'seed')} SELECT round((SELECT point FROM draws_points), 6) AS diff, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM draws")
 def paired_bootstrap_difference(spark, sf):
-    """Both arms resampled by the same seeds and pairs; arms of other keys would raise."""
+    """Both arms resampled by the same seeds and pairs, 10,000 draws; arms of other keys would raise."""
     arm = lambda value: read(spark, sf, "benchmark").selectExpr("cast(item_id % 3 as int) as seed", "item_id as pair_id", f"{value} as value")
-    found = bootstrap.paired_difference(arm("cast(char_length(text) as double)"), arm("char_length(text) / 2D + item_id % 7"), [], 50)
+    found = bootstrap.paired_difference(arm("cast(char_length(text) as double)"), arm("char_length(text) / 2D + item_id % 7"), [])
     return found.select(r6("diff", "diff"), r6("lo", "lo"), r6("hi", "hi"))
 
 
+#: Every row in every cell of the reports that it belongs to.
+_CELLS = f"""{_ROWS}, {_binned("joined", "damage", "b", "direction")}, v AS (SELECT 'quintile' AS report, model, direction, 'Q' || quintile AS cell, seed, item, line, hit AS value FROM b WHERE quintile IS NOT NULL
+UNION ALL SELECT 'clean', model, direction, '', seed, item, line, hit FROM hits WHERE severity = 0 UNION ALL SELECT 'corruption', model, direction, corruption || ' ' || severity, seed, item, line, hit FROM hits WHERE severity IN (1, 5))"""
+_CELL = ["report", "model", "direction", "cell"]
+
+
+@query(f"WITH {_CELLS}, {bootstrap.draws_sql('v', _CELL, ['item', 'line'], 10_000, 'seed')}, q AS (SELECT report, model, direction, cell, {_LO_HI('mean')} FROM draws GROUP BY ALL), m AS (SELECT report, model, direction, cell, seed, avg(value) AS s FROM v GROUP BY ALL), sd AS (SELECT report, model, direction, cell, avg(s) AS seed_mean, coalesce(stddev_samp(s), 0) AS seed_sd FROM m GROUP BY ALL) "
+       "SELECT report, model, direction, cell, n, round(point, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(seed_mean, 6) AS seed_mean, round(seed_sd, 6) AS seed_sd FROM draws_points JOIN q USING (report, model, direction, cell) JOIN sd USING (report, model, direction, cell)")
+def report_intervals(spark, sf):
+    """Every cell of the reports with its hierarchical interval of 10,000 draws and the spread of its seeds, in one aggregation.
+
+    Cells: each damage quintile (edges over all models), the clean items, each corruption at the
+    least and the highest severity, all by model and direction.
+    """
+    rows = hits(spark, sf)
+    binned = binning.assign_quintile(joined(spark, sf), ["direction"], "damage").where("quintile is not null")
+    part = lambda df, report, cell: df.select(F.lit(report).alias("report"), "model", "direction", cell.alias("cell"), "seed", "item", "line", F.col("hit").alias("value"))
+    cells = part(binned, "quintile", F.concat(F.lit("Q"), F.col("quintile").cast("string")))
+    cells = cells.unionByName(part(rows.where("severity = 0"), "clean", F.lit("")))
+    cells = cells.unionByName(part(rows.where("severity in (1, 5)"), "corruption", F.concat_ws(" ", "corruption", F.col("severity").cast("string"))))
+    found = bootstrap.hierarchical_interval(cells, _CELL, key=("item", "line"))
+    seeds = cells.groupBy(*_CELL, "seed").agg(F.avg("value").alias("s"), F.count("*").alias("k"))
+    spread = seeds.groupBy(*_CELL).agg(F.sum("k").alias("n"), F.avg("s").alias("seed_mean"), F.coalesce(F.stddev_samp("s"), F.lit(0.0)).alias("seed_sd"))
+    return found.join(spread, _CELL).select(*_CELL, "n", r6("point", "mean"), r6("lo", "lo"), r6("hi", "hi"), r6("seed_mean", "seed_mean"), r6("seed_sd", "seed_sd"))
+
+
+_METRICS = ("damage_image", "damage_text", "psnr")
+
+
+@query(f"WITH {_MEASURED}, v AS (UNPIVOT (SELECT model, severity, pair_id, damage_image, damage_text, psnr FROM measured) ON damage_image, damage_text, psnr INTO NAME metric VALUE value), {bootstrap.draws_sql('v', ['model', 'severity', 'metric'], ['pair_id', 'severity'], 1000)} "
+       f"SELECT model, severity, metric, any_value(n) AS n, round(any_value(point), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM draws JOIN draws_points USING (model, severity, metric) GROUP BY 1, 2, 3")
+def cell_damage_interval(spark, sf):
+    """Mean damage of every (model, severity) by each ruler with a flat interval of 1,000 draws; the rulers share the draws."""
+    found = bootstrap.replicates(measured(spark, sf), ["model", "severity"], list(_METRICS), ["pair_id", "severity"])
+    made = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("mean"), *bootstrap.bounds(F.col(f"{m}_draws"))) for m in _METRICS])
+    return found.select("model", "severity", "n", F.explode(made).alias("x")).select("model", "severity", "n", "x.metric", r6("x.mean", "mean"), r6("x.lo", "lo"), r6("x.hi", "hi"))
+
+
 _STATES = "st AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, list_transform(range(4), lambda i: CAST((vec_id * (i + 3) + label * i) % 5 AS INT)) AS t FROM embeddings)"
 
 
@@ -234,6 +304,17 @@ def pooling_test(spark, sf):
     )
 
 
+@query(f"WITH {_ROWS}, p AS (SELECT model, seed, pair_id, severity, avg(hit) FILTER (WHERE direction = 'i2t') AS native, avg(hit) FILTER (WHERE direction = 't2i') AS mean FROM hits WHERE severity = 5 GROUP BY ALL HAVING native IS NOT NULL AND mean IS NOT NULL), v AS (SELECT model, seed, pair_id, mean - native AS value FROM p), {bootstrap.draws_sql('v', ['model'], ['seed', 'pair_id'], 1000)}, q AS (SELECT model, {_LO_HI('mean')} FROM draws GROUP BY 1) "
+       "SELECT model, n, round(point, 6) AS diff, round(CASE WHEN n > 1 THEN lo END, 6) AS lo, round(CASE WHEN n > 1 THEN hi END, 6) AS hi, coalesce(n > 1 AND lo > 0, false) AS supports, coalesce(n > 1 AND hi < 0, false) AS rejects FROM draws_points JOIN q USING (model)")
+def pooling_test_interval(spark, sf):
+    """Paired difference of two poolings at severity 5 with its interval, and whether it lies above or below zero."""
+    of = lambda d: F.avg(F.when(F.col("direction") == d, F.col("hit")))
+    pairs = hits(spark, sf).where("severity = 5").groupBy("model", "seed", "pair_id").agg(of("i2t").alias("native"), of("t2i").alias("mean"))
+    found = bootstrap.flat_interval(pairs.withColumn("value", F.col("mean") - F.col("native")), ["model"], ["seed", "pair_id"])
+    above, below = F.coalesce(F.col("lo") > 0, F.lit(False)), F.coalesce(F.col("hi") < 0, F.lit(False))
+    return found.select("model", "n", r6("mean", "diff"), r6("lo", "lo"), r6("hi", "hi"), above.alias("supports"), below.alias("rejects"))
+
+
 _POOL5 = "pool AS (SELECT i, avg(v) AS m FROM (SELECT unnest(embedding)::DOUBLE / greatest(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 7 = 0) GROUP BY 1), centroid AS (SELECT list(m ORDER BY i) AS m FROM pool)"
 _GRID = "SELECT vec_id, si, st, list_transform(embedding, lambda x, i: CASE WHEN i % 6 < si THEN 0::DOUBLE ELSE x::DOUBLE END) AS a, list_transform(other, lambda x, i: CASE WHEN i % 7 < st THEN 0::DOUBLE ELSE x::DOUBLE END) AS b FROM (SELECT a.vec_id AS vec_id, a.embedding AS embedding, b.embedding AS other FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id WHERE a.vec_id % 7 <> 0), (SELECT unnest(range(1, 6)) AS si), (SELECT unnest(range(1, 6)) AS st)"
 
