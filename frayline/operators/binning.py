@@ -6,28 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.corrupt import let
+
 CUTS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
-#: Stretches that the values of a group are cut into when they are ranked.
-STRETCHES = 256
+#: Stretches that the distinct values of a group are cut into when they are ranked; a square, for the two steps of the search.
+STRETCHES, STEP = 256, 16
+#: Ranks of the cuts are within this share of their places.
+ACCURACY = 20_000
+
+
+def _stretch(value: Column, cuts: Column) -> Column:
+    """How many of the cuts (in order) lie below a value: those of every ``STEP``-th first, then those in between."""
+    coarse = F.size(F.filter(cuts, lambda c, i: ((i + 1) % STEP == 0) & (c < value)))
+    fine = lambda n: n * STEP + F.size(F.filter(F.slice(cuts, n * STEP + 1, STEP - 1), lambda c: c < value))
+    return let(coarse, fine).cast("int")
+
+
+def placed(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Counts ``_n`` of the distinct values of each group and the ``_stretch`` that a value lies in; stretches are in order.
+
+    Cuts are approximate quantiles of the distinct values (a sketch of bounded size for each
+    group), so stretches hold about the same number of them wherever the values lie.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    cuts = counts.groupBy(*group).agg(F.percentile_approx(value, [i / STRETCHES for i in range(1, STRETCHES)], ACCURACY).alias("_cuts"))
+    return _joined(counts, cuts, group).select(*group, value, "_n", _stretch(F.col(value), F.col("_cuts")).alias("_stretch"))
 
 
 def counted(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Counts of the distinct values of each group in order: ``_n``, ``_before`` (rows of smaller values) and ``_all``.
 
-    A group is cut into stretches of equal width between its least and largest value; ranks
-    are summed inside a stretch and over stretches, so a large group is many tasks' work.
+    Ranks are summed inside a stretch of values and over stretches, so a large group is many tasks' work.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    ends = counts.groupBy(*group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    width = F.col("_high") - F.col("_low")
-    stretch = F.when(width > 0, F.floor((F.col(value) - F.col("_low")) / width * STRETCHES)).otherwise(0).cast("int").alias("_stretch")
-    placed = _joined(counts, ends, group).select(*group, value, "_n", stretch)
-    sums = placed.groupBy(*group, "_stretch").agg(F.sum("_n").alias("_m"))
+    rows = placed(df, group, value)
+    sums = rows.groupBy(*group, "_stretch").agg(F.sum("_n").alias("_m"))
     whole = Window.partitionBy(*group)
     up_to = whole.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumns({"_start": F.sum("_m").over(up_to) - F.col("_m"), "_all": F.sum("_m").over(whole)}).drop("_m")
     inside = Window.partitionBy(*group, "_stretch").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(sums, [*group, "_stretch"]).withColumn("_before", F.col("_start") + F.sum("_n").over(inside) - F.col("_n"))
+    ranked = rows.join(sums, [*group, "_stretch"]).withColumn("_before", F.col("_start") + F.sum("_n").over(inside) - F.col("_n"))
     return ranked.select(*group, value, "_n", "_before", "_all")
 
 
