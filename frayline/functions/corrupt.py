@@ -23,37 +23,52 @@ def affected(n: Column, fraction: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.least(n, F.rint(fraction * n).cast("int")))).cast("int")
 
 
-def _ranked(key: Column, salt: str, n: Column) -> Column:
-    """Positions 0..n-1 in the order of their hashes."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: inside another function's lambda it would be again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _drawn(key: Column, salt: str, n: Column) -> Column:
+    """A hash for each position 0..n-1, the position behind it: all different, and in the order of the hashes."""
     positions = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    drawn = F.transform(positions, lambda i: F.struct(F.md5(F.concat_ws("|", F.lit(salt), key, i.cast("string"))).alias("h"), i.alias("i")))
-    return F.transform(F.array_sort(drawn), lambda s: s["i"])
+    return F.transform(positions, lambda i: F.struct(F.md5(F.concat_ws("|", F.lit(salt), key, i.cast("string"))).alias("h"), i.alias("i")))
 
 
 def chosen_positions(key: Column, salt: str, n: Column, k: Column) -> Column:
-    return F.slice(_ranked(key, salt, n), 1, F.greatest(k, F.lit(0)))
+    """The k positions of the smallest hashes, in the order of these."""
+    return F.transform(F.slice(F.array_sort(_drawn(key, salt, n)), 1, F.greatest(k, F.lit(0))), lambda s: s["i"])
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once: inside another function's lambda it would be again for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _where_chosen(words: Column, key: Column, salt: str, k: Column, body: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of the words and of a test whether a position is among the k chosen ones: a comparison with the k-th hash, whatever k is."""
+
+    def tested(drawn: Column) -> Column:
+        last = F.when(k > 0, F.get(F.array_sort(drawn), k - 1))
+        return let(last, lambda end: body(words, lambda i: F.coalesce(F.get(drawn, i) <= end, F.lit(False))))
+
+    return let(_drawn(key, salt, F.size(words)), tested)
 
 
 def mask_words(words: Column, key: Column, k: Column) -> Column:
     """Delete k words."""
-    return let(chosen_positions(key, "mask", F.size(words), k), lambda gone: F.filter(words, lambda w, i: ~F.array_contains(gone, i)))
+    return _where_chosen(words, key, "mask", k, lambda w, chosen: F.filter(w, lambda x, i: ~chosen(i)))
 
 
 def shuffle_words(words: Column, key: Column, k: Column) -> Column:
     """Permute the words of k positions, two at least; fewer than two words stay."""
 
     def permuted(spots: Column) -> Column:
-        order = F.transform(spots, lambda p: F.struct(F.md5(F.concat_ws("|", F.lit("permute"), key, p.cast("string"))).alias("h"), p.alias("i")))
-        sources = F.transform(F.array_sort(order), lambda s: s["i"])
-        return let(sources, lambda s: F.transform(words, lambda w, i: F.when(F.array_contains(spots, i), F.get(words, F.get(s, F.array_position(spots, i).cast("int") - 1))).otherwise(w)))
+        order = F.array_sort(F.transform(spots, lambda p: F.struct(F.md5(F.concat_ws("|", F.lit("permute"), key, p.cast("string"))).alias("h"), p.alias("i"))))
+        moved = F.transform(F.arrays_zip(spots.alias("to"), order.alias("source")), lambda z: F.struct(z["to"].alias("i"), F.get(words, z["source"]["i"]).alias("w")))
+        return moved
+
+    def whole(w: Column, chosen: Callable[[Column], Column]) -> Column:
+        placed = F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("w")))
+        stay = F.filter(placed, lambda s: ~chosen(s["i"]))
+        spots = F.transform(F.filter(placed, lambda s: chosen(s["i"])), lambda s: s["i"])
+        return F.transform(F.array_sort(F.concat(stay, let(spots, permuted))), lambda s: s["w"])
 
-    moved = let(F.array_sort(chosen_positions(key, "shuffle", F.size(words), F.greatest(k, F.lit(2)))), permuted)
-    return F.when(F.size(words) < 2, words).otherwise(moved)
+    return F.when(F.size(words) < 2, words).otherwise(_where_chosen(words, key, "shuffle", F.greatest(k, F.lit(2)), whole))
 
 
 def replace_words(words: Column, key: Column, k: Column) -> Column:
@@ -64,8 +79,7 @@ def replace_words(words: Column, key: Column, k: Column) -> Column:
         number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("word"), key, i.cast("string"))), 1, 8), 16, 10).cast("long")
         return F.get(vocabulary, (number % len(VOCABULARY)).cast("int"))
 
-    spots = chosen_positions(key, "replace", F.size(words), k)
-    return let(spots, lambda own: F.transform(words, lambda w, i: F.when(F.array_contains(own, i), pick(i)).otherwise(w)))
+    return _where_chosen(words, key, "replace", k, lambda w, chosen: F.transform(w, lambda x, i: F.when(chosen(i), pick(i)).otherwise(x)))
 
 
 def corrupt_text(kind: str, words: Column, key: Column, level: Column | int) -> Column:

@@ -74,12 +74,17 @@ def _matrix(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, fill: int)
 
 
 def edit_distances(codes: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = 1 << 20) -> np.ndarray:
-    """Levenshtein distances of many pairs of runs of ``codes`` (starts, sizes), a row of all their tables at a time."""
+    """Levenshtein distances of many pairs of runs of ``codes`` (starts, sizes), a row of all their tables at a time.
+
+    Pairs of like length are taken together, as many as have ``cells`` words on either side, or one.
+    """
     out = np.zeros(len(a[0]), dtype=np.int64)
-    order = np.argsort(b[1], kind="stable")
-    at = 0
+    longest = np.maximum(a[1], b[1])
+    order, at = np.argsort(longest, kind="stable"), 0
     while at < len(order):
-        rows = order[at : at + max(1, cells // (int(b[1][order[min(len(order), at + 4096) - 1]]) + 1))][:4096]
+        near = order[at : at + 4096]
+        fits = np.arange(1, len(near) + 1) * (longest[near] + 1) <= cells
+        rows = near[: max(1, int(fits.sum()))]
         at += len(rows)
         x, y = (_matrix(codes, s[rows], n[rows], fill) for (s, n), fill in ((a, -1), (b, -2)))
         spot = np.arange(y.shape[1] + 1)
@@ -147,27 +152,32 @@ def mean_squared_error(a: Column, b: Column) -> Column:
     return total / F.greatest(F.size(a), F.lit(1))
 
 
-def noise(pixels: Column, key: Column, sigma: Column) -> Column:
-    """Add near-Gaussian noise (the sum of four uniform hashes, scaled to unit variance), clip and cut to whole values."""
+def normal(*parts: Column) -> Column:
+    """A standard normal number of a key: the polar transform of two 32-bit halves of its hash, so any engine repeats it; tails reach 6.6."""
+    h = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    one, two = (F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("double") for k in (0, 1))
+    return F.sqrt(-2.0 * F.log((one + 1.0) / 4294967296.0)) * F.cos(2.0 * float(np.pi) * (two / 4294967296.0))
 
-    def drawn(i: Column) -> Column:
-        h = F.md5(F.concat_ws("|", F.lit("noise"), key, i.cast("string")))
-        u = [F.conv(F.substring(h, 1 + 4 * k, 4), 16, 10).cast("double") / 65535 for k in range(4)]
-        return (u[0] + u[1] + u[2] + u[3] - 2) * float(np.sqrt(3.0))
 
-    return F.transform(pixels, lambda p, i: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), p + sigma * drawn(i)))).cast("double"))
+def noise(pixels: Column, key: Column, sigma: Column) -> Column:
+    """Add normal noise to every number, clip and cut to whole values."""
+    return F.transform(pixels, lambda p, i: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), p + sigma * normal(F.lit("noise"), key, i)))).cast("double"))
 
 
-def cutout(pixels: Column, key: Column, side: int, fraction: Column) -> Column:
-    """Blacken one near-square of about ``fraction`` of a side x side grid at a place given by a hash."""
+def cutout(pixels: Column, key: Column, side: int | Column, fraction: Column, channels: int = 1) -> Column:
+    """Blacken one near-square of about ``fraction`` of a side x side picture at a place given by a hash, in all channels."""
+    side = F.lit(side) if isinstance(side, int) else side
     area = F.greatest(F.lit(1), F.floor(fraction * side * side).cast("int"))
-    w = F.least(F.lit(side), F.floor(F.sqrt(area)).cast("int"))
-    h = F.least(F.lit(side), F.floor(area / F.greatest(w, F.lit(1))).cast("int"))
+    w = F.least(side, F.floor(F.sqrt(area)).cast("int"))
+    h = F.least(side, F.floor(area / F.greatest(w, F.lit(1))).cast("int"))
     place = F.md5(F.concat_ws("|", F.lit("cutout"), key))
     number = lambda k: F.conv(F.substring(place, 1 + 8 * k, 8), 16, 10).cast("long")
     left, top = (number(0) % (side - w + 1)).cast("int"), (number(1) % (side - h + 1)).cast("int")
-    x, y = lambda i: i % side, lambda i: F.floor(i / side).cast("int")
-    return F.transform(pixels, lambda p, i: F.when((x(i) >= left) & (x(i) < left + w) & (y(i) >= top) & (y(i) < top + h), F.lit(0.0)).otherwise(p))
+    box = F.struct(left.alias("x"), top.alias("y"), (left + w).alias("right"), (top + h).alias("bottom"))
+    spot = lambda i: F.floor(i / channels).cast("int")
+    x, y = lambda i: spot(i) % side, lambda i: F.floor(spot(i) / side).cast("int")
+    inside = lambda b, i: (x(i) >= b["x"]) & (x(i) < b["right"]) & (y(i) >= b["y"]) & (y(i) < b["bottom"])
+    return let(box, lambda b: F.transform(pixels, lambda p, i: F.when(inside(b, i), F.lit(0.0)).otherwise(p)))
 
 
 def _windows(images: np.ndarray, size: int = 7) -> np.ndarray:
@@ -232,25 +242,32 @@ def _ssim(channels: int):
 ssim, ssim_rgb = _ssim(1), _ssim(3)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def gaussian_blur(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Blurred square one-channel images; the second column is the radius."""
-    for images, radii in pairs:
-        out = np.empty(len(images), dtype=object)
-        for radius in radii.unique():
-            own = np.flatnonzero((radii == radius).to_numpy())
-            for rows, (x,) in _stacks(images.iloc[own]):
-                for row, image in zip(own[rows], blur_of(x, float(radius)), strict=True):
-                    out[row] = image.ravel()
-        yield pd.Series(out)
+def _blur(channels: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for images, radii in pairs:
+            out = np.empty(len(images), dtype=object)
+            for radius in radii.dropna().unique():
+                own = np.flatnonzero((radii == radius).to_numpy())
+                for rows, (x,) in _stacks(images.iloc[own], channels=channels):
+                    for row, image in zip(own[rows], blur_of(x, float(radius)), strict=True):
+                        out[row] = image.ravel()
+            yield pd.Series(out)
+
+    return run
+
+
+#: Blurred square pictures (one channel, or interleaved red, green and blue); the second column is the radius, null for none.
+gaussian_blur, gaussian_blur_rgb = _blur(1), _blur(3)
 
 
-def corrupt_image(kind: str, pixels: Column, key: Column, level: Column, side: int) -> Column:
-    """A corrupted square one-channel image; ``none`` and severity 0 leave it alone, unknown kinds raise."""
+def corrupt_image(kind: str, pixels: Column, key: Column, level: Column, side: int | Column, channels: int = 1) -> Column:
+    """A corrupted square picture of one or three channels; ``none`` and severity 0 leave it alone, unknown kinds raise."""
     if kind == "none":
         return pixels
     if kind not in IMAGE:
         raise KeyError(f"unknown corruption: {kind}")
     share = severity_column(kind, level)
-    made = {"gaussian_noise": lambda: noise(pixels, key, share), "gaussian_blur": lambda: gaussian_blur(pixels, share), "cutout": lambda: cutout(pixels, key, side, share)}[kind]()
+    blur = gaussian_blur if channels == 1 else gaussian_blur_rgb
+    made = {"gaussian_noise": lambda: noise(pixels, key, share), "gaussian_blur": lambda: blur(pixels, share), "cutout": lambda: cutout(pixels, key, side, share, channels)}[kind]()
     return F.when(level == 0, pixels).otherwise(made)

@@ -13,7 +13,7 @@ from ..config import PAIRS_MAIN, SEEDS
 from ..functions import corrupt, damage, vectors
 from ..schema import MEASUREMENTS
 from ..sources import manifest
-from .queries import _BLANKS, _captions, _key, _pictures, query, r6, read
+from .queries import _BLANKS, _PICTURE_IDS, _TEXTS, _captions, _images, _key, _pictures_sql, _text_damage_sql, picture_damage, query, r6, read
 
 DIRECTIONS = ("i2t", "t2i")
 
@@ -127,23 +127,34 @@ def pooling_probe(spark, sf):
     return rows.groupBy("pool").agg(F.count("*").alias("n"), r6(F.avg(vectors.cosine(F.col("v"), F.col("b"))), "sim_match"))
 
 
-def input_damage(captions: DataFrame, pictures: DataFrame) -> DataFrame:
-    """The damage table: ``id, modality, corruption_type, severity`` and the rulers of that side, 1 minus similarity beside them."""
-    key = _key()
+def input_damage(captions: DataFrame, pictures: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """The damage table: ``seed, id, modality, corruption_type, severity``, the rulers of that side, and 1 minus similarity beside them.
+
+    ``captions`` (``id, level, w``) and ``pictures`` (``id, level, px, side``) are corrupted anew for every seed.
+    """
+    seeded = lambda df: df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumns({"own": F.col("id"), "id": F.concat_ws("|", "seed", "id")})
+    key, none = _key(), F.lit(None).cast("double")
     texts = F.array(*[F.struct(F.lit(k).alias("corruption_type"), corrupt.corrupt_text(k, F.col("w"), key, F.col("level")).alias("c")) for k in ("mask", "shuffle", "replace")])
-    rows = captions.select("id", "level", "w", F.explode(texts).alias("x")).select("id", "level", "w", "x.*")
+    rows = seeded(captions).select("seed", "own", "level", "w", F.explode(texts).alias("x")).select("seed", "own", "level", "w", "x.*")
     rows = rows.withColumn("r", damage.text_rulers("w", "c"))
-    none = F.lit(None).cast("double")
-    rows = rows.select("id", F.lit("text").alias("modality"), "corruption_type", F.col("level").alias("severity"), none.alias("ssim"), none.alias("psnr"), r6("r.edit", "norm_edit_distance"), r6("r.bleu", "bleu"))
-    images = pictures.select("id", F.lit("image").alias("modality"), F.col("kind").alias("corruption_type"), F.col("level").alias("severity"), "ssim", "psnr", none.alias("norm_edit_distance"), none.alias("bleu"))
-    both = rows.unionByName(images)
-    return both.withColumns({"damage_ssim": F.round(1 - F.col("ssim"), 6), "damage_bleu": F.round(1 - F.col("bleu"), 6)})
+    rows = rows.select("seed", F.col("own").alias("id"), F.lit("text").alias("modality"), "corruption_type", F.col("level").alias("severity"), none.alias("ssim"), none.alias("psnr"), r6("r.edit", "norm_edit_distance"), r6("r.bleu", "bleu"))
+    seen = picture_damage(seeded(pictures)).withColumn("at", F.split("id", r"\|"))
+    images = seen.select(
+        F.get("at", F.lit(0)).cast("int").alias("seed"), F.get("at", F.lit(1)).cast("long").alias("id"), F.lit("image").alias("modality"), F.col("kind").alias("corruption_type"), F.col("level").alias("severity"),
+        "ssim", "psnr", none.alias("norm_edit_distance"), none.alias("bleu"),
+    )
+    return rows.unionByName(images).withColumns({"damage_ssim": F.round(1 - F.col("ssim"), 6), "damage_bleu": F.round(1 - F.col("bleu"), 6)})
+
+
+_SEEDED = lambda texts: " UNION ALL ".join(f"SELECT '{s}|' || id AS id, text FROM ({texts})" for s in SEEDS)
+_OWN = "split_part(id, '|', 1)::INT AS seed, split_part(id, '|', 2)::BIGINT AS id"
 
 
-@query()
+@query(f"SELECT {_OWN}, 'text' AS modality, kind AS corruption_type, level AS severity, NULL::DOUBLE AS ssim, NULL::DOUBLE AS psnr, edit AS norm_edit_distance, bleu, NULL::DOUBLE AS damage_ssim, damage_bleu FROM ({_text_damage_sql(_SEEDED(_TEXTS))}) "
+       f"UNION ALL SELECT {_OWN}, 'image', kind, level, ssim, psnr, NULL, NULL, round(1 - ssim, 6), NULL FROM (WITH {_pictures_sql(_SEEDED(_PICTURE_IDS))} SELECT * FROM seen)")
 def damage_builder(spark, sf):
-    """All six corruptions of every caption and picture at five severities."""
-    return input_damage(_captions(spark, sf), _pictures(spark, sf))
+    """All six corruptions of every caption and picture at five severities, for every seed."""
+    return input_damage(_captions(spark, sf), _images(spark, sf))
 
 
 _SLICES = " UNION ALL ".join(f"SELECT doc_id, {s} AS seed, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', '{s}', doc_id)), doc_id) - 1 AS rank FROM documents) WHERE rank < 50" for s in SEEDS)

@@ -6,6 +6,7 @@ the damage of (pair, severity), ``embeddings`` the encoded items, ``benchmark``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ..config import IMAGE, SEVERITY
 from ..functions import corrupt, damage, vectors
 from ..operators import binning, bootstrap, statistics
 from ..session import workers_find_package
-from ..sources import manifest
+from ..sources import manifest, pictures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -348,13 +349,21 @@ def layers_of_depths(spark, sf):
     return rows.withColumn("layer", vectors.proportional_layer(F.col("depth"), F.lit(24)))
 
 
-#: Captions: the first 24 words of every document.
+#: Captions: all sentences of the conversations.
 _BLANKS = r"[\s\x{85}\x{1c}-\x{1f}\p{Z}]+"
-_WORDS = f"w AS (SELECT doc_id AS id, list_filter(string_split_regex(text, '{_BLANKS}'), lambda x: x <> '')[1:24] AS w FROM documents), lv AS (SELECT id, w, len(w) AS n, s AS level, CAST(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, least(len(w), round_even(([0.1, 0.2, 0.4, 0.6, 0.8])[s]::DOUBLE * len(w), 0))) END AS INT) AS k FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS s))"
+_TEXTS = f"SELECT (conv_id * 100 + turn) * 1000 + i AS id, text FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '[.!?\\n]+')) AS text, generate_subscripts(string_split_regex(text, '[.!?\\n]+'), 1) - 1 AS i FROM conversations) WHERE len(list_filter(string_split_regex(text, '{_BLANKS}'), lambda x: x <> '')) > 0"
+
+
+def _words_sql(texts: str) -> str:
+    return f"w AS (SELECT id, list_filter(string_split_regex(coalesce(text, ''), '{_BLANKS}'), lambda x: x <> '') AS w FROM ({texts})), lv AS (SELECT id, w, len(w) AS n, s AS level, CAST(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, least(len(w), round_even(([0.1, 0.2, 0.4, 0.6, 0.8])[s]::DOUBLE * len(w), 0))) END AS INT) AS k FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS s))"
+
+
+_WORDS = _words_sql(_TEXTS)
 
 
 def _captions(spark, sf):
-    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.slice(corrupt.words_of(F.col("text")), 1, 24).alias("w"))
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"[.!?\n]+")).alias("i", "text"))
+    rows = rows.select(((F.col("conv_id") * 100 + F.col("turn")) * 1000 + F.col("i")).alias("id"), corrupt.words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     return rows.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(5))))
 
 
@@ -376,49 +385,55 @@ def tokenise_k_for_severity(spark, sf):
     return _captions(spark, sf).select("id", "level", F.size("w").cast("long").alias("n"), corrupt.affected(F.size("w"), share).alias("k"))
 
 
-@query(f"WITH {_WORDS}, {_SPOTS.format(salt='mask')} SELECT lv.id AS id, lv.level AS level, coalesce((SELECT string_agg(lv.w[p.i + 1], ' ' ORDER BY p.i) FROM p WHERE p.id = lv.id AND p.level = lv.level AND p.r > p.k), '') AS text FROM lv")
+_VOCABULARY = "[" + ", ".join(f"'{w}'" for w in corrupt.VOCABULARY) + "]"
+_KINDS_SQL = {
+    "mask": f"{_SPOTS.format(salt='mask')} SELECT lv.id AS id, lv.level AS level, coalesce((SELECT string_agg(lv.w[p.i + 1], ' ' ORDER BY p.i) FROM p WHERE p.id = lv.id AND p.level = lv.level AND p.r > p.k), '') AS text FROM lv",
+    "shuffle": f"{_SPOTS.format(salt='shuffle')}, chosen AS (SELECT *, row_number() OVER (PARTITION BY id, level ORDER BY i) AS a, row_number() OVER (PARTITION BY id, level ORDER BY md5(concat_ws('|', 'permute', id, level, i)), i) AS b FROM p WHERE r <= greatest(k, 2) AND n >= 2), "
+    "moved AS (SELECT x.id AS id, x.level AS level, x.i AS i, y.i AS source FROM chosen x JOIN chosen y ON x.id = y.id AND x.level = y.level AND x.a = y.b) "
+    "SELECT lv.id AS id, lv.level AS level, coalesce((SELECT string_agg(lv.w[coalesce(m.source, p.i) + 1], ' ' ORDER BY p.i) FROM p LEFT JOIN moved m ON m.id = p.id AND m.level = p.level AND m.i = p.i WHERE p.id = lv.id AND p.level = lv.level), '') AS text FROM lv",
+    "replace": f"{_SPOTS.format(salt='replace')} SELECT lv.id AS id, lv.level AS level, coalesce((SELECT string_agg(CASE WHEN p.r <= p.k THEN ({_VOCABULARY})[1 + ('0x' || substr(md5(concat_ws('|', 'word', p.id, p.level, p.i)), 1, 8))::BIGINT % {len(corrupt.VOCABULARY)}] ELSE lv.w[p.i + 1] END, ' ' ORDER BY p.i) FROM p WHERE p.id = lv.id AND p.level = lv.level), '') AS text FROM lv",
+}
+
+
+@query(f"WITH {_WORDS}, {_KINDS_SQL['mask']}")
 def text_mask(spark, sf):
     return _corrupted(spark, sf, "mask").select("id", "level", F.array_join("c", " ").alias("text"))
 
 
-@query(f"WITH {_WORDS}, {_SPOTS.format(salt='shuffle')}, chosen AS (SELECT *, row_number() OVER (PARTITION BY id, level ORDER BY i) AS a, row_number() OVER (PARTITION BY id, level ORDER BY md5(concat_ws('|', 'permute', id, level, i)), i) AS b FROM p WHERE r <= greatest(k, 2) AND n >= 2), "
-       "moved AS (SELECT x.id AS id, x.level AS level, x.i AS i, y.i AS source FROM chosen x JOIN chosen y ON x.id = y.id AND x.level = y.level AND x.a = y.b) "
-       "SELECT lv.id AS id, lv.level AS level, (SELECT string_agg(lv.w[coalesce(m.source, p.i) + 1], ' ' ORDER BY p.i) FROM p LEFT JOIN moved m ON m.id = p.id AND m.level = p.level AND m.i = p.i WHERE p.id = lv.id AND p.level = lv.level) AS text FROM lv")
+@query(f"WITH {_WORDS}, {_KINDS_SQL['shuffle']}")
 def text_shuffle(spark, sf):
     return _corrupted(spark, sf, "shuffle").select("id", "level", F.array_join("c", " ").alias("text"))
 
 
-_VOCABULARY = "[" + ", ".join(f"'{w}'" for w in corrupt.VOCABULARY) + "]"
-
-
-@query(f"WITH {_WORDS}, {_SPOTS.format(salt='replace')} SELECT lv.id AS id, lv.level AS level, (SELECT string_agg(CASE WHEN p.r <= p.k THEN ({_VOCABULARY})[1 + ('0x' || substr(md5(concat_ws('|', 'word', p.id, p.level, p.i)), 1, 8))::BIGINT % {len(corrupt.VOCABULARY)}] ELSE lv.w[p.i + 1] END, ' ' ORDER BY p.i) FROM p WHERE p.id = lv.id AND p.level = lv.level) AS text FROM lv")
+@query(f"WITH {_WORDS}, {_KINDS_SQL['replace']}")
 def text_replace(spark, sf):
     return _corrupted(spark, sf, "replace").select("id", "level", F.array_join("c", " ").alias("text"))
 
 
-def _corrupted_sql(kind: str) -> str:
-    """Rows ``id, level, kind, text`` of a corruption, from the SQL of its own query."""
-    return f"SELECT id, level, '{kind}' AS kind, text FROM ({SQL['text_' + kind]})"
+def _corrupted_sql(kind: str, texts: str) -> str:
+    """Rows ``id, level, kind, text`` of a corruption."""
+    return f"SELECT id, level, '{kind}' AS kind, text FROM (WITH {_words_sql(texts)}, {_KINDS_SQL[kind]})"
 
 
-def _matches_sql(n: int) -> str:
-    grams = lambda x: f"list_transform(range(1, greatest(len({x}) - {n - 1}, 0) + 1), lambda i: array_to_string({x}[i : i + {n - 1}], chr(1)))"
-    h, r = grams("c"), grams("w")
-    return f"coalesce(list_sum(list_transform(list_distinct({h}), lambda g: least(len(list_filter({h}, lambda x: x = g)), len(list_filter({r}, lambda x: x = g))))), 0)::BIGINT AS m{n}"
+def _grams_sql(words: str) -> str:
+    return f"unnest(list_transform(range(1, greatest(len({words}) - n + 1, 0) + 1), lambda i: array_to_string({words}[i : i + n - 1], chr(1)))) AS g"
 
 
-_TEXT_DAMAGE = f"""WITH corrupted AS ({" UNION ALL ".join(map(_corrupted_sql, ("mask", "shuffle", "replace")))}),
-own AS (SELECT doc_id AS id, list_filter(string_split_regex(text, '{_BLANKS}'), lambda x: x <> '')[1:24] AS w FROM documents),
+def _text_damage_sql(texts: str) -> str:
+    return f"""WITH corrupted AS ({" UNION ALL ".join(_corrupted_sql(k, texts) for k in ("mask", "shuffle", "replace"))}),
+own AS (SELECT id, list_filter(string_split_regex(coalesce(text, ''), '{_BLANKS}'), lambda x: x <> '') AS w FROM ({texts})),
 both_ AS (SELECT id, level, kind, w, list_filter(string_split(text, ' '), lambda x: x <> '') AS c FROM corrupted JOIN own USING (id)),
 known AS (SELECT *, list_distinct(list_concat(w, c)) AS k FROM both_),
-coded AS (SELECT *, array_to_string(list_transform(w, lambda x: chr(32 + list_position(k, x)::INT)), '') AS cw, array_to_string(list_transform(c, lambda x: chr(32 + list_position(k, x)::INT)), '') AS cc FROM known),
-matched AS (SELECT id, level, kind, len(c) AS h, len(w) AS r, levenshtein(cw, cc) AS e, {", ".join(_matches_sql(n) for n in range(1, 5))} FROM coded),
+coded AS (SELECT *, array_to_string(list_transform(w, lambda x: chr(list_position(k, x)::INT)), '') AS cw, array_to_string(list_transform(c, lambda x: chr(list_position(k, x)::INT)), '') AS cc FROM known),
+sizes AS (SELECT unnest([1, 2, 3, 4]) AS n), hyp AS (SELECT id, level, kind, n, g, count(*) AS x FROM (SELECT id, level, kind, n, {_grams_sql("c")} FROM both_, sizes) GROUP BY ALL), ref AS (SELECT id, n, g, count(*) AS y FROM (SELECT id, n, {_grams_sql("w")} FROM own, sizes) GROUP BY ALL),
+common AS (SELECT id, level, kind, {", ".join(f"coalesce(sum(least(x, y)) FILTER (WHERE n = {n}), 0) AS m{n}" for n in range(1, 5))} FROM hyp JOIN ref USING (id, n, g) GROUP BY ALL),
+matched AS (SELECT id, level, kind, len(c) AS h, len(w) AS r, levenshtein(cw, cc) AS e, {", ".join(f"coalesce(m{n}, 0) AS m{n}" for n in range(1, 5))} FROM coded LEFT JOIN common USING (id, level, kind)),
 scored AS (SELECT id, level, kind, CASE WHEN greatest(h, r) = 0 THEN 0 ELSE e / greatest(h, r)::DOUBLE END AS edit, CASE WHEN h = 0 AND r = 0 THEN 1 WHEN h = 0 OR m1 = 0 THEN 0 ELSE
   CASE WHEN h > r THEN 1 ELSE exp(1 - r / h::DOUBLE) END * exp(({" + ".join(f"ln(CASE WHEN m{n} = 0 THEN 0.1::DOUBLE ELSE m{n}::DOUBLE END / greatest(1, h - {n - 1}))" for n in range(1, 5))}) / 4) END AS bleu FROM matched)
 SELECT id, level, kind, round(edit, 6) AS edit, round(bleu, 6) AS bleu, round(1 - round(bleu, 6), 6) AS damage_bleu FROM scored"""
 
 
-@query(_TEXT_DAMAGE)
+@query(_text_damage_sql(_TEXTS))
 def text_damage(spark, sf):
     """Edit distance and BLEU of every corrupted caption."""
     rows, kinds = _captions(spark, sf), ("mask", "shuffle", "replace")
@@ -428,38 +443,84 @@ def text_damage(spark, sf):
     return rows.withColumn("damage_bleu", F.round(1 - F.col("bleu"), 6))
 
 
+#: Pictures: the bytes of the benchmark's texts as red, green and blue, in squares of 8 pixels a side at least; black behind the end.
+_PICTURE_IDS = "SELECT item_id AS id, text FROM benchmark"
+
+
+def picture_of(text: Column) -> list[Column]:
+    """``px`` (interleaved red, green and blue) and ``side`` of a text's bytes as a square picture."""
+    data = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    side = F.greatest(F.lit(8), F.ceil(F.sqrt(F.octet_length(data) / 3.0)).cast("int"))
+    numbers = F.transform(F.sequence(F.lit(0), side * side * 3 - 1), lambda i: F.when(i < F.octet_length(data), pictures.byte_at(data, i)).otherwise(0.0))
+    return [numbers.alias("px"), side.alias("side")]
+
+
 def _images(spark, sf):
-    """A small square image for each caption, from hashes."""
-    pixel = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("px"), F.col("id").cast("string"), i.cast("string"))), 1, 2), 16, 10).cast("double")
-    rows = read(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
-    rows = rows.withColumn("px", F.transform(F.sequence(F.lit(0), F.lit(255)), pixel))
+    rows = read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), *picture_of(F.col("text")))
     return rows.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(5))))
 
 
-_PIXELS = "px AS (SELECT item_id AS id, i, ('0x' || substr(md5(concat_ws('|', 'px', item_id, i)), 1, 2))::BIGINT::DOUBLE AS p FROM benchmark, (SELECT unnest(range(256)) AS i)), lvl AS (SELECT unnest([1, 2, 3, 4, 5]) AS level)"
-_U = " + ".join(f"('0x' || substr(h, {1 + 4 * k}, 4))::BIGINT / 65535.0::DOUBLE" for k in range(4))
+def _kernel_sql() -> str:
+    rows = []
+    for level, radius in enumerate(SEVERITY["gaussian_blur"], 1):
+        reach = max(1, math.ceil(3 * radius))
+        weights = [math.exp(-0.5 * (d / radius) ** 2) for d in range(-reach, reach + 1)]
+        rows += [f"({level}, {d}, {w / sum(weights)!r}::DOUBLE)" for d, w in zip(range(-reach, reach + 1), weights, strict=True)]
+    return f"kernel AS (SELECT * FROM (VALUES {', '.join(rows)}) AS t(level, d, w))"
+
+
+def _pixels_sql(texts: str) -> str:
+    """``px``: ``id, side, i, x, y, ch, p`` of every number of every picture, and ``lvl``."""
+    return f"""pic AS (SELECT id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM ({texts})), sized AS (SELECT *, greatest(8, ceil(sqrt(n / 3.0::DOUBLE))::INT) AS side FROM pic),
+px AS (SELECT id, side, i, (i // 3) % side AS x, i // 3 // side AS y, i % 3 AS ch, CASE WHEN i < n THEN ('0x' || substr(h, 2 * i + 1, 2))::BIGINT::DOUBLE ELSE 0 END AS p FROM (SELECT *, unnest(range((side * side * 3)::BIGINT)) AS i FROM sized)), lvl AS (SELECT unnest([1, 2, 3, 4, 5]) AS level)"""
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join(map(repr, values)) + "]"
+
+
+def _pictures_sql(texts: str) -> str:
+    """Common tables up to ``seen``: ``id, level, kind, ssim, psnr``."""
+    number = lambda k: f"('0x' || substr(m, {1 + 8 * k}, 8))::BIGINT"
+    clamp = lambda c: f"greatest(0, least(t.side - 1, t.{c} + k.d))"
+    return f"""{_pixels_sql(texts)}, {_kernel_sql()},
+drawn AS (SELECT id, level, i, side, x, y, ch, p, md5(concat_ws('|', 'noise', id, level, i)) AS m FROM px, lvl),
+noisy AS (SELECT id, level, 'gaussian_noise' AS kind, side, x, y, ch, p, floor(greatest(0, least(255, p + ({_list_sql(SEVERITY["gaussian_noise"])})[level]::DOUBLE * (sqrt(-2 * ln(({number(0)} + 1) / 4294967296::DOUBLE)) * cos(2 * pi() * ({number(1)} / 4294967296::DOUBLE)))))) AS c FROM drawn),
+area AS (SELECT id, level, side, greatest(1, floor(({_list_sql(SEVERITY["cutout"])})[level]::DOUBLE * side * side)::INT) AS area, md5(concat_ws('|', 'cutout', id, level)) AS m FROM sized, lvl),
+wide AS (SELECT *, least(side, floor(sqrt(area::DOUBLE))::INT) AS bw FROM area), box AS (SELECT *, least(side, area // greatest(bw, 1)) AS bh FROM wide),
+hole AS (SELECT id, level, bw, bh, {number(0)} % (side - bw + 1) AS bx, {number(1)} % (side - bh + 1) AS top FROM box),
+cut AS (SELECT px.id AS id, level, 'cutout' AS kind, side, x, y, ch, p, CASE WHEN x >= bx AND x < bx + bw AND y >= top AND y < top + bh THEN 0::DOUBLE ELSE p END AS c FROM px JOIN hole ON px.id = hole.id),
+down AS (SELECT t.id AS id, k.level AS level, t.side AS side, t.x AS x, t.y AS y, t.ch AS ch, any_value(t.p) AS p, sum(k.w * s.p) AS v FROM px t, kernel k, px s WHERE s.id = t.id AND s.x = t.x AND s.ch = t.ch AND s.y = {clamp("y")} GROUP BY ALL),
+across AS (SELECT t.id AS id, t.level AS level, 'gaussian_blur' AS kind, t.side AS side, t.x AS x, t.y AS y, t.ch AS ch, any_value(t.p) AS p, round_even(sum(k.w * s.v), 0) AS c FROM down t, kernel k, down s WHERE k.level = t.level AND s.id = t.id AND s.level = t.level AND s.y = t.y AND s.ch = t.ch AND s.x = {clamp("x")} GROUP BY ALL),
+made AS (SELECT * FROM noisy UNION ALL BY NAME SELECT * FROM cut UNION ALL BY NAME SELECT * FROM across),
+far AS (SELECT id, level, kind, avg((p - c) * (p - c)) AS mse FROM made GROUP BY ALL),
+spread AS (SELECT *, unnest(range(greatest(0, y - 6), least(side - 7, y) + 1)) AS wy FROM (SELECT *, unnest(range(greatest(0, x - 6), least(side - 7, x) + 1)) AS wx FROM made)),
+win AS (SELECT id, level, kind, ch, wx, wy, avg(p) AS ma, avg(c) AS mb, avg(p * p) AS aa, avg(c * c) AS bb, avg(p * c) AS ab FROM spread GROUP BY ALL),
+alike AS (SELECT id, level, kind, avg((2 * ma * mb + 6.5025::DOUBLE) * (2 * 49 / 48::DOUBLE * (ab - ma * mb) + 58.5225::DOUBLE) / ((ma * ma + mb * mb + 6.5025::DOUBLE) * (49 / 48::DOUBLE * (aa - ma * ma) + 49 / 48::DOUBLE * (bb - mb * mb) + 58.5225::DOUBLE))) AS ssim FROM win GROUP BY ALL),
+seen AS (SELECT id, level, kind, round(ssim, 6) AS ssim, round(CASE WHEN mse <= 1e-12 THEN 60 ELSE least(60, 20 * log10(255::DOUBLE) - 10 * log10(mse)) END, 4) AS psnr, mse FROM far JOIN alike USING (id, level, kind))"""
 
 
-@query(f"WITH {_PIXELS}, d AS (SELECT id, level, p, ([8, 16, 24, 40, 64])[level]::DOUBLE AS sigma, md5(concat_ws('|', 'noise', id, level, i)) AS h FROM px, lvl), e AS (SELECT id, level, p, floor(greatest(0, least(255, p + sigma * ({_U} - 2) * sqrt(3::DOUBLE)))) AS c FROM d), m AS (SELECT id, level, sum((p - c) * (p - c)) / 256 AS mse FROM e GROUP BY 1, 2) SELECT id, level, round(mse, 4) AS mse, round(CASE WHEN mse <= 1e-12 THEN 60 ELSE least(60, 20 * log10(255::DOUBLE) - 10 * log10(mse)) END, 4) AS psnr FROM m")
+@query(f"WITH {_pictures_sql(_PICTURE_IDS)} SELECT id, level, round(mse, 4) AS mse, psnr FROM seen WHERE kind = 'gaussian_noise'")
 def image_psnr(spark, sf):
     sigma = F.get(F.array(*[F.lit(v) for v in SEVERITY["gaussian_noise"]]), F.col("level") - 1)
     rows = _images(spark, sf).withColumn("mse", damage.mean_squared_error(F.col("px"), damage.noise(F.col("px"), _key(), sigma)))
     return rows.select("id", "level", r6("mse", "mse", 4), r6(damage.psnr(F.col("mse")), "psnr", 4))
 
 
-def _pictures(spark, sf) -> DataFrame:
-    """``id, level, kind, ssim, psnr`` of noisy, blurred and cut images."""
-    rows, out = _images(spark, sf), None
+def picture_damage(rows: DataFrame) -> DataFrame:
+    """``id, level, kind, ssim, psnr`` of noisy, blurred and cut pictures (``id, px, side, level``)."""
+    out = None
     for kind in IMAGE:
-        part = rows.withColumn("c", damage.corrupt_image(kind, F.col("px"), _key(), F.col("level"), 16)).select("id", "level", F.lit(kind).alias("kind"), r6(damage.ssim("px", "c"), "ssim"), r6(damage.psnr(damage.mean_squared_error(F.col("px"), F.col("c"))), "psnr", 4))
+        made = rows.withColumn("c", damage.corrupt_image(kind, F.col("px"), _key(), F.col("level"), F.col("side"), 3))
+        part = made.select("id", "level", F.lit(kind).alias("kind"), r6(damage.ssim_rgb("px", "c"), "ssim"), r6(damage.psnr(damage.mean_squared_error(F.col("px"), F.col("c"))), "psnr", 4))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query()
+@query(f"WITH {_pictures_sql(_PICTURE_IDS)} SELECT id, level, kind, ssim, psnr, round(1 - ssim, 6) AS damage_ssim FROM seen")
 def image_damage(spark, sf):
-    """SSIM and PSNR of noisy, blurred and cut images."""
-    return _pictures(spark, sf).withColumn("damage_ssim", F.round(1 - F.col("ssim"), 6))
+    """SSIM and PSNR of noisy, blurred and cut RGB pictures."""
+    return picture_damage(_images(spark, sf)).withColumn("damage_ssim", F.round(1 - F.col("ssim"), 6))
 
 
 _CELLS = "cells AS (SELECT l_returnflag || l_linestatus || CAST(year(l_shipdate) AS VARCHAR) AS cell, CAST(l_partkey % 3 AS INT) AS seed, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2), both_ AS (SELECT a.cell AS cell, a.seed AS seed_a, b.seed AS seed_b, a.v AS x, b.v AS y FROM cells a JOIN cells b ON a.cell = b.cell AND a.seed < b.seed), rk AS (SELECT *, rank() OVER (PARTITION BY seed_a, seed_b ORDER BY x) + (count(*) OVER (PARTITION BY seed_a, seed_b, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY seed_a, seed_b ORDER BY y) + (count(*) OVER (PARTITION BY seed_a, seed_b, y) - 1) / 2.0::DOUBLE AS ry FROM both_), rho AS (SELECT seed_a, seed_b, count(*) AS n, corr(rx, ry) AS rho FROM rk GROUP BY 1, 2)"
