@@ -39,7 +39,7 @@ def chosen_positions(key: Column, salt: str, n: Column, k: Column) -> Column:
     return F.transform(F.slice(F.array_sort(_drawn(key, salt, n)), 1, F.greatest(k, F.lit(0))), lambda s: s["i"])
 
 
-def _where_chosen(words: Column, key: Column, salt: str, k: Column, body: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+def where_chosen(words: Column, key: Column, salt: str, k: Column, body: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
     """``body`` of the words and of a test whether a position is among the k chosen ones: a comparison with the k-th hash, whatever k is."""
 
     def tested(drawn: Column) -> Column:
@@ -51,7 +51,7 @@ def _where_chosen(words: Column, key: Column, salt: str, k: Column, body: Callab
 
 def mask_words(words: Column, key: Column, k: Column) -> Column:
     """Delete k words."""
-    return _where_chosen(words, key, "mask", k, lambda w, chosen: F.filter(w, lambda x, i: ~chosen(i)))
+    return where_chosen(words, key, "mask", k, lambda w, chosen: F.filter(w, lambda x, i: ~chosen(i)))
 
 
 def shuffle_words(words: Column, key: Column, k: Column) -> Column:
@@ -68,7 +68,7 @@ def shuffle_words(words: Column, key: Column, k: Column) -> Column:
         spots = F.transform(F.filter(placed, lambda s: chosen(s["i"])), lambda s: s["i"])
         return F.transform(F.array_sort(F.concat(stay, let(spots, permuted))), lambda s: s["w"])
 
-    return F.when(F.size(words) < 2, words).otherwise(_where_chosen(words, key, "shuffle", F.greatest(k, F.lit(2)), whole))
+    return F.when(F.size(words) < 2, words).otherwise(where_chosen(words, key, "shuffle", F.greatest(k, F.lit(2)), whole))
 
 
 def replace_words(words: Column, key: Column, k: Column) -> Column:
@@ -79,7 +79,7 @@ def replace_words(words: Column, key: Column, k: Column) -> Column:
         number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("word"), key, i.cast("string"))), 1, 8), 16, 10).cast("long")
         return F.get(vocabulary, (number % len(VOCABULARY)).cast("int"))
 
-    return _where_chosen(words, key, "replace", k, lambda w, chosen: F.transform(w, lambda x, i: F.when(chosen(i), pick(i)).otherwise(x)))
+    return where_chosen(words, key, "replace", k, lambda w, chosen: F.transform(w, lambda x, i: F.when(chosen(i), pick(i)).otherwise(x)))
 
 
 def corrupt_text(kind: str, words: Column, key: Column, level: Column | int) -> Column:

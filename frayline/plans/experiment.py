@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import PAIRS_MAIN, SEEDS
+from ..config import IMAGE, PAIRS_MAIN, SEEDS, TEXT
 from ..functions import corrupt, damage, vectors
+from ..operators import statistics
 from ..schema import MEASUREMENTS
 from ..sources import manifest
 from .queries import _BLANKS, _PICTURE_IDS, _TEXTS, _captions, _images, _key, _pictures_sql, _text_damage_sql, picture_damage, query, r6, read
@@ -170,3 +171,75 @@ def experiment_plan(spark, sf):
 def words_of_documents(spark, sf):
     """Words between blanks of any kind."""
     return read(spark, sf, "documents").where("text is not null").select("doc_id", F.size(corrupt.words_of(F.col("text"))).cast("long").alias("n"))
+
+
+#: Both sides as queries under the three corruptions of their side at five severities, against the clean vectors of the other side.
+_STACKED = f"""side AS (SELECT CASE WHEN vec_id % 2 = 1 THEN 'i2t' ELSE 't2i' END AS direction, vec_id // 2 AS id, embedding::DOUBLE[] AS v FROM embeddings),
+pr AS (SELECT a.direction AS direction, a.id AS id, a.v AS v, b.v AS own FROM side a JOIN side b ON a.id = b.id AND a.direction <> b.direction),
+el AS (SELECT direction, id, severity, i, v[i + 1] AS x, v, len(v) AS n FROM (SELECT *, unnest(range(len(v))) AS i FROM pr), (SELECT unnest(range(1, 6)) AS severity)),
+noise AS (SELECT direction, id, severity, 'gaussian_noise' AS corruption, i, x + ([8, 16, 24, 40, 64])[severity]::DOUBLE / 64 * (sqrt(-2 * ln((('0x' || substr(m, 1, 8))::BIGINT + 1) / 4294967296::DOUBLE)) * cos(2 * pi() * (('0x' || substr(m, 9, 8))::BIGINT / 4294967296::DOUBLE))) AS x FROM (SELECT *, md5(concat_ws('|', 'noise', id, severity, i)) AS m FROM el) WHERE direction = 'i2t'),
+blur AS (SELECT direction, id, severity, 'gaussian_blur' AS corruption, i, list_sum(list_transform(range(-r, r + 1), lambda d: v[greatest(0, least(n - 1, i + d)) + 1])) / (2 * r + 1) AS x FROM (SELECT *, ([1, 1, 2, 4, 5])[severity] AS r FROM el) WHERE direction = 'i2t'),
+cut AS (SELECT direction, id, severity, 'cutout' AS corruption, i, CASE WHEN i >= spot AND i < spot + wide THEN 0::DOUBLE ELSE x END AS x FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', 'cutout', id, severity)), 1, 8))::BIGINT % (n - wide + 1) AS spot FROM (SELECT *, greatest(1, floor(([0.05, 0.10, 0.20, 0.35, 0.50])[severity]::DOUBLE * n)::INT) AS wide FROM el)) WHERE direction = 'i2t'),
+te AS (SELECT *, greatest(1, least(n, round_even(([0.1, 0.2, 0.4, 0.6, 0.8])[severity]::DOUBLE * n, 0))) AS k FROM el WHERE direction = 't2i'),
+tr AS (SELECT *, {", ".join(f"row_number() OVER (PARTITION BY id, severity ORDER BY md5(concat_ws('|', '{s}', id, severity, i)), i) AS r_{s}" for s in ("mask", "shuffle", "replace"))} FROM te),
+mask AS (SELECT direction, id, severity, 'mask' AS corruption, i, CASE WHEN r_mask <= k THEN 0::DOUBLE ELSE x END AS x FROM tr),
+swapped AS (SELECT id, severity, i, x, row_number() OVER (PARTITION BY id, severity ORDER BY i) AS a, row_number() OVER (PARTITION BY id, severity ORDER BY md5(concat_ws('|', 'permute', id, severity, i)), i) AS b FROM tr WHERE r_shuffle <= greatest(k, 2)),
+shuffled AS (SELECT t.direction AS direction, t.id AS id, t.severity AS severity, 'shuffle' AS corruption, t.i AS i, coalesce(m.x, t.x) AS x FROM tr t LEFT JOIN (SELECT a.id AS id, a.severity AS severity, a.i AS i, b.x AS x FROM swapped a JOIN swapped b ON a.id = b.id AND a.severity = b.severity AND a.a = b.b) m ON m.id = t.id AND m.severity = t.severity AND m.i = t.i),
+replaced AS (SELECT direction, id, severity, 'replace' AS corruption, i, CASE WHEN r_replace <= k THEN ('0x' || substr(md5(concat_ws('|', 'word', id, severity, i)), 1, 8))::BIGINT / 2147483648::DOUBLE - 1 ELSE x END AS x FROM tr),
+changed AS ({" UNION ALL ".join(f"SELECT * FROM {t}" for t in ("noise", "blur", "cut", "mask", "shuffled", "replaced"))}),
+q AS (SELECT direction, id, severity, corruption, list(x ORDER BY i) AS v FROM changed GROUP BY ALL),
+qq AS (SELECT q.*, pr.own AS own, list_cosine_similarity(q.v, pr.own) AS s FROM q JOIN pr USING (direction, id))"""
+
+
+def _stacked(spark, sf) -> DataFrame:
+    """``direction, id, severity, corruption, vector, own``: both sides as queries, all versions in one table."""
+    images, texts = (x.withColumn("vector", F.transform("vector", lambda v: v.cast("double"))) for x in _sides(spark, sf))
+    out = None
+    for name, queries, other, kinds in (("i2t", images, texts, IMAGE), ("t2i", texts, images, TEXT)):
+        rows = vectors.stacked(queries.withColumn("direction", F.lit(name)), kinds).join(other.withColumnRenamed("vector", "own"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"WITH {_STACKED}, r AS (SELECT qq.direction AS direction, corruption, severity, qq.id AS id, count(*) FILTER (WHERE list_cosine_similarity(qq.v, c.v) > qq.s + 1e-12) AS better FROM qq JOIN side c ON c.direction <> qq.direction GROUP BY ALL) "
+       "SELECT direction, corruption, severity, id AS pair_id, 'recall_at_' || k AS metric, CASE WHEN better < k THEN 1::DOUBLE ELSE 0::DOUBLE END AS value FROM r, (SELECT unnest([1, 5, 10]) AS k)")
+def retrieval_conditions(spark, sf):
+    """Hits of every pair under six corruptions at five severities, each side against the clean other one; all versions of a side in one pass."""
+    images, texts = _sides(spark, sf)
+    rows, out = _stacked(spark, sf), None
+    for name, candidates in (("i2t", texts), ("t2i", images)):
+        found = vectors.better_candidates(rows.where(F.col("direction") == name), candidates.select(F.transform("vector", lambda v: v.cast("double")).alias("vector")))
+        out = found if out is None else out.unionByName(found)
+    hit = lambda k: (F.col("better") < k).cast("double").alias(f"recall_at_{k}")
+    wide = out.select("direction", "corruption", "severity", F.col("id").alias("pair_id"), *[hit(k) for k in (1, 5, 10)])
+    return wide.unpivot(["direction", "corruption", "severity", "pair_id"], [f"recall_at_{k}" for k in (1, 5, 10)], "metric", "value")
+
+
+@query(f"WITH {_STACKED}, centre AS (SELECT direction, list(m ORDER BY i) AS m FROM (SELECT direction, i, avg(x) AS m FROM (SELECT direction, unnest(v) / greatest(sqrt(list_inner_product(v, v)), 1e-12) AS x, generate_subscripts(v, 1) AS i FROM side) GROUP BY ALL) GROUP BY 1), "
+       "m AS (SELECT qq.direction AS direction, corruption, severity, id AS pair_id, s AS sim_match, list_inner_product(v, c.m) / greatest(sqrt(list_inner_product(v, v)), 1e-12) AS sim_mismatch FROM qq JOIN centre c ON c.direction <> qq.direction), "
+       "w AS (SELECT direction, corruption, severity, pair_id, round(sim_match, 6) AS sim_match, round(sim_mismatch, 6) AS sim_mismatch, round(sim_match - sim_mismatch, 6) AS margin FROM m) UNPIVOT w ON sim_match, sim_mismatch, margin INTO NAME metric VALUE value")
+def retention_conditions(spark, sf):
+    """Match retention of every pair under the same conditions: cosine with the match, mean cosine with the other side, and the margin."""
+    rows, out = _stacked(spark, sf), None
+    images, texts = _sides(spark, sf)
+    for name, other in (("i2t", texts), ("t2i", images)):
+        pool = vectors.mean_vector(other.select(vectors.normalise(F.col("vector")).alias("p")), [], "p")
+        found = vectors.retention(rows.where(F.col("direction") == name), pool, "vector", "own", "p")
+        out = found if out is None else out.unionByName(found)
+    metrics = ["sim_match", "sim_mismatch", "margin"]
+    wide = out.select("direction", "corruption", "severity", F.col("id").alias("pair_id"), *[r6(c, c) for c in metrics])
+    return wide.unpivot(["direction", "corruption", "severity", "pair_id"], metrics, "metric", "value")
+
+
+_SCORED = "t AS (SELECT CAST(l_suppkey % 3 AS INT) AS seed, l_returnflag AS model, CAST(l_linenumber AS INT) AS severity, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL), j AS (SELECT a.seed AS seed_a, b.seed AS seed_b, a.v AS x, b.v AS y FROM t a JOIN t b ON a.model = b.model AND a.severity = b.severity AND a.seed < b.seed)"
+_RANKED = "k AS (SELECT *, " + ", ".join(f"rank() OVER (PARTITION BY seed_a, seed_b ORDER BY {c}) + (count(*) OVER (PARTITION BY seed_a, seed_b, {c}) - 1) / 2.0::DOUBLE AS r{c}" for c in "xy") + " FROM j), r AS (SELECT seed_a, seed_b, count(*) AS n, corr(rx, ry) AS rho FROM k GROUP BY ALL)"
+#: The p-value is the t distribution's tail: Simpson's rule over the angle, 2,000 steps.
+_TAIL = "u AS (SELECT *, atan(abs(rho) * sqrt((n - 2) / nullif(1 - rho * rho, 0)) / sqrt((n - 2)::DOUBLE)) AS top FROM r), p AS (SELECT seed_a, seed_b, n, rho, 1 - (top / 2000 / 3) * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(top * i / 2000), n - 3))) / (0.5 * exp(lgamma(0.5) + lgamma((n - 2) / 2.0::DOUBLE) - lgamma((n - 1) / 2.0::DOUBLE))) AS p FROM u)"
+
+
+@query(f"WITH {_SCORED}, {_RANKED}, {_TAIL} SELECT seed_a, seed_b, n AS n_cells, round(rho, 6) AS rho, round(CASE WHEN n < 3 THEN NULL ELSE p END, 6) AS p FROM p")
+def reliability_with_p(spark, sf):
+    """Rank correlation of the cell means of every two seeds, with its two-sided p-value."""
+    cells = read(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 3).cast("int").alias("seed"), F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("severity")).agg(F.avg("l_extendedprice").alias("value"))
+    rho = statistics.seed_pairs_spearman(cells, [], ["model", "severity"])
+    return rho.select("seed_a", "seed_b", F.col("n").alias("n_cells"), r6("rho", "rho"), r6(statistics.p_of_rho(F.col("rho"), F.col("n")), "p"))
