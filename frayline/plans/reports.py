@@ -325,12 +325,11 @@ def joint_grid_retention(spark, sf):
     rows = read(spark, sf, "embeddings")
     other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     pool = vectors.mean_vector(rows.where("vec_id % 7 = 0").select(vectors.normalise(F.col("embedding")).alias("p")), [], "p")
-    levels = F.sequence(F.lit(1), F.lit(5))
-    grid = rows.where("vec_id % 7 <> 0").join(other, "vec_id").withColumn("image_severity", F.explode(levels)).withColumn("text_severity", F.explode(levels))
-    cut = lambda v, n, s: F.transform(v, lambda x, i: F.when((i + 1) % n < F.col(s), F.lit(0.0)).otherwise(x.cast("double")))
-    grid = grid.select("image_severity", "text_severity", cut("embedding", 6, "image_severity").alias("a"), cut("other", 7, "text_severity").alias("b"))
-    return vectors.retention(grid, pool, "a", "b", "p").groupBy("image_severity", "text_severity").agg(
-        F.count("*").alias("n"), r6(F.avg("sim_match"), "sim_match"), r6(F.avg("sim_mismatch"), "sim_mismatch"), r6(F.avg("sim_match") - F.avg("sim_mismatch"), "margin")
+    versions = lambda v, n: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda s: F.transform(v, lambda x, i: F.when((i + 1) % n < s, F.lit(0.0)).otherwise(x.cast("double"))))
+    pairs = rows.where("vec_id % 7 <> 0").join(other, "vec_id").select(versions("embedding", 6).alias("a"), versions("other", 7).alias("b"))
+    found = vectors.grid_retention(pairs, pool, "a", "b", "p")
+    return found.select(
+        (F.col("i") + 1).alias("image_severity"), (F.col("j") + 1).alias("text_severity"), "n", r6("sim_match", "sim_match"), r6("sim_mismatch", "sim_mismatch"), r6(F.col("sim_match") - F.col("sim_mismatch"), "margin")
     )
 
 
