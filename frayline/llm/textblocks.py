@@ -3,7 +3,9 @@
 Everything here is vectorised over blocks of about a megabyte, so that memory is
 bounded by the block or by the single longest text, not by the Arrow batch.
 Hashes are 64-bit; where an operator calls a comparison of hashes exact, two
-different words or shingles have the same hash with a probability of 2**-64.
+different words or shingles that nobody has chosen for it have the same hash with a
+probability of 2**-64.  A word of up to ``LONG`` bytes is a polynomial modulo 2**64; longer
+ones, of which some would agree by their structure whatever the base, are sums of mixed bytes.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import pyarrow.compute as pc
 
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
+LONG = 128
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -120,10 +123,23 @@ def hash_spans(block: Block, starts: np.ndarray, ends: np.ndarray, value: np.nda
         total = np.zeros(size + 1, dtype=np.uint64)
         np.cumsum(value[block.data[low : low + size]] * up[:size], out=total[1:])
         out[at:to] = mix((total[b] - total[a]) * down[a])
+        long = np.flatnonzero(ends[at:to] - starts[at:to] > LONG)
+        for k in long.tolist():
+            out[at + k] = _mixed_bytes(block.data[starts[at + k] : ends[at + k]], value)
         at = to
     return out
 
 
+def _mixed_bytes(data: np.ndarray, value: np.ndarray) -> np.uint64:
+    """The hash of a long span: every byte mixed with its place."""
+    total = np.zeros(1, dtype=np.uint64)
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK]
+        places = np.arange(at, at + len(part), dtype=np.uint64) * np.uint64(_BASE)
+        total += mix(value[part] ^ places).sum(dtype=np.uint64)
+    return mix(total + np.uint64(len(data)))[0]
+
+
 def hash_word(word: str) -> np.uint64:
     """The hash that ``hash_spans`` gives the UTF-8 bytes of a word."""
     raw = np.frombuffer(word.encode(), dtype=np.uint8)
