@@ -96,6 +96,8 @@ THRESHOLD = 0.9
 NAMES = frozenset({"gnu", "mozilla", "creative", "commons"})
 #: Words by which matches of equal containment may differ in length and both count, as in "version 2 or 3".
 NEAR = 2
+#: Names of sister licenses: a run that holds one which its template lacks is the notice of another license.
+SISTERS, LIBRARY = ("affero", "lesser"), ("library", "general")
 #: Templates of different labels that share this much of the smaller one's tokens are similar.
 SIMILAR = 0.8
 
@@ -223,14 +225,15 @@ def scan_licenses(
     must hold the words that tell the template apart (those of the label, names, and what a
     similar template lacks); it may be a run of words across lines, as long as the template and
     a share for insertions, or else a line; and where matches of similar templates overlap,
-    those of the largest containment, then of most tokens, then the compact ones stay.  So "version 2 or 3" names both, but of
+    those of the largest containment, then of most tokens, then the compact ones stay.  Words that name
+    a sister license (lesser, affero, library general) which is not the template's make no match. So "version 2 or 3" names both, but of
     "version 2 or version 3", which is too long for a run, only the first is told.
 
     A very long text is scanned whole, by itself, at some tens of bytes for each of its words.
     Null and empty texts have no words and no labels.  Repeated rows and null ids give a row
     each; other columns are ignored whatever their names; an empty table gives no rows.
     """
-    vocabulary = Vocabulary([*phrases, *(t for _, t in templates)])
+    vocabulary = Vocabulary([*phrases, *(t for _, t in templates), *SISTERS, *LIBRARY])
     counts = token_counts(docs, vocabulary, id_col, text_col)
     ordered = []
     for label, text in templates:
@@ -247,6 +250,13 @@ def scan_licenses(
     wanted = make_notices(templates, vocabulary.number, threshold)
     sets = [frozenset(t.order) for t in ordered]
 
+    sisters = frozenset(vocabulary.number[w] for w in SISTERS)
+    library, general = (vocabulary.number[w] for w in LIBRARY)
+
+    def foreign(run: list[int], k: int) -> bool:
+        """Whether words name a sister license that the template is not of."""
+        return bool((sisters - sets[k]).intersection(run)) or library not in sets[k] and any(x == library and y == general for x, y in zip(run, run[1:], strict=False))
+
     def compact(code: np.ndarray, rare: np.ndarray, first: np.ndarray) -> dict[int, list[tuple]]:
         """For each text, matches of all templates within runs of words, as (rank, start, end, template)."""
         out: dict[int, set[tuple]] = {}
@@ -256,15 +266,18 @@ def scan_licenses(
                 run = code[begin : min(int(first[text + 1]), at + wanted[k].length)].tolist()
                 if (found := tightest(run, at - begin, sets[k], wanted[k], ordered[k].need)) is not None:
                     shared, start, end = found
+                    if foreign(run[start:end], k):
+                        continue
                     out.setdefault(text, set()).add(((shared / len(sets[k]), shared, True), begin + start, begin + end, k))
         return {text: list(x) for text, x in out.items()}
 
-    def lines_of(own: np.ndarray, a: int, b: int, known: list[tuple]) -> list[tuple]:
+    def lines_of(line: np.ndarray, a: int, b: int, known: list[tuple]) -> list[tuple]:
         """Matches of the line of words a..b-1 with templates that have no compact match in it."""
+        own = line[line >= 0]
         present, out = set(own.tolist()), []
         for k in {k for token in present for k, _ in lookups.get(token, ())}:
             shared = len(present & sets[k])
-            if shared >= ordered[k].need and wanted[k].required <= present and not any(m[3] == k and m[1] < b and a < m[2] for m in known):
+            if shared >= ordered[k].need and wanted[k].required <= present and not foreign(line.tolist(), k) and not any(m[3] == k and m[1] < b and a < m[2] for m in known):
                 out.append(((shared / len(sets[k]), shared, False), a, b, k))
         return out
 
@@ -329,7 +342,7 @@ def scan_licenses(
                         own = code[a:b]
                         if notices:
                             text = int(np.searchsorted(found.first, a, side="right")) - 1
-                            near[text] = near.get(text, []) + lines_of(own[own >= 0], int(a), int(b), near.get(text, []))
+                            near[text] = near.get(text, []) + lines_of(own, int(a), int(b), near.get(text, []))
                             continue
                         for label, share in matches(own[own >= 0], int(b - a)).items():
                             k = int(np.searchsorted(found.first, a, side="right")) - 1
