@@ -229,15 +229,30 @@ def difference(one: Column, two: Column) -> Column:
     return F.zip_with(one, two, lambda a, b: a - b)
 
 
+def _identified(values: DataFrame, key: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """Rows and their key; rows without one of its columns are told apart by their place in the table instead."""
+    if all(c in values.columns for c in key):
+        return values, list(key)
+    return values.withColumn("_place", F.monotonically_increasing_id()), [*[c for c in key if c in values.columns], "_place"]
+
+
+def percentile_interval(draws: DataFrame, group: list[str], ci: float = 0.95) -> DataFrame:
+    """``lo, hi`` of each group of draws given as rows (``mean``)."""
+    edges = F.percentile("mean", F.array(F.lit((1 - ci) / 2), F.lit((1 + ci) / 2)))
+    return draws.groupBy(*group).agg(edges.alias("e")).select(*group, F.get("e", F.lit(0)).alias("lo"), F.get("e", F.lit(1)).alias("hi"))
+
+
 def hierarchical_draws(values: DataFrame, group: list[str], n_boot: int) -> DataFrame:
     """``boot, mean`` of each group (``values`` has ``seed, pair_id, value``)."""
-    rows = replicates(values, group, ["value"], ["seed", "pair_id"], "seed", n_boot)
+    values, names = _identified(values, ("seed", "pair_id"))
+    rows = replicates(values, group, ["value"], names, "seed", n_boot)
     return rows.select(*group, F.posexplode("value_draws").alias("boot", "mean"))
 
 
 def hierarchical_interval(values: DataFrame, group: list[str], n_boot: int = 10_000, ci: float = 0.95, key: tuple[str, ...] = ("seed", "pair_id")) -> DataFrame:
     """``point, lo, hi`` of each group; the point weights observations, the draws weight seeds."""
-    rows = replicates(values, group, ["value"], list(key), "seed", n_boot)
+    values, names = _identified(values, key)
+    rows = replicates(values, group, ["value"], names, "seed", n_boot)
     return rows.select(*group, F.col("value").alias("point"), *bounds(F.col("value_draws"), ci))
 
 
@@ -246,7 +261,8 @@ def unpaired_difference(values: DataFrame, group: list[str], n_boot: int = 10_00
 
     Arms may have different seeds, pairs and sizes.  A group without one of them has nulls.
     """
-    rows = replicates(values.where("arm is not null"), [*group, "arm"], ["value"], list(key), "seed", n_boot, F.when(F.col("arm"), 1).otherwise(2))
+    values, names = _identified(values, key)
+    rows = replicates(values.where("arm is not null"), [*group, "arm"], ["value"], names, "seed", n_boot, F.when(F.col("arm"), 1).otherwise(2))
     side = lambda c, which: F.first(F.when(F.col("arm") == which, F.col(c)), ignorenulls=True)
     wide = rows.groupBy(*group).agg(*[side(c, w).alias(f"{n}_{c}") for w, n in ((True, "a"), (False, "b")) for c in ("value", "value_draws")])
     return wide.select(*group, (F.col("a_value") - F.col("b_value")).alias("point"), *bounds(difference(F.col("a_value_draws"), F.col("b_value_draws")), ci))
