@@ -11,14 +11,14 @@ share 1 - s cannot all be missing.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable, filter_rows
+from .durable import durable, filter_rows, forget
 from .textblocks import NOT_BLANK, Block, blocks, hash_spans, shingles, words
 
 #: Fingerprints of 64 bits within this Hamming distance are candidates: a tenth of the words, the most that
@@ -28,8 +28,12 @@ RADIUS = 18
 SHINGLE, SIMILARITY = 5, 0.8
 #: Items, and bytes of their texts, that a task holds at once; a larger benchmark takes several passes over the corpus.
 ITEMS_PER_PASS, BYTES_PER_PASS = 20_000, 32 << 20
-#: Windows of a long text are fingerprinted over so many words at a time.
-SEGMENT = 1 << 16
+#: Windows of a long text are fingerprinted over so many words at a time, and looked up so many at a time.
+SEGMENT, WINDOWS = 1 << 16, 1 << 14
+#: Bits of a position in a block of texts, in codes of an item and a position.
+POSITION = 40
+#: Pairs of a window and an item of equal block values that are compared at once.
+PAIRS = 1 << 20
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
@@ -64,11 +68,12 @@ class Shingled:
     def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
         self.counts, self.weights = weighted(hashes, sizes)
         self.total = sum(n * self.weights[key] for key, n in self.counts.items())
+        self.sum = sum(n * key for key, n in self.counts.items()) % (1 << 64)
 
-    def prefix(self, similarity: float) -> list[int]:
-        """The fewest shingles one of which stands in every window of this similarity."""
+    def prefix(self, similarity: float, held_by: Counter) -> list[int]:
+        """Shingles one of which stands in every window of this similarity: those of the fewest items, the heaviest first."""
         rest, out = max(0.0, 1 - similarity) * self.total * (1 + 1e-9), []
-        for key in sorted(self.counts, key=lambda k: (-self.counts[k] * self.weights[k], k)):
+        for key in sorted(self.counts, key=lambda k: (held_by[k], -self.counts[k] * self.weights[k], k)):
             out.append(key)
             rest -= self.counts[key] * self.weights[key]
             if rest < 0:
@@ -122,39 +127,63 @@ def weighted(hashes: np.ndarray, sizes: np.ndarray) -> tuple[Counter, dict[int,
 
 
 class Index:
-    """The benchmark's fingerprints of one window length, by the values of radius+1 blocks of bits.
+    """The benchmark's fingerprints of one window length, by the values of blocks of bits.
 
-    Two fingerprints that differ in at most ``radius`` bits agree in at least one of
-    ``radius + 1`` blocks, so looking up every block finds all of them.
+    Two fingerprints that differ in fewer than twice as many bits as there are blocks differ in
+    at most one bit of some block, so looking up every block's value, and that value with each
+    bit flipped, finds all of them.  A block has a bit more than the items' number has, so a value
+    is shared by about one item whatever their number: the lookups are then near linear in the windows.
+    Many items leave room for few blocks, which narrows ``radius``.
     """
 
     def __init__(self, length: int, prints: np.ndarray, radius: int):
-        self.length, self.prints, self.radius = length, prints, radius
-        cuts = np.linspace(0, 64, radius + 2).round().astype(int)
+        self.length, self.prints = length, prints
+        count = max(1, min(64 // (len(prints).bit_length() + 1), max(4, radius // 2 + 1)))
+        self.radius = min(radius, 2 * count - 1)
+        self.flip = self.radius >= count
+        cuts = np.linspace(0, 64, count + 1).round().astype(int)
         self.blocks = []
         for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             shift, mask = np.uint64(low), np.uint64((1 << (high - low)) - 1)
             value = ((prints >> shift) & mask).astype(np.int64)
             order = np.argsort(value, kind="stable")
             start = np.searchsorted(value[order], np.arange((1 << (high - low)) + 1))
-            self.blocks.append((shift, mask, order, start.astype(np.int32), np.diff(start) > 0))
+            flips = np.concatenate([[0], 1 << np.arange(high - low)]) if self.flip else np.zeros(1, dtype=np.int64)
+            self.blocks.append((shift, mask, order, start.astype(np.int32), flips))
 
     def candidates(self, windows: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(window, item, distance) of all pairs within the radius, each once."""
-        seen = set()
-        for shift, mask, order, start, filled in self.blocks:
-            value = ((windows >> shift) & mask).astype(np.int32)
-            hits = np.flatnonzero(filled[value])
-            low, many = start[value[hits]], start[value[hits] + 1] - start[value[hits]]
-            window = np.repeat(hits, many)
-            within = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
-            item = order[np.repeat(low, many) + within]
-            distance = np.bitwise_count(windows[window] ^ self.prints[item])
-            for k in np.flatnonzero(distance <= self.radius).tolist():
-                pair = int(window[k]), int(item[k]), int(distance[k])
-                if pair not in seen:
-                    seen.add(pair)
-                    yield pair
+        for window, item, distance in self.pieces(windows):
+            yield from zip(window.tolist(), item.tolist(), distance.tolist(), strict=True)
+
+    def pieces(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The candidates in arrays of bounded size, the nearer ones of an array first."""
+        for first in range(0, len(windows), WINDOWS):
+            prints = windows[first : first + WINDOWS]
+            for number, (shift, mask, order, start, flips) in enumerate(self.blocks):
+                value = (((prints >> shift) & mask).astype(np.int64)[:, None] ^ flips).ravel()
+                low, many = start[value], start[value + 1] - start[value]
+                hits = np.flatnonzero(many)
+                low, many, whose = low[hits], many[hits].astype(np.int64), hits // len(flips)
+                upto = np.cumsum(many)
+                at = 0
+                while at < len(hits):
+                    to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+                    n = many[at:to]
+                    window = np.repeat(whose[at:to], n)
+                    item = order[np.repeat(low[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    yield self._near(prints, window, item, number, first)
+                    at = to
+
+    def _near(self, prints: np.ndarray, window: np.ndarray, item: np.ndarray, number: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs that agree in one block: those within the radius that no earlier block has found."""
+        apart = prints[window] ^ self.prints[item]
+        distance = np.bitwise_count(apart)
+        good = np.flatnonzero(distance <= self.radius)
+        for shift, mask, *_ in self.blocks[:number]:
+            good = good[np.bitwise_count((apart[good] >> shift) & mask) > self.flip]
+        good = good[np.argsort(distance[good], kind="stable")]
+        return window[good] + first, item[good], distance[good]
 
 
 class Keys:
@@ -184,19 +213,30 @@ class Group:
 
     def __init__(self, k: int, items: list[Item], radius: int, similarity: float):
         self.k, self.items = k, items
-        self.known = Keys({key for item in items for key in item.shingled.counts})
-        self.prefix: dict[int, list[int]] = {}
+        held_by = Counter(key for item in items for key in item.shingled.counts)
+        self.known = Keys(set(held_by))
+        prefix: list[tuple[int, int]] = []
         by_length: dict[int, list[int]] = {}
         for number, item in enumerate(items):
-            for key in item.shingled.prefix(similarity):
-                self.prefix.setdefault(key, []).append(number)
+            for key in item.shingled.prefix(similarity, held_by):
+                prefix.append((key, number))
             by_length.setdefault(item.n_words, []).append(number)
+        prefix.sort()
+        self.prefix = np.array([key for key, _ in prefix], dtype=np.uint64)
+        self.prefix_item = np.array([number for _, number in prefix], dtype=np.int64)
         self.lengths = []
         for length, numbers in sorted(by_length.items()):
             least = min(items[x].shingled.total for x in numbers) * similarity * (1 - 1e-9)
-            self.lengths.append((length, least, numbers, Index(length, np.array([items[x].print for x in numbers], dtype=np.uint64), radius)))
+            self.lengths.append((length, least, np.array(numbers), Index(length, np.array([items[x].print for x in numbers], dtype=np.uint64), radius)))
         self.least = min(x[1] for x in self.lengths)
 
+    def spots(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Sorted codes (item, position) of the prefix shingles that stand at these positions."""
+        low = np.searchsorted(self.prefix, keys[at], side="left")
+        many = np.searchsorted(self.prefix, keys[at], side="right") - low
+        item = self.prefix_item[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        return np.sort((item << POSITION) + np.repeat(at, many))
+
     def find(self, hashes: np.ndarray, sizes: np.ndarray, first: np.ndarray, similarity: float) -> Iterator[tuple[int, Item, int, int, int, float]]:
         """(text, item, start, words, distance, similarity) of the best window of each item that a text holds."""
         k = self.k
@@ -216,9 +256,11 @@ class Group:
         places = np.repeat(first[heavy] - (np.cumsum(sizes_of) - sizes_of), sizes_of) + np.arange(sizes_of.sum())
         ends = np.repeat(first[heavy + 1], sizes_of)
         places, ends = places[places + k <= ends], ends[places + k <= ends]
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(keys, dtype=np.uint64)])
         held = np.zeros(len(hashes) + 1, dtype=np.int64)
         held[hits + 1] = own
         np.cumsum(held, out=held)
+        spots = self.spots(keys, hits[np.isin(texts, heavy)])
         best: dict[tuple[int, int], tuple[float, int]] = {}
         open_: set[tuple[int, int]] = set()  # texts that have windows of a length heavy enough
         for length, least, numbers, index in self.lengths:
@@ -229,20 +271,26 @@ class Group:
             starts, stops = places[good], stops[good]
             of = np.searchsorted(first, starts, side="right") - 1
             open_.update((text, length) for text in np.unique(of).tolist())
-            for window, slot, _ in index.candidates(fingerprints(hashes, starts, stops)):
-                start, stop, key = int(starts[window]), int(stops[window]), (int(of[window]), numbers[slot])
-                score = self.items[key[1]].shingled.similarity(hashes[start:stop], sizes[start:stop])
-                if score >= similarity and (key not in best or (-score, start) < best[key]):
-                    best[key] = -score, start
+            for window, slot, _ in index.pieces(fingerprints(hashes, starts, stops)):
+                item = numbers[slot] << POSITION
+                after = np.searchsorted(spots, item + starts[window])  # a window without a prefix shingle of the item is not similar to it
+                hold = np.flatnonzero(spots[np.minimum(after, len(spots) - 1)] - item <= stops[window] - k) if len(spots) else after[:0]
+                hold = hold[after[hold] < len(spots)]
+                for w, number in zip(window[hold].tolist(), numbers[slot[hold]].tolist(), strict=True):
+                    start, stop, key = int(starts[w]), int(stops[w]), (int(of[w]), number)
+                    if key in best and best[key][0] == -1.0 and (best[key][1] <= start or (int(sums[stop - k + 1]) - int(sums[start])) % (1 << 64) != self.items[number].shingled.sum):
+                        continue  # an equal window is known, and this one is later or not equal
+                    score = self.items[number].shingled.similarity(hashes[start:stop], sizes[start:stop])
+                    if score >= similarity and (key not in best or (-score, start) < best[key]):
+                        best[key] = -score, start
         near: dict[tuple[int, int], list[int]] = {}
-        tried = np.isin(texts, [text for text, _ in open_])
-        for at, text in zip(hits[tried].tolist(), texts[tried].tolist(), strict=True):
-            for number in self.prefix.get(int(keys[at]), ()):
-                if (text, self.items[number].n_words) in open_ and best.get((text, number), (0.0,))[0] != -1.0:
-                    near.setdefault((text, number), []).append(at)
-        for (text, number), spots in near.items():
+        place = spots & ((1 << POSITION) - 1)
+        for number, at, text in zip((spots >> POSITION).tolist(), place.tolist(), (np.searchsorted(first, place, side="right") - 1).tolist(), strict=True):
+            if (text, self.items[number].n_words) in open_ and best.get((text, number), (0.0,))[0] != -1.0:
+                near.setdefault((text, number), []).append(at)
+        for (text, number), ends_ in near.items():
             item = self.items[number]
-            score, start = item.shingled.best(keys, weights, covered(np.array(spots), item.n_words - k + 1, int(first[text])), item.n_words, int(first[text + 1]))
+            score, start = item.shingled.best(keys, weights, covered(np.array(ends_), item.n_words - k + 1, int(first[text])), item.n_words, int(first[text + 1]))
             if score >= similarity and ((text, number) not in best or (-score, start) < best[text, number]):
                 best[text, number] = -score, start
         for (text, number), (score, start) in sorted(best.items()):
@@ -307,7 +355,8 @@ def find_contamination(
 
     A window starts at every word (white-space words, A-Z as a-z) and is as long as the item,
     or what is left of the text.  It is a candidate if its SimHash is within ``radius`` bits of
-    the item's, or if it holds one of the item's prefix shingles; then it must have a weighted
+    the item's (fewer where many items have one length, see ``Index``), or if it holds one of
+    the item's prefix shingles; then it must have a weighted
     Jaccard similarity of 5-word shingles (repeats counted, weighted by letters) of
     ``similarity`` or more.  The second way finds every such window, whatever its distance.
     Returns ``doc_id, item_id, start_word, n_words, distance, similarity``: for each input row
@@ -354,17 +403,39 @@ def _pass(source: DataFrame, benchmark_) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, key long, start_word long, n_words long, distance int, similarity double")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose texts hold no benchmark item (see ``find_contamination``); decided row by row, whatever the ids."""
-    for part in _passes(benchmark.select(F.col(item_text_col).cast("string").alias("text")), radius, similarity, ITEMS_PER_PASS):
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    radius: int = RADIUS,
+    similarity: float = SIMILARITY,
+    items_per_pass: int = ITEMS_PER_PASS,
+    text_col: str = "text",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` whose texts hold no benchmark item (see ``find_contamination``); decided row by row, whatever the ids.
+
+    What a pass keeps is written before the next part of the benchmark is read, so one part is held at a time.
+    """
+    texts = benchmark.select(F.col(item_text_col).cast("string").alias("text"))
+    kept, part_, written = docs, None, None
+    for part in _passes(texts, radius, similarity, items_per_pass):
+        if part_ is not None:
+            done = durable(kept, "decontaminated")
+            part_.destroy()
+            if written is not None:
+                forget(written)
+            kept = written = done
         part_ = docs.sparkSession.sparkContext.broadcast(part)
+        kept = filter_rows(kept, text_col, _cleaner(part_))
+    return kept
+
 
-        def clean(texts: pa.Array, part_=part_) -> np.ndarray:
-            keep = np.ones(len(texts), dtype=bool)
-            for block in blocks(texts):
-                for text, *_ in part_.value.find(block):
-                    keep[block.first + text] = False
-            return keep
+def _cleaner(benchmark_) -> Callable[[pa.Array], np.ndarray]:
+    def clean(texts: pa.Array) -> np.ndarray:
+        keep = np.ones(len(texts), dtype=bool)
+        for block in blocks(texts):
+            for text, *_ in benchmark_.value.find(block):
+                keep[block.first + text] = False
+        return keep
 
-        docs = filter_rows(docs, text_col, clean)
-    return docs
+    return clean
