@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frayline.llm import bpe_prefix, decision_list, decontaminate, jaccard_join, language_id
-from frayline.llm.durable import shared_folder, workers_find_package
+from frayline.llm.durable import forget, shared_folder, workers_find_package
 from frayline.llm.queries import id_remainder, table
 
 
@@ -62,10 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder for the next."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder for the next, and deleted once that is done."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            forget(docs)
         docs = spark.read.parquet(path)
     return docs
