@@ -17,6 +17,11 @@ then paired, and of these pairs only those are compared whose sketches (parities
 tokens on a fixed number of bits) leave room for the similarity, so that a large group of
 near copies costs about as many comparisons as it has members, and no link that could join
 two components is missed.
+
+The links of each text are counted afterwards.  Both ends of a link are in one component, so
+the sets of a component are dealt into blocks of a bounded number of sets and shingles, and a
+task compares two blocks by one product of their incidence matrices: what is moved is a set
+for each block of its component, what comes out is one number for each set, and no pair is a row.
 """
 
 from __future__ import annotations
@@ -48,6 +53,14 @@ FILTER_BITS = 1 << 24
 SKETCH = 8
 #: A text of a list knows so many lists before it of its own, by which a pair that has met before is told.
 BEFORE = 8
+#: Sets of a component are compared in blocks of about so many sets,
+BLOCK_SETS = 2048
+#: of about so many shingles together,
+BLOCK_SHINGLES = 1 << 20
+#: in strips of so many sets,
+STRIP = 256
+#: by so many shingles at a time.
+COLUMNS = 2048
 
 
 def text_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -210,8 +223,90 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
 
-def place_rows(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_key, n, label`` of each row: hash of its text, size of its set, and a number of its component."""
+def count_links(left: list[np.ndarray], right: list[np.ndarray] | None, copies: tuple[np.ndarray, np.ndarray | None], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray | None]:
+    """How many copies of sets of the other side each set is linked with; without a right side, of the other sets of its own."""
+    sets = left + (right or [])
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = times > 1  # what only one set has is shared with none
+    chosen = held[column]
+    column = (np.cumsum(held) - 1)[column[chosen]]
+    row = np.repeat(np.arange(len(sets)), sizes)[chosen]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    ends = range(0, int(held.sum()), COLUMNS)
+    cuts = [(at, *np.searchsorted(column, [at, at + COLUMNS]).tolist()) for at in ends]
+    first = len(left) if right is not None else 0
+    n_left, n_right = sizes[: len(left)], sizes[first:]
+    weight = copies[1] if right is not None else copies[0]
+    out = np.zeros(len(left), dtype=np.int64)
+    back = np.zeros(len(n_right), dtype=np.int64)
+    for low in range(0, len(left), STRIP):
+        high = min(low + STRIP, len(left))
+        shared = np.zeros((high - low, len(n_right)))
+        for at, a, b in cuts:
+            r, c = row[a:b], column[a:b] - at
+            mine = (r >= low) & (r < high)
+            if not mine.any():
+                continue
+            one = np.zeros((high - low, COLUMNS), dtype=np.float32)
+            one[r[mine] - low, c[mine]] = 1
+            two = np.zeros((len(n_right), COLUMNS), dtype=np.float32)
+            theirs = r >= first
+            two[r[theirs] - first, c[theirs]] = 1
+            shared += one @ two.T
+        linked = 100 * shared >= percent * (n_left[low:high, None] + n_right[None, :] - shared)
+        if right is None:
+            linked[np.arange(high - low), np.arange(low, high)] = False
+        out[low:high] = linked @ weight
+        back += copies[0][low:high] @ linked
+    return out, back if right is not None else None
+
+
+def _count_links(sets: DataFrame, sizes: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
+    """``node, linked``: for each set (``node, label, row, copies``) of a component of several, the rows of other sets that it links with."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    members = sets.join(sizes.where("m > 1").select("label", blocks.alias("blocks")), "label")
+    members = durable(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "shingle-blocks")
+    texts = _texts(keyed, members, members.select("node"))
+    told = members.select("node", "label", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    told = told.join(texts, "node").withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    key = ["label", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def counted() -> pa.RecordBatch:
+            one, two = [h for h in held if h[0] == now[1]], [h for h in held if h[0] != now[1]]
+            copies = [np.array([h[2] for h in side], dtype=np.int64) for side in (one, two)]
+            if now[1] == now[2]:
+                numbers, _ = count_links([h[3] for h in one], None, (copies[0], None), percent)
+            elif one and two:
+                numbers = np.concatenate(count_links([h[3] for h in one], [h[3] for h in two], (copies[0], copies[1]), percent))
+            else:
+                numbers = np.zeros(len(held), dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([h[1] for h in one + two], pa.int64()), pa.array(numbers, pa.int64())], ["node", "linked"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            places, nodes, copies = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for i, tokens in text_sets(batch.column(6), k):
+                if keys[i] != now:
+                    if held:
+                        yield counted()
+                    now, held = keys[i], []
+                held.append((places[i], nodes[i], copies[i], tokens))
+        if held:
+            yield counted()
+
+    told = told.select(*key, "block", "node", "copies", "text").repartition(*key).sortWithinPartitions(*key)
+    counted = durable(told.mapInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked")), "shingle-counts")
+    forget(members)
+    return counted
+
+
+def linked_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_key, n, node`` of each row: hash of its text, size and key of its set; and ``node, component`` of the sets with links."""
     keyed = _keyed(docs, id_col, text_col)
     spark = docs.sparkSession
 
@@ -304,8 +399,13 @@ def place_rows(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col
     more = durable(_verify(rest, _texts(keyed, nodes, _ends(rest).distinct()), k, percent), "shingle-links")
     whole = durable(connected_components(links.unionByName(more)), "shingle-components")
     forget(placed, nodes, first, rest, links, more)
-    placed = facts.select("doc_id", "text_key", "n", "node").join(whole, "node", "left")
-    return placed.select("doc_id", "text_key", "n", F.coalesce("component", "node").alias("label"))
+    return facts.select("doc_id", "text_key", "n", "node"), whole
+
+
+def place_rows(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_key, n, label`` of each row: hash of its text, size of its set, and a number of its component."""
+    rows, whole = linked_sets(docs, k, percent, id_col, text_col)
+    return rows.join(whole, "node", "left").select("doc_id", "text_key", "n", F.coalesce("component", "node").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,15 +415,24 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     k-word shingles, or all its words as one if they are fewer; null, empty and blank texts
     have no set and no links.  A very long text is one set like any other: a task holds the
     shingles of one text at a time, and of two when it compares.  Returns ``doc_id,
-    n_shingles`` (set size) and ``component_id`` (smallest id reachable by links, its own
-    included), one row for each input row.  Equal sets are one node, so copies, repeated rows
-    and rows without an id are in one component with each other; a component without any id
-    has a null one.  Further columns of any name are ignored; an empty table gives no rows.
+    n_shingles`` (set size), ``component_id`` (smallest id reachable by links, its own
+    included) and ``n_links`` (other rows that it is linked with), one row for each input row.
+    Equal sets are one node, so copies, repeated rows and rows without an id are in one
+    component with each other, and each counts as a link; a component without any id has a
+    null one.  Further columns of any name are ignored; an empty table gives no rows.
     """
-    placed = place_rows(docs, k, percent, id_col, text_col)
-    least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows, whole = linked_sets(docs, k, percent, id_col, text_col)
+    sets = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.max("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    sets = durable(sets.join(whole, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "shingle-placed")
+    sizes = sets.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("least").alias("component_id"))
+    sizes = durable(sizes, "shingle-sizes")
+    counted = _count_links(sets, sizes, _keyed(docs, id_col, text_col), k, percent)
+    told = sets.join(sizes.select("label", "component_id"), "label").join(counted, "node", "left")
+    told = durable(told.select("node", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "shingle-told")
+    forget(sets, sizes, counted, whole)
+    out = rows.join(told, "node", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

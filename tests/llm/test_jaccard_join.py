@@ -19,7 +19,7 @@ def shingle_set(text):
 
 
 def brute_force(rows):
-    """(id, set size, component) of each row, comparing all pairs of distinct sets that share a shingle."""
+    """(id, set size, component, links) of each row, comparing all pairs of distinct sets that share a shingle."""
     sets = defaultdict(list)
     for i, text in rows:
         sets[shingle_set(text)].append(i)
@@ -33,6 +33,7 @@ def brute_force(rows):
         return x
 
     where = defaultdict(list)
+    links = [len(sets[s]) - 1 for s in keys]
     for x, s in enumerate(keys):
         for token in s:
             where[token].append(x)
@@ -40,13 +41,15 @@ def brute_force(rows):
         for y, shared in Counter(y for token in s for y in where[token] if y < x).items():
             if 100 * shared >= 80 * (len(s) + len(keys[y]) - shared):
                 root[find(x)] = find(y)
+                links[x] += len(sets[keys[y]])
+                links[y] += len(sets[s])
     least = {}
     for x, s in enumerate(keys):
         ids = [i for i in sets[s] if i is not None]
         r = find(x)
         least[r] = min([*ids, *([least[r]] if least.get(r) is not None else [])], default=least.get(r))
     number = {s: x for x, s in enumerate(keys)}
-    return Counter((i, len(s), least[find(number[s])] if s else i) for i, s in ((i, shingle_set(t)) for i, t in rows))
+    return Counter((i, len(s), least[find(number[s])] if s else i, links[number[s]] if s else 0) for i, s in ((i, shingle_set(t)) for i, t in rows))
 
 
 def near_copies(seed, n_groups, size, length, edits):
@@ -71,6 +74,31 @@ def test_components_equal_brute_force(spark, n_groups, size, length, edits):
     assert Counter(map(tuple, got)) == brute_force(rows)
 
 
+def test_links_of_a_component_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 20)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 4000)
+    rows = near_copies(8, 2, 130, 90, 6)
+    rows += [(1000 + i, t) for i, t in rows[::7]] + [(None, rows[3][1])]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == brute_force(rows)
+
+
+def test_counted_links_equal_pairs(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "STRIP", 7)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 11)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: 60 - rng.integers(0, 12)], rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(50)]
+    copies = rng.integers(1, 5, 50)
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    one, two = sets[:30], sets[30:]
+    out, back = jaccard_join.count_links(one, two, (copies[:30], copies[30:]))
+    assert out.tolist() == [sum(int(c) for b, c in zip(two, copies[30:], strict=True) if near(a, b)) for a in one]
+    assert back.tolist() == [sum(int(c) for a, c in zip(one, copies[:30], strict=True) if near(a, b)) for b in two]
+    own, none = jaccard_join.count_links(sets, None, (copies, None))
+    assert none is None and own.tolist() == [sum(int(copies[j]) for j in range(50) if j != i and near(sets[i], sets[j])) for i in range(50)]
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
@@ -79,7 +107,7 @@ def test_query_equals_brute_force(spark):
 
 def test_odd_rows(spark, odd_docs, no_docs):
     got = jaccard_join.jaccard_components(odd_docs)
-    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
     assert Counter(map(tuple, got.collect())) == brute_force(DOCS)
     assert jaccard_join.jaccard_components(no_docs).count() == 0
 
