@@ -43,7 +43,7 @@ def test_pipeline_equals_brute_force(spark, sf, encoding):
     rules = decision_list.apply_quality_rules(left, spark.read.parquet(f"{sf}/labels.parquet")).collect()
     kept = {r.doc_id for r in rules if r.kept}
     rows = [(r.doc_id, r.text) for r in left.collect() if r.doc_id in kept]
-    first = [i for i, _, c in brute_force(rows) if i == c]
+    first = [i for i, _, c, _ in brute_force(rows) if i == c]
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     texts = dict(rows)
     want = set()
