@@ -42,7 +42,7 @@ def _numbered(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column],
     """``row, id, part, digest, good, toxic`` and the verdict of each condition, written once; text is read once."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(part.cast("string"), F.lit("")).alias("part"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"), *[c.alias(f"fails_{k}") for k, c in conditions.items()])
     of = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    known = rows.where("id is not null").join(of, "id", "left")
+    known = rows.where("id is not null").join(of.hint("merge"), "id", "left")
     unknown = rows.where("id is null").withColumns({"good": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})  # never one task's: null keys are not shuffled
     both = known.unionByName(unknown).withColumns({"good": F.coalesce("good", F.lit(0)), "toxic": F.coalesce("toxic", F.lit(0))})
     return durable(both.withColumn("row", F.monotonically_increasing_id()), "audit-rows")
@@ -56,7 +56,7 @@ def later_copies(rows: DataFrame) -> DataFrame:
     """
     known = rows.where("id is not null")
     first = known.groupBy("digest").agg(F.min("id").alias("id"))
-    return known.join(first, ["digest", "id"], "left_anti")
+    return known.join(first.hint("merge"), ["digest", "id"], "left_anti")
 
 
 def audit_filters(
@@ -91,18 +91,18 @@ def audit_filters(
     for _ in letters:
         # each set is reached from the set without its last filter
         more = left.withColumn("filter", F.explode(F.sequence(F.lit(0), F.lit(len(letters) - 1)))).where(F.call_function("shiftright", F.col("done"), F.col("filter")) == 0)
-        left = more.join(tagged(["row"]), ["row", "filter"], "left_anti").select("row", "part", (F.col("done") + _bit(F.col("filter"))).alias("done"))
+        left = more.join(tagged(["row"]).hint("merge"), ["row", "filter"], "left_anti").select("row", "part", (F.col("done") + _bit(F.col("filter"))).alias("done"))
         left = durable(left, "audit-survivors")
         spent.append(left)
         survivors = survivors.unionByName(left)
 
     sets = F.filter(F.sequence(F.lit(0), F.lit((1 << len(letters)) - 1)), lambda s: s.bitwiseAND(_bit(F.col("filter"))) == 0)
     tried = tagged(["row", "part", "good", "toxic"]).withColumn("done", F.explode(sets))
-    there = survivors.select("row", "done")
+    there = survivors.select("row", "done").hint("merge")
     cell = ["part", "done", "filter"]
     removed = tried.join(there, ["row", "done"], "left_semi").groupBy(cell).agg(F.count("*").alias("removed"), F.sum("good").alias("good_lost"), F.sum("toxic").alias("toxic_lost"))
     redundant = tried.join(there, ["row", "done"], "left_anti").groupBy(cell).agg(F.count("*").alias("redundant"))
-    counts = durable(removed.join(redundant, cell, "full"), "audit-counts")
+    counts = durable(removed.join(redundant.hint("merge"), cell, "full"), "audit-counts")
     kept = durable(survivors.groupBy("part", F.col("done").alias("after")).agg(F.count("*").alias("kept")), "audit-kept")
     forget(*spent)
     return _by_order(counts, kept, letters)
@@ -125,7 +125,7 @@ def _by_order(counts: DataFrame, kept: DataFrame, letters: str) -> DataFrame:
     place = lambda c: F.instr(F.lit(letters), c) - 1
     before = F.aggregate(F.sequence(F.lit(1), F.col("step")), F.lit(0), lambda s, i: s + F.when(i < F.col("step"), _bit(place(F.substring("filter_order", i, F.lit(1))))).otherwise(0))
     steps = steps.withColumns({"filter": place(F.substring("filter_order", F.col("step"), F.lit(1))), "done": before}).withColumn("after", F.col("done") + _bit(F.col("filter")))
-    rows = steps.join(counts, ["part", "done", "filter"], "left").join(of_filter, ["part", "filter"], "left").join(kept, ["part", "after"], "left")
+    rows = steps.join(counts.hint("merge"), ["part", "done", "filter"], "left").join(of_filter.hint("merge"), ["part", "filter"], "left").join(kept.hint("merge"), ["part", "after"], "left")
     return rows.select("part", "filter_order", "step", *[zero(c) for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")])
 
 

@@ -247,3 +247,17 @@ def test_audit_query_equals_sql(spark, sf):
     keys = ["part", "filter_order", "step"]
     found = queries.queries()["op13_filter_audit"](spark, sf).toPandas()[want.columns]
     assert found.sort_values(keys).reset_index(drop=True).equals(want.sort_values(keys).reset_index(drop=True))
+
+
+def test_audit_sends_no_table_through_the_driver(spark, sf, monkeypatch):
+    plans = []
+    write = filter_audit.durable
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(filter_audit, "durable", seen)
+    found = queries.queries()["op13_filter_audit"](spark, sf)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 14 and not any("Broadcast" in p for p in plans)
