@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.views import settled
 from .binning import counted, percentile_rank
 
 
@@ -41,7 +42,7 @@ def wilcoxon(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
     pairs have null ``w`` and ``p``; with fewer than two differences that are not zero, ``w``
     is null and ``p`` 1.  Ranks come from counts of distinct sizes; a group is never one task's.
     """
-    diffs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, (F.col(a) - F.col(b)).alias("d")).withColumn("size", F.abs("d"))
+    diffs = settled(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, (F.col(a) - F.col(b)).alias("d")).withColumn("size", F.abs("d")))
     signs = diffs.where("d <> 0").groupBy(*group, "size").agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"))
     ranked = signs.join(counted(diffs.where("d <> 0"), group, "size"), [*group, "size"])
     rank, ties = F.col("_before") + (F.col("_n") + 1) / 2, F.col("_n").cast("double")
@@ -87,8 +88,12 @@ def _numbers(function):
 
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """Pearson correlation of average-tie ranks; null for fewer than three pairs."""
-    ranked = percentile_rank(percentile_rank(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), group, x, "_rx"), group, y, "_ry")
+    """Pearson correlation of average-tie ranks; null for fewer than three pairs.
+
+    The values are settled first: ranks are joined to them, so they must not be worked out anew.
+    """
+    rows = settled(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y))
+    ranked = percentile_rank(percentile_rank(rows, group, x, "_rx"), group, y, "_ry")
     return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("_rx", "_ry")).alias("rho"))
 
 

@@ -206,3 +206,20 @@ def test_unpaired_difference_recovers_planted_gap_of_unequal_arms(spark):
     got = {r.g: r for r in bootstrap.unpaired_difference(spark.createDataFrame(values), ["g"], n_boot=1000).collect()}
     assert got[0].lo < 0.2 < got[0].hi and got[0].hi - got[0].lo < 0.15
     assert (got[1].point, got[1].lo, got[1].hi) == (None, None, None)
+
+
+def test_ranks_of_values_that_differ_when_worked_out_again(spark):
+    """Means of doubles may end in other bits each time; ranks must not be lost to that."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from frayline.operators import statistics
+
+    jitter = F.udf(lambda x: x * (1 + random.SystemRandom().random() * 1e-12), "double").asNondeterministic()
+    rows = spark.range(30).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    rows = rows.select("g", jitter("v").alias("x"), jitter(F.col("v") * 3 + 1).alias("y"))
+    found = statistics.spearman(rows, ["g"], "x", "y").collect()
+    assert [(r["n"], round(r["rho"], 9)) for r in found] == [(15, 1.0), (15, 1.0)]
+    found = statistics.wilcoxon(rows, ["g"], "y", "x").collect()
+    assert [(r["n"], r["w"]) for r in found] == [(15, 0.0), (15, 0.0)]
