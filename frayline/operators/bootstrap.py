@@ -128,12 +128,13 @@ def _with_seeds(rows: DataFrame, group: list[str]) -> DataFrame:
     return both.withColumns({"_s": F.array_position("_seeds", F.col("_seed")).cast("int") - 1, "_k": F.size("_seeds")}).drop("_seeds", "_seed")
 
 
-def replicates(rows: DataFrame, group: list[str], values: list[str], key: list[str], seed: str | None = None, n_boot: int = 1000, salt: Column | None = None) -> DataFrame:
+def replicates(rows: DataFrame, group: list[str], values: list[str], key: list[str], seed: str | None = None, n_boot: int = 1000, salt: Column | None = None, partitions: int | None = None) -> DataFrame:
     """``n``, ``<value>`` (the mean of all rows) and ``<value>_draws`` (``n_boot`` resampled means) of each group, for all values with the same draws.
 
     ``key`` identifies a row; ``seed`` is the upper level, if any; ``salt`` (a small whole number, one
     for each group) tells arms apart that are to be resampled by themselves although they share keys.
-    Rows with a null among their values, or a null seed, do not count.
+    Rows with a null among their values, or a null seed, do not count.  ``partitions`` (the
+    session's by default): into how many the rows are dealt.
     """
     m = len(values)
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
@@ -144,7 +145,8 @@ def replicates(rows: DataFrame, group: list[str], values: list[str], key: list[s
     rows = rows.select(*group, *([F.col(seed).alias("_seed")] if seed else []), (F.lit(0) if salt is None else salt).cast("int").alias("_salt"), word(0).alias("_one"), word(1).alias("_two"), *numbers)
     rows = _with_seeds(rows, group) if seed else rows.withColumns({"_s": F.lit(0), "_k": F.lit(1)})
     cell = [*group, "_salt", "_s", "_k"]
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or few
     # a row costs a tenth of a millisecond, so slim rows are dealt out evenly
     rows = rows.select(*cell, "_one", "_two", *[f"_v{i}" for i in range(m)]).repartition(partitions, "_one", "_two")
     kinds = dict(rows.dtypes)
@@ -203,7 +205,7 @@ def replicates(rows: DataFrame, group: list[str], values: list[str], key: list[s
     found = rows.mapInArrow(partial, wide)
     for _ in range(max(1, int(np.ceil(np.log(partitions) / np.log(FAN_IN))))):
         dealt = found.withColumn("_part", F.floor(F.col("_part") / FAN_IN).cast("int"))
-        found = dealt.repartition(partitions, *cell, "_part").groupBy(*cell, "_part").applyInArrow(merge, wide)
+        found = dealt.repartition(few, *cell, "_part").groupBy(*cell, "_part").applyInArrow(merge, wide)
     done = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "n long", *[f"`{v}` double, `{v}_draws` array<double>" for v in values]])
     return found.groupBy(*group).applyInArrow(finish, done)
 
@@ -249,10 +251,10 @@ def hierarchical_draws(values: DataFrame, group: list[str], n_boot: int) -> Data
     return rows.select(*group, F.posexplode("value_draws").alias("boot", "mean"))
 
 
-def hierarchical_interval(values: DataFrame, group: list[str], n_boot: int = 10_000, ci: float = 0.95, key: tuple[str, ...] = ("seed", "pair_id")) -> DataFrame:
+def hierarchical_interval(values: DataFrame, group: list[str], n_boot: int = 10_000, ci: float = 0.95, key: tuple[str, ...] = ("seed", "pair_id"), partitions: int | None = None) -> DataFrame:
     """``point, lo, hi`` of each group; the point weights observations, the draws weight seeds."""
     values, names = _identified(values, key)
-    rows = replicates(values, group, ["value"], names, "seed", n_boot)
+    rows = replicates(values, group, ["value"], names, "seed", n_boot, partitions=partitions)
     return rows.select(*group, F.col("value").alias("point"), *bounds(F.col("value_draws"), ci))
 
 

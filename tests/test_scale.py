@@ -183,3 +183,16 @@ def test_manifest_stream_stops_at_its_target_and_goes_on(spark, tmp_path):
     assert spark.read.parquet(out).select("sha256").distinct().count() == 10
     other = str(tmp_path / "all")
     assert growing.build_manifest(stream(), other, str(tmp_path / "check2"), F.col("bytes_hex"), "id") == 24
+
+
+def test_partitions_of_the_full_key_join_grow_with_the_rows_and_bins_move_none(spark, sf, monkeypatch):
+    from frayline.plans import reports
+    from frayline.sources import views
+
+    assert views.parts_of(10, spark) == 4 and views.parts_of(100 << 18, spark) == 100
+    monkeypatch.setattr(views, "parts_of", lambda rows, session: 9)
+    rows = reports.joined(spark, sf)
+    assert rows.rdd.getNumPartitions() == 9
+    plan = binning.assign_quintile(rows, ["direction"], "damage")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(direction#" not in plan.split("BroadcastHashJoin")[0]
+    assert "BroadcastHashJoin [direction" in plan
