@@ -14,7 +14,7 @@ from ..functions import corrupt, damage, vectors
 from ..operators import statistics
 from ..schema import MEASUREMENTS
 from ..sources import manifest
-from .queries import _BLANKS, _PICTURE_IDS, _TEXTS, _captions, _images, _key, _pictures_sql, _text_damage_sql, picture_damage, query, r6, read
+from .queries import _BLANKS, _PICTURE_IDS, _TEXTS, _captions, _images, _key, _pictures_sql, _text_damage_sql, picture_damage, query, r6, read, spread
 
 DIRECTIONS = ("i2t", "t2i")
 
@@ -196,7 +196,7 @@ def _stacked(spark, sf) -> DataFrame:
     images, texts = (x.withColumn("vector", F.transform("vector", lambda v: v.cast("double"))) for x in _sides(spark, sf))
     out = None
     for name, queries, other, kinds in (("i2t", images, texts, IMAGE), ("t2i", texts, images, TEXT)):
-        rows = vectors.stacked(queries.withColumn("direction", F.lit(name)), kinds).join(other.withColumnRenamed("vector", "own"), "id")
+        rows = vectors.stacked(spread(queries, "id").withColumn("direction", F.lit(name)), kinds).join(other.withColumnRenamed("vector", "own"), "id")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -196,3 +196,12 @@ def test_partitions_of_the_full_key_join_grow_with_the_rows_and_bins_move_none(s
     plan = binning.assign_quintile(rows, ["direction"], "damage")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(direction#" not in plan.split("BroadcastHashJoin")[0]
     assert "BroadcastHashJoin [direction" in plan
+
+
+def test_captions_and_vectors_of_one_file_are_dealt_to_all_tasks(spark, sf):
+    from frayline.plans import experiment, queries
+
+    assert queries._captions(spark, sf).rdd.getNumPartitions() == 4
+    assert queries._images(spark, sf).rdd.getNumPartitions() == 4
+    plan = experiment._stacked(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [id") == 2
