@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries kept in each of a worker's tables of encoded pieces or spans, and of token pairs, before it starts anew.
+#: Entries kept in each of a task's tables of encoded pieces or spans, and of token pairs, before it starts anew.
 PIECE_CACHE, PAIR_CACHE = 400_000, 1_000_000
 
 
@@ -148,6 +148,11 @@ class PieceTables:
         self._pieces: dict[str, bytes] = {}
         self._spans: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the tables that grow with the texts; those of the ranks stay."""
+        for table in (self._pieces, self._spans, self.encoder._pairs):
+            table.clear()
+
     def _encode(self, span: str) -> bytes:
         out = []
         for piece in self._find(span):
@@ -195,7 +200,7 @@ _tables: dict[tuple[str, str, bool], PieceTables] = {}
 
 
 def _worker_pieces(raw: bytes, pattern: str, blank_starts: bool) -> PieceTables:
-    """The tables of a worker process, one for each rank file and pattern."""
+    """The tables of a worker process, one for each rank file and pattern; a task empties them at its end, as Spark keeps workers for the tasks of later stages."""
     key = hashlib.sha256(raw).hexdigest(), pattern, blank_starts
     if key not in _tables:
         _tables[key] = PieceTables(PrefixEncoder(parse_ranks(raw)), pattern, blank_starts)
@@ -219,19 +224,22 @@ def bpe_encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _worker_pieces(ranks.value, pattern, blank_starts)
         table = pieces.encoder.by_rank
-        for batch in batches:
-            rows, held = [], 0
-            for at, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                packed = pieces.packed(text) if text else b""
-                decoded = b"".join(map(table.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
-                rows.append((at, packed, decoded))
-                held += len(packed) + len(decoded)
-                if held > 8 << 20:
+        try:
+            for batch in batches:
+                rows, held = [], 0
+                for at, text in enumerate(batch.column(1)):
+                    text = text.as_py()
+                    packed = pieces.packed(text) if text else b""
+                    decoded = b"".join(map(table.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+                    rows.append((at, packed, decoded))
+                    held += len(packed) + len(decoded)
+                    if held > 8 << 20:
+                        yield _encoded(batch, rows)
+                        rows, held = [], 0
+                if rows:
                     yield _encoded(batch, rows)
-                    rows, held = [], 0
-            if rows:
-                yield _encoded(batch, rows)
+        finally:
+            pieces.forget()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded binary")

@@ -59,9 +59,9 @@ def features(block: Block) -> np.ndarray:
 
 
 def text_blocks(texts: pa.Array) -> Iterator[Block]:
-    """Blocks of a bounded number of texts, since a row of features is wide whatever the text's length."""
+    """Lower-cased blocks of a bounded number of texts, since a row of features is wide whatever the text's length."""
     for at in range(0, len(texts), ROWS):
-        for block in blocks(texts.slice(at, ROWS)):
+        for block in blocks(pc.utf8_lower(texts.slice(at, ROWS))):
             yield block._replace(first=block.first + at)
 
 
@@ -166,18 +166,22 @@ def fit_language_model(docs: DataFrame, learn: Column, text_col: str = "text", l
             names, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             new = [i for i, k in enumerate(zip(names, keys, strict=True)) if k not in seen and not seen.add(k)]
             batch = batch.take(pa.array(new, pa.int64()))
-            for block in text_blocks(pc.utf8_lower(batch.column(1))):
+            for block in text_blocks(batch.column(1)):
                 x = features(block).astype(np.float16)
                 own = [c.slice(block.first, len(x)) for c in (batch.column(0), batch.column(2))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "key", "x"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, lang = [], []
+        parts, lang = [], []
         for batch in batches:
-            raw.append(np.frombuffer(b"".join(v.as_py() for v in batch.column(2)), dtype=np.float16).reshape(-1, N_FEATURES))
+            parts.append(np.empty((len(batch), N_FEATURES), dtype=np.float16))
+            for row, raw in zip(parts[-1], batch.column(2), strict=True):
+                row[:] = np.frombuffer(raw.as_buffer(), dtype=np.float16)
             lang += batch.column(0).to_pylist()
         if lang:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(LanguageModel(np.concatenate(raw), np.array(lang, dtype=object)))], pa.binary())], ["model"])
+            x = parts[0] if len(parts) == 1 else np.concatenate(parts)
+            parts.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(LanguageModel(x, np.array(lang, dtype=object)))], pa.binary())], ["model"])
 
     one_of_each = sample.mapInArrow(features_of, "lang string, key long, x binary").dropDuplicates(["lang", "key"])
     got = one_of_each.repartition(1).sortWithinPartitions("lang", "key").mapInArrow(fit, "model binary").collect()
@@ -186,7 +190,6 @@ def fit_language_model(docs: DataFrame, learn: Column, text_col: str = "text", l
 
 def _predicted(model: LanguageModel | None, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, languages and scores of each block of texts."""
-    texts = pc.utf8_lower(texts)
     for block in text_blocks(texts):
         n = len(block.offsets) - 1
         lang, score = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
