@@ -12,10 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import IMAGE, severity_column
+from ..config import IMAGE, TEXT, severity_column
+from . import corrupt
 from .corrupt import let
 
 PSNR_CAP = 60.0
+#: Words of pairs whose n-grams are compared one by one, and words of a batch that are corrupted at once.
+FEW_WORDS, WORDS = 32, 1 << 16
 
 
 def token_edit_distance(a: Column, b: Column) -> Column:
@@ -73,7 +76,7 @@ def _matrix(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, fill: int)
     return np.where(inside, codes[np.where(inside, starts[:, None] + spot, 0)], fill) if len(codes) else np.full(inside.shape, fill)
 
 
-def edit_distances(codes: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = 1 << 20) -> np.ndarray:
+def edit_distances(codes: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = 1 << 16) -> np.ndarray:
     """Levenshtein distances of many pairs of runs of ``codes`` (starts, sizes), a row of all their tables at a time.
 
     Pairs of like length are taken together, as many as have ``cells`` words on either side, or one.
@@ -86,15 +89,20 @@ def edit_distances(codes: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple
         fits = np.arange(1, len(near) + 1) * (longest[near] + 1) <= cells
         rows = near[: max(1, int(fits.sum()))]
         at += len(rows)
-        x, y = (_matrix(codes, s[rows], n[rows], fill) for (s, n), fill in ((a, -1), (b, -2)))
-        spot = np.arange(y.shape[1] + 1)
-        row = np.tile(spot, (len(rows), 1))
-        for i in range(x.shape[1]):
-            new = row + 1
-            np.minimum(new[:, 1:], row[:, :-1] + (y != x[:, i : i + 1]), out=new[:, 1:])
-            new = np.minimum.accumulate(new - spot, axis=1) + spot
-            row = np.where((i < a[1][rows])[:, None], new, row)
-        out[rows] = row[np.arange(len(rows)), b[1][rows]]
+        x, y = (_matrix(codes, s[rows], n[rows], fill).T.astype(np.int32, order="C") for (s, n), fill in ((a, -1), (b, -2)))
+        kind = np.int16 if len(x) + len(y) < 1 << 14 else np.int32
+        spot = np.arange(len(y) + 1, dtype=kind)[:, None]
+        row, done = np.repeat(spot, len(rows), axis=1), a[1][rows]
+        for i in range(len(x)):
+            new = row + kind(1)
+            np.minimum(new[1:], row[:-1] + (y != x[i]), out=new[1:])
+            if len(rows) < len(y):
+                new = np.minimum.accumulate(new - spot, axis=0) + spot
+            else:  # the same, a word at a time of all pairs
+                for j in range(1, len(new)):
+                    np.minimum(new[j], new[j - 1] + kind(1), out=new[j])
+            row = np.where(i < done, new, row) if i >= done.min() else new
+        out[rows] = row[b[1][rows], np.arange(len(rows))]
     return out
 
 
@@ -109,21 +117,51 @@ def _grams(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int) ->
     return key ^ (key >> np.uint64(32)), owner
 
 
-def bleu_scores(codes: np.ndarray, hyp: tuple[np.ndarray, np.ndarray], ref: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Sentence BLEU of many pairs (see ``bleu4``)."""
-    h, r = hyp[1], ref[1]
-    logs, unigrams = np.zeros(len(h)), None
+def _few_matches(codes: np.ndarray, hyp: tuple[np.ndarray, np.ndarray], ref: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Clipped matches of n-grams, n from 1 to 4, of pairs of few words: each n-gram is compared with all of the other side, and with its earlier copies."""
+    x, y = (_matrix(codes, *runs, fill).T.astype(np.int32, order="C") for runs, fill in ((hyp, -1), (ref, -2)))
+    out = np.zeros((4, len(hyp[1])))
+    ones = x[:, None] == y[None], (x[:, None] == x[None]) & np.tri(len(x), k=-1, dtype=bool)[:, :, None]
+    found, copies = ones
+    for n in range(4):
+        if n:
+            found, copies = (part[:-1, :-1] & one[n:, n:] for part, one in zip((found, copies), ones, strict=True))
+        if not found.size:
+            break
+        there, before = (part.view(np.uint8).sum(axis=1, dtype=np.uint8) for part in (found, copies))
+        out[n] = (before < there).sum(axis=0)
+    return out
+
+
+def _many_matches(codes: np.ndarray, hyp: tuple[np.ndarray, np.ndarray], ref: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The same of any pairs, by sorting their n-grams."""
+    out = np.zeros((4, len(hyp[1])))
     for n in range(1, 5):
         (one, mine), (two, other) = _grams(codes, *hyp, n), _grams(codes, *ref, n)
         keys, place = np.unique(np.concatenate([one, two]), return_inverse=True)
         owner = np.zeros(len(keys), dtype=np.int64)
         owner[place] = np.concatenate([mine, other])
         both = np.minimum(np.bincount(place[: len(one)], minlength=len(keys)), np.bincount(place[len(one) :], minlength=len(keys)))
-        matches = np.bincount(owner, weights=both, minlength=len(h))
-        unigrams = matches if n == 1 else unigrams
-        logs += np.log(np.where(matches == 0, 0.1, matches) / np.maximum(1, h - n + 1)) / 4
+        out[n - 1] = np.bincount(owner, weights=both, minlength=len(hyp[1]))
+    return out
+
+
+def bleu_scores(codes: np.ndarray, hyp: tuple[np.ndarray, np.ndarray], ref: tuple[np.ndarray, np.ndarray], cells: int = 1 << 18) -> np.ndarray:
+    """Sentence BLEU of many pairs (see ``bleu4``)."""
+    h, r = hyp[1], ref[1]
+    longest, matches = np.maximum(h, r), np.zeros((4, len(h)))
+    order, at = np.argsort(longest, kind="stable"), 0
+    few = int(np.searchsorted(longest[order], FEW_WORDS, side="right"))
+    while at < few:
+        near = order[at : min(few, at + 4096)]
+        rows = near[: max(1, int((np.arange(1, len(near) + 1) * longest[near] ** 2 <= cells).sum()))]
+        at += len(rows)
+        matches[:, rows] = _few_matches(codes, (hyp[0][rows], h[rows]), (ref[0][rows], r[rows]))
+    if len(rows := order[few:]):
+        matches[:, rows] = _many_matches(codes, (hyp[0][rows], h[rows]), (ref[0][rows], r[rows]))
+    logs = sum(np.log(np.where(m == 0, 0.1, m) / np.maximum(1, h - n)) for n, m in enumerate(matches)) / 4
     penalty = np.where(h > r, 1.0, np.exp(1 - r / np.maximum(h, 1)))
-    return np.where((h == 0) & (r == 0), 1.0, np.where((h == 0) | (unigrams == 0), 0.0, penalty * np.exp(logs)))
+    return np.where((h == 0) & (r == 0), 1.0, np.where((h == 0) | (matches[0] == 0), 0.0, penalty * np.exp(logs)))
 
 
 def _runs(column: pa.Array, shift: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,15 +169,48 @@ def _runs(column: pa.Array, shift: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(sizes) - sizes + shift, sizes
 
 
-@F.arrow_udf(T.StructType([T.StructField("edit", T.DoubleType()), T.StructField("bleu", T.DoubleType())]))
+_RULERS = T.StructType([T.StructField("edit", T.DoubleType()), T.StructField("bleu", T.DoubleType())])
+
+
+def _ruled(codes: np.ndarray, original: tuple[np.ndarray, np.ndarray], changed: tuple[np.ndarray, np.ndarray], edits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    longest = np.maximum(original[1], changed[1])
+    edits = edit_distances(codes, original, changed) if edits is None else edits
+    edit = np.where(longest == 0, 0.0, edits / np.maximum(longest, 1))
+    return edit, bleu_scores(codes, changed, original)
+
+
+def _coded(*parts: pa.Array) -> np.ndarray:
+    """A number for each word: equal ones for equal words."""
+    return pa.concat_arrays([x.cast(pa.string()) for x in parts]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+@F.arrow_udf(_RULERS)
 def text_rulers(original: pa.Array, changed: pa.Array) -> pa.Array:
     """Normalised edit distance, and BLEU of the changed words, of two word arrays; whole Arrow batches at a time (null: no words)."""
     flat = [original.flatten(), changed.flatten()]
-    codes = pa.concat_arrays([x.cast(pa.string()) for x in flat]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    a, b = _runs(original, 0), _runs(changed, len(flat[0]))
-    longest = np.maximum(a[1], b[1])
-    edit = np.where(longest == 0, 0.0, edit_distances(codes, a, b) / np.maximum(longest, 1))
-    return pa.StructArray.from_arrays([pa.array(edit), pa.array(bleu_scores(codes, b, a))], ["edit", "bleu"])
+    found = _ruled(_coded(*flat), _runs(original, 0), _runs(changed, len(flat[0])))
+    return pa.StructArray.from_arrays([pa.array(x) for x in found], ["edit", "bleu"])
+
+
+@F.arrow_udf(T.ArrayType(_RULERS))
+def corrupted_rulers(words: pa.Array, key: pa.Array, level: pa.Array) -> pa.Array:
+    """``text_rulers`` of the words and of each text corruption of them, in the order of ``TEXT``; the changed words are made as numbers, ``WORDS`` of a batch at a time."""
+    sizes, keys, levels = corrupt.arrow_rows(words, key, level)
+    codes = _coded(words.flatten(), pa.array(corrupt.VOCABULARY))
+    vocabulary, ends = codes[len(codes) - len(corrupt.VOCABULARY) :], np.cumsum(sizes)
+    found, left = np.empty((2, len(sizes), len(TEXT))), 0
+    while left < len(sizes):
+        first = int(ends[left] - sizes[left])
+        right = max(left + 1, int(np.searchsorted(ends, first + WORDS, side="right")))
+        n, own = sizes[left:right], codes[first : ends[right - 1]]
+        for i, kind in enumerate(TEXT):
+            source, new = corrupt.sources(kind, keys[left:right], n, corrupt.levelled(kind, n, levels[left:right]))
+            made = np.where(source < 0, vocabulary[np.where(source < 0, -1 - source, 0)], own[np.maximum(source, 0)])
+            edits = n - new if kind == "mask" else None  # what only loses words is as far away as it lost
+            found[:, left:right, i] = _ruled(np.concatenate([own, made]), (np.cumsum(n) - n, n), (np.cumsum(new) - new + len(own), new), edits)
+        left = right
+    rulers = pa.StructArray.from_arrays([pa.array(x.ravel()) for x in found], ["edit", "bleu"])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * len(TEXT), pa.int32()), rulers)
 
 
 def psnr(mse: Column) -> Column:

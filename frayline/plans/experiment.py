@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import IMAGE, PAIRS_MAIN, SEEDS, TEXT
-from ..functions import corrupt, damage, vectors
+from ..functions import corrupt, vectors
 from ..operators import statistics
 from ..schema import MEASUREMENTS
 from ..sources import manifest
-from .queries import _BLANKS, _PICTURE_IDS, _TEXTS, _captions, _images, _key, _pictures_sql, _text_damage_sql, picture_damage, query, r6, read, spread
+from .queries import _BLANKS, _PICTURE_IDS, _TEXTS, _captions, _images, _pictures_sql, _text_damage_sql, picture_damage, query, r6, read, ruled_captions, spread
 
 DIRECTIONS = ("i2t", "t2i")
 
@@ -134,11 +134,9 @@ def input_damage(captions: DataFrame, pictures: DataFrame, seeds: tuple[int, ...
     ``captions`` (``id, level, w``) and ``pictures`` (``id, level, px, side``) are corrupted anew for every seed.
     """
     seeded = lambda df: df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumns({"own": F.col("id"), "id": F.concat_ws("|", "seed", "id")})
-    key, none = _key(), F.lit(None).cast("double")
-    texts = F.array(*[F.struct(F.lit(k).alias("corruption_type"), corrupt.corrupt_text(k, F.col("w"), key, F.col("level")).alias("c")) for k in ("mask", "shuffle", "replace")])
-    rows = seeded(captions).select("seed", "own", "level", "w", F.explode(texts).alias("x")).select("seed", "own", "level", "w", "x.*")
-    rows = rows.withColumn("r", damage.text_rulers("w", "c"))
-    rows = rows.select("seed", F.col("own").alias("id"), F.lit("text").alias("modality"), "corruption_type", F.col("level").alias("severity"), none.alias("ssim"), none.alias("psnr"), r6("r.edit", "norm_edit_distance"), r6("r.bleu", "bleu"))
+    none = F.lit(None).cast("double")
+    rows = ruled_captions(seeded(captions), "seed", "own", "level")
+    rows = rows.select("seed", F.col("own").alias("id"), F.lit("text").alias("modality"), F.col("kind").alias("corruption_type"), F.col("level").alias("severity"), none.alias("ssim"), none.alias("psnr"), F.col("edit").alias("norm_edit_distance"), "bleu")
     seen = picture_damage(seeded(pictures)).withColumn("at", F.split("id", r"\|"))
     images = seen.select(
         F.get("at", F.lit(0)).cast("int").alias("seed"), F.get("at", F.lit(1)).cast("long").alias("id"), F.lit("image").alias("modality"), F.col("kind").alias("corruption_type"), F.col("level").alias("severity"),
@@ -196,7 +194,7 @@ def _stacked(spark, sf) -> DataFrame:
     images, texts = (x.withColumn("vector", F.transform("vector", lambda v: v.cast("double"))) for x in _sides(spark, sf))
     out = None
     for name, queries, other, kinds in (("i2t", images, texts, IMAGE), ("t2i", texts, images, TEXT)):
-        rows = vectors.stacked(spread(queries, "id").withColumn("direction", F.lit(name)), kinds).join(other.withColumnRenamed("vector", "own"), "id")
+        rows = vectors.stacked(spread(queries, "id").join(other.withColumnRenamed("vector", "own"), "id"), kinds).withColumn("direction", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -218,3 +218,48 @@ def test_queries_are_not_copied_for_each_pass_of_candidates(spark, monkeypatch):
     assert {r.id: r.better for r in found.collect()} == {i: int((s[i] > s[i, i] + 1e-12).sum()) for i in range(40)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_hashes_of_a_batch_are_md5():
+    import hashlib
+
+    from frayline.functions import draws
+
+    heads = [b"mask|7|3", b"", "café|漢".encode(), b"x" * 48, b"x" * 52, b"x" * 54, b"y" * 80]
+    sizes = np.array([1200, 0, 12, 110, 1001, 5, 3])
+    owner, spot = draws.places(sizes)
+    want = [hashlib.md5(heads[o] + b"|%d" % i).digest() for o, i in zip(owner, spot, strict=True)]
+    drawn = draws.hashes(heads, owner, spot)
+    assert [b"".join(int(x).to_bytes(4) for x in c) for c in drawn.T] == want
+    ranked = sorted(range(len(owner)), key=lambda i: (owner[i], want[i], i))
+    assert draws.in_order(owner, drawn).tolist() == ranked
+    drawn[0] = 5  # the front of the hash does not decide
+    drawn[1] = 7
+    assert draws.in_order(owner, drawn).tolist() == sorted(range(len(owner)), key=lambda i: (owner[i], want[i][8:], i))
+    hit = draws.chosen(heads, sizes, np.minimum(sizes, 4))
+    left = np.cumsum(sizes) - sizes
+    first = {(o, i) for o in range(len(heads)) for i in sorted(range(sizes[o]), key=lambda i: want[left[o] + i])[:4]}
+    assert {(int(o), int(i)) for o, i in zip(owner[hit], spot[hit], strict=True)} == first
+
+
+def test_rulers_of_corruptions_made_as_numbers_equal_those_of_the_words(spark, monkeypatch):
+    from frayline.functions import corrupt
+
+    rng = np.random.default_rng(9)
+    vocabulary = ["a", "b", "c", *corrupt.VOCABULARY[:5]]
+    rows = [(i, 1 + i % 5 if i else 0, [str(w) for w in rng.choice(vocabulary, n)]) for i, n in enumerate([*range(40), 1, 2, 0, 90, 33])]
+    df = spark.createDataFrame([*rows, (99, 2, None)], "id int, level int, w array<string>").repartition(2)
+    key = F.concat_ws("|", "id", "level")
+    one = [damage.text_rulers("w", corrupt.corrupt_text(k, F.col("w"), key, F.col("level"))).alias(k) for k in ("mask", "shuffle", "replace")]
+    got = df.select("id", F.array(*one).alias("r")).collect()
+    assert {r.id: r.r for r in got} == {r.id: r.r for r in df.select("id", damage.corrupted_rulers("w", key, "level").alias("r")).collect()}
+    assert [x.edit for x in next(r for r in got if r.id == 0).r] == [0, 0, 0]
+
+
+def test_corrupted_captions_are_made_in_batches_from_whole_rows_dealt_first(spark, sf):
+    from frayline.plans import experiment, queries
+
+    for rows in (queries.text_damage(spark, sf), experiment.damage_builder(spark, sf).where("modality = 'text'"), queries.text_mask(spark, sf)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "md5(" not in plan
+        assert plan.index("Generate posexplode(split(") < plan.index("Exchange RoundRobinPartitioning")  # sentences are cut behind the exchange
