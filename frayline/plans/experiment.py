@@ -55,7 +55,7 @@ def retrieval(images: DataFrame, texts: DataFrame, ks: tuple[int, ...] = (1, 5,
     """``direction, pair_id, metric, value``: hit of every item among the first k of the other side, both ways."""
     out = None
     for name, queries, candidates in (("i2t", images, texts), ("t2i", texts, images)):
-        ranks = vectors.better_candidates(queries.join(candidates.withColumnRenamed("vector", "own"), "id"), candidates)
+        ranks = vectors.better_candidates(queries.join(candidates.withColumnRenamed("vector", "own"), "id"), candidates, max(ks))
         rows = ranks.select(F.lit(name).alias("match_retention_direction"), F.col("id").alias("pair_id"), *[(F.col("better") < k).cast("double").alias(f"recall_at_{k}") for k in ks])
         out = rows if out is None else out.unionByName(rows)
     return metric_rows(out, [f"recall_at_{k}" for k in ks], spoke="retrieval_per_pair", image_severity=0, text_severity=0)
@@ -206,7 +206,7 @@ def retrieval_conditions(spark, sf):
     images, texts = _sides(spark, sf)
     rows, out = _stacked(spark, sf), None
     for name, candidates in (("i2t", texts), ("t2i", images)):
-        found = vectors.better_candidates(rows.where(F.col("direction") == name), candidates.select(F.transform("vector", lambda v: v.cast("double")).alias("vector")))
+        found = vectors.better_candidates(rows.where(F.col("direction") == name), candidates.select(F.transform("vector", lambda v: v.cast("double")).alias("vector")), 10, dealt=True)
         out = found if out is None else out.unionByName(found)
     hit = lambda k: (F.col("better") < k).cast("double").alias(f"recall_at_{k}")
     wide = out.select("direction", "corruption", "severity", F.col("id").alias("pair_id"), *[hit(k) for k in (1, 5, 10)])

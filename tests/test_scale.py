@@ -263,3 +263,29 @@ def test_corrupted_captions_are_made_in_batches_from_whole_rows_dealt_first(spar
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" in plan and "md5(" not in plan
         assert plan.index("Generate posexplode(split(") < plan.index("Exchange RoundRobinPartitioning")  # sentences are cut behind the exchange
+
+
+@pytest.mark.parametrize("size", [7, 1 << 25])
+def test_counts_with_a_limit_stop_and_are_exact_below_it(spark, monkeypatch, size):
+    monkeypatch.setattr(vectors, "PASS", size * 8 * 6 if size < 100 else size)
+    monkeypatch.setattr(vectors, "FIRST_TILE", 3)
+    rng = np.random.default_rng(10)
+    q, c = rng.normal(size=(60, 6)), rng.normal(size=(50, 6))
+    c[5:12] = c[5]  # equal candidates
+    q[:20] = c[:20] + 0.2 * rng.normal(size=(20, 6))
+    queries = spark.createDataFrame([(i % 7, None if i % 2 else "x", v.tolist(), c[i % 50].tolist()) for i, v in enumerate(q)], "id int, kind string, vector array<double>, own array<double>")
+    candidates = spark.createDataFrame([(v.tolist(),) for v in c], "vector array<double>")
+    whole = vectors.better_candidates(queries, candidates).collect()
+    found = vectors.better_candidates(queries, candidates, 4).collect()
+    key = lambda r: (r.id, r.kind or "", min(r.better, 4))
+    assert sorted(map(key, found)) == sorted(map(key, whole)) and len(found) == 60
+    assert any(r.better < 4 for r in found) and sum(r.better for r in found) < sum(r.better for r in whole)
+    assert {r.better for r in vectors.better_candidates(queries, candidates.limit(0), 4).collect()} == {0}
+
+
+def test_versions_of_vectors_are_made_in_batches_of_the_dealt_vectors(spark, sf):
+    from frayline.plans import experiment
+
+    plan = experiment._stacked(spark, sf).where("direction = 'i2t'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "md5(" not in plan
+    assert plan.index("MapInArrow") < plan.index("Join")  # the match is beside the vector before this has versions
