@@ -34,6 +34,8 @@ DRAW, ARM, CHOICE = 0x9E3779B1, 0x85EBCA77, 0x7F4A7C15
 STEPS = tuple(int(np.ceil(65536 * c)) for c in np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1))) for k in range(8)]))
 #: Vectors that one task adds up, rows of a cell beyond which a task makes a vector, and rows that a task holds.
 FAN_IN, FEW, HELD = 16, 4096, 1 << 19
+#: Different values of a cell's rows up to which the weights of the rows of each are counted.
+KINDS = 8
 _WEIGHT = np.searchsorted(STEPS, np.arange(65536), side="right").astype(np.float64)
 
 
@@ -58,24 +60,59 @@ def _places(n_boot: int, k: int, s: int, salt: int) -> np.ndarray:
     return _mixed(at * np.uint32(DRAW) + np.uint32(salt * ARM % (1 << 32)))
 
 
+def _halves(one: np.ndarray, two: np.ndarray, places: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The mixed hashes of some rows at some places, but for the last step of the bijection, which leaves their upper halves alone."""
+    np.multiply(two[:, None], places, out=u)
+    u += one[:, None]
+    for down, factor in ((np.uint32(16), 0x85EBCA6B), (np.uint32(13), 0xC2B2AE35)):
+        np.right_shift(u, down, out=v)
+        u ^= v
+        u *= np.uint32(factor)
+    return u
+
+
+def _counts(one: np.ndarray, two: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sums of weights for every place, in whole numbers of a byte for some rows at a time."""
+    steps, out = [np.uint16(s) for s in STEPS if s < 1 << 16], np.zeros(len(places), np.uint32)
+    wide = min(len(places), 1 << 14)
+    tall = max(8, min(32, (1 << 16) // max(1, wide)))  # weights are 7 at most, so a byte holds the sum of 32 rows
+    x, y, halves, reached, weights = (np.empty((tall, wide), kind) for kind in (np.uint32, np.uint32, np.uint16, bool, np.uint8))
+    for left in range(0, len(places), wide):
+        own = places[left : left + wide]
+        for at in range(0, len(one), tall):
+            n = len(one[at : at + tall])
+            u, v, h, r, w = (t[:n, : len(own)] for t in (x, y, halves, reached, weights))
+            np.right_shift(_halves(one[at : at + n], two[at : at + n], own, u, v), np.uint32(16), out=h, casting="unsafe")
+            np.greater_equal(h, steps[0], out=w.view(bool))
+            for step in steps[1:]:
+                np.greater_equal(h, step, out=r)
+                w += r.view(np.uint8)
+            out[left : left + wide] += w.sum(axis=0, dtype=np.uint8)
+    return out
+
+
 def _sums(one: np.ndarray, two: np.ndarray, values: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Sums of weights, and of each weighted value (rows of ``values``), for every place."""
+    """Sums of weights, and of each weighted value (rows of ``values``), for every place.
+
+    Where rows have few different values (hits), the weights of the rows of each are counted: cheaper, and exact in any order.
+    """
     out = np.zeros((1 + len(values), len(places)))
+    if len(one) and np.isfinite(values).all():
+        kinds, which = np.unique(values, axis=1, return_inverse=True)
+        if kinds.shape[1] <= KINDS:
+            for i in range(kinds.shape[1]):
+                own = which.ravel() == i
+                out += np.concatenate([[1.0], kinds[:, i]])[:, None] * _counts(one[own], two[own], places)
+            return out
     factors = np.vstack([np.ones(len(one)), values])
-    shift, tall, wide = np.uint32(16), 16, 2048  # a tile stays in the cache
+    tall, wide = 16, 2048  # a tile stays in the cache
     for left in range(0, len(places), wide):
         own = places[left : left + wide]
         x, y, weights = np.empty((tall, len(own)), np.uint32), np.empty((tall, len(own)), np.uint32), np.empty((tall, len(own)))
         for at in range(0, len(one), tall):
             n = len(one[at : at + tall])
-            u, v, w = x[:n], y[:n], weights[:n]
-            np.multiply(two[at : at + n, None], own, out=u)
-            u += one[at : at + n, None]
-            for down, factor in ((shift, 0x85EBCA6B), (np.uint32(13), 0xC2B2AE35)):
-                np.right_shift(u, down, out=v)
-                u ^= v
-                u *= np.uint32(factor)
-            u >>= shift  # the upper half, which the last step of the bijection leaves alone
+            u, w = _halves(one[at : at + n], two[at : at + n], own, x[:n], y[:n]), weights[:n]
+            u >>= np.uint32(16)
             np.take(_WEIGHT, u, out=w, mode="clip")
             out[:, left : left + wide] += factors[:, at : at + n] @ w
     return out
@@ -149,6 +186,7 @@ def replicates(rows: DataFrame, group: list[str], values: list[str], key: list[s
     partitions = partitions or few
     # a row costs a tenth of a millisecond, so slim rows are dealt out evenly
     rows = rows.select(*cell, "_one", "_two", *[f"_v{i}" for i in range(m)]).repartition(partitions, "_one", "_two")
+    rows = rows.sortWithinPartitions(*cell, "_one", "_two", *[f"_v{i}" for i in range(m)])  # sums of doubles have their terms in one order
     kinds = dict(rows.dtypes)
     named = ", ".join(f"`{c}` {kinds[c]}" for c in cell)
     wide = f"{named}, _part int, _total binary, _raw binary, _vector binary"
@@ -172,6 +210,7 @@ def replicates(rows: DataFrame, group: list[str], values: list[str], key: list[s
         yield from (c.record(part) for c in cells.values())
 
     def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_part")
         first = table.slice(0, 1).combine_chunks().to_batches()[0]
         of = first.to_pylist()[0]
         found = _Cell(first.select(cell), _places(n_boot, of["_k"], of["_s"], of["_salt"]), m)
@@ -184,10 +223,10 @@ def replicates(rows: DataFrame, group: list[str], values: list[str], key: list[s
                 vector += np.frombuffer(made.as_py()).reshape(vector.shape)
         found.fold()
         found.vector, found.total = found.vector + vector, total
-        return pa.Table.from_batches([found.record(of["_part"])])
+        return pa.Table.from_batches([found.record(of["_up"])])
 
     def finish(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = table.sort_by("_s").to_pylist()
         k, salt, total = rows[0]["_k"], rows[0]["_salt"], np.zeros(1 + m)
         means = np.full((m, n_boot * k), np.nan)
         for row in rows:
@@ -204,8 +243,8 @@ def replicates(rows: DataFrame, group: list[str], values: list[str], key: list[s
 
     found = rows.mapInArrow(partial, wide)
     for _ in range(max(1, int(np.ceil(np.log(partitions) / np.log(FAN_IN))))):
-        dealt = found.withColumn("_part", F.floor(F.col("_part") / FAN_IN).cast("int"))
-        found = dealt.repartition(few, *cell, "_part").groupBy(*cell, "_part").applyInArrow(merge, wide)
+        dealt = found.withColumn("_up", F.floor(F.col("_part") / FAN_IN).cast("int"))
+        found = dealt.repartition(few, *cell, "_up").groupBy(*cell, "_up").applyInArrow(merge, wide)
     done = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "n long", *[f"`{v}` double, `{v}_draws` array<double>" for v in values]])
     return found.groupBy(*group).applyInArrow(finish, done)
 

@@ -289,3 +289,31 @@ def test_versions_of_vectors_are_made_in_batches_of_the_dealt_vectors(spark, sf)
     plan = experiment._stacked(spark, sf).where("direction = 'i2t'")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "md5(" not in plan
     assert plan.index("MapInArrow") < plan.index("Join")  # the match is beside the vector before this has versions
+
+
+def test_weights_of_few_values_are_counted_and_equal_the_weighted_sums(monkeypatch):
+    rng = np.random.default_rng(11)
+    one, two = (rng.integers(0, 1 << 32, 700, dtype=np.uint32) for _ in range(2))
+    places = bootstrap._places(20_000, 2, 1, 3)
+    hits = np.array([rng.random(700) < 0.3, rng.integers(0, 3, 700)], dtype=float)
+    counted, sums = [], bootstrap._counts
+    monkeypatch.setattr(bootstrap, "_counts", lambda *x: counted.append(len(x[0])) or sums(*x))
+    fast = bootstrap._sums(one, two, hits, places)
+    assert sum(counted) == 700 and len(counted) == 6
+    monkeypatch.setattr(bootstrap, "KINDS", 0)
+    assert np.array_equal(fast, bootstrap._sums(one, two, hits, places)) and len(counted) == 6
+    with np.errstate(over="ignore"):
+        x = one[:, None] + two[:, None] * places
+        weights = np.searchsorted(bootstrap.STEPS, bootstrap._mixed(x) >> np.uint32(16), side="right")
+    assert np.array_equal(fast[0], weights.sum(axis=0)) and np.array_equal(fast[2], (hits[1][:, None] * weights).sum(axis=0))
+    with np.errstate(invalid="ignore"):
+        assert np.isnan(bootstrap._sums(one, two, np.where(hits == 1, np.inf, hits), places)[1]).any()  # as the SQL, no weight times infinity
+
+
+def test_points_do_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": "a", "seed": np.tile([0, 1, 2], 200), "pair_id": range(600), "value": rng.normal(0.5, 0.1, 600), "other": rng.normal(0, 1e6, 600)})
+    found = [resampled(spark, pdf.sample(frac=1, random_state=i), ["g"], "seed", 40) for i in range(4)]
+    for other in found[1:]:
+        assert other["value"][0] == found[0]["value"][0] and other["other"][0] == found[0]["other"][0]
+        assert list(other["other_draws"][0]) == list(found[0]["other_draws"][0])
